@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, quality, sharding
+from quarry.llm import chat, decontaminate, quality, sharding
 from quarry.llm.util import table
 
 
@@ -12,6 +12,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_chat": op3_chat, "op5_sharding": op5_sharding, "op7_quality": op7_quality}
-ORACLE = {"op3_chat": chat.ORACLE}
+QUERIES = {"op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op7_quality": op7_quality}
+ORACLE = {"op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
