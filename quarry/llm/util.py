@@ -35,3 +35,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 def only(df: DataFrame, **columns) -> DataFrame:
     """Project to the named columns (name=type), so that extra columns cannot clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
+
+
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The frame (already written: it is counted), marked for broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= rows else df
