@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontaminate, neardup, quality, sharding
+from quarry.llm import chat, decontaminate, neardup, pieces, quality, sharding
 from quarry.llm.util import table
 
 
@@ -24,9 +24,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def model_bytes(path: str = TOKENIZER) -> bytes:
+    """A tokenizer model file, read on the driver."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), model_bytes())
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op7_quality": op7_quality}
+QUERIES = {"op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality}
 ORACLE = {"op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
