@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontaminate, neardup, pieces, quality, sharding
+from quarry.llm import chat, decontaminate, licences, neardup, pieces, quality, sharding, topk
 from quarry.llm.util import table
 
 
@@ -41,5 +41,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality}
-ORACLE = {"op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.built_in(spark))
+
+
+QUERIES = {"op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_licences": op9_licences}
+ORACLE = {"op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE, "op9_licences": licences.ORACLE}
