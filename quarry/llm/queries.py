@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontaminate, licences, neardup, pieces, quality, sharding, topk, warc
+from quarry.llm import chat, decontaminate, licences, neardup, pieces, quality, repeats, sharding, topk, warc
 from quarry.llm.util import table
 
 
@@ -53,5 +53,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.built_in(spark))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_licences": op9_licences}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_licences": op9_licences, "op10_repeats": op10_repeats}
 ORACLE = {"op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE, "op9_licences": licences.ORACLE}
