@@ -2,7 +2,7 @@
 
 Every 50-byte window holds an anchor: the least-hashed of its 27 stretches of 24 bytes.  Equal windows hold equal
 anchors at equal places, so windows can be compared anchor by anchor, and only where an anchor stands in two
-documents.  The steps (a block is about 4 MB of whole documents; partial results are packed, one row for each
+documents.  The steps (a block is about 1 MB of whole documents; partial results are packed, one row for each
 block and part of the anchor hashes, merged within a block before they are dealt):
 
 1. blocks send the hashes of their anchors; parts answer which stand in two documents;
@@ -42,7 +42,7 @@ from quarry.llm.words import mix, prefix_sums, stretch, utf8
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM  # bytes of a window beside its anchor
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 PART = 100_000  # anchors dealt together, about
 _NONE = np.iinfo(np.int64).max
 _C = np.uint64(0xA0761D6478BD642F)
@@ -220,7 +220,7 @@ def _blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(f"`{c}`") for c in rest])
     packed = rows.mapInArrow(pack, "block long, ids binary, ends binary, text binary, absent binary, rest binary")
     name = f"quarry_blocks_{uuid.uuid4().hex}"
-    buckets = max(8, math.ceil(size / (2 * block)))
+    buckets = max(8, math.ceil(size / (8 * block)))
     packed.write.bucketBy(min(buckets, 100_000), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name), size
 
