@@ -9,11 +9,13 @@ darts, all drawn from a hash of element and square, so equal regions of two text
 the region weight x rank bound are dealt to ``COORDINATES`` coordinates and the earliest (lowest rank) of each is
 kept; the rank bound is set so that about k ln k + 2 k darts fall in, and doubled where a coordinate stays empty.
 
-Equal texts are one node.  Nodes that share a band meet there: band by band, members are compared with the band's
-hubs (the nodes that share most), in rounds of 1, 4, 16, 64, 64 ... hubs, leaving out pairs already in one
-component, until no band holds two components that were not compared.  So a large group of copies costs pairs in
-proportion to its size, and no pair that a band offers is dropped.  Bands of 5 in 30 lose a link of similarity 0.8
-with a chance under one in 100,000; every candidate pair is verified on whole texts.
+Equal texts are one node.  Nodes that share a band meet there.  Every member is first compared with the band's hub
+(the node that takes part in most meetings), and links join components.  Then only bands that still hold two
+components count: in small ones the remaining pairs are compared one by one; the members of large ones are gathered
+by hub, cut into blocks, and each pair of blocks is compared at once, as a product of incidence matrices, which
+hands on no more links than it takes to join components.  So no pair that a band offers goes uncompared unless its
+ends are joined already, and rows grow with the number of documents, not of pairs.  Bands of 5 in 30 lose a link
+of similarity 0.8 with a chance under one in 100,000; similarity is always computed on whole texts.
 
 Defined results: null and wordless texts are classes of their own, row by row (class_id is the row's doc_id);
 repeated rows fall into one class; class_id is the smallest doc_id of the class; null doc_ids are allowed; an
@@ -38,6 +40,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
 STRETCH = 4 << 20
+FEW, BLOCK = 16, 256  # members of a band compared one by one, and documents of a block
 MOST_DOCS = 3000  # of a stretch: document and coordinate share 19 bits of a sorting key
 _FRACTION, _RANK = 32, 45  # bits of a rank below one, and of a rank
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(range(1, i + 1)) for i in range(20)])
@@ -159,18 +162,38 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of every node of an edge table; comp is the smallest node.  Alternating large and small stars:
     every step only shuffles edges and hands a node's neighbours its smallest one."""
     edges = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = saved(large.where("u <> v").distinct(), "large")
+        large = both.join(bounded(least), "u").where(F.col("v") > F.col("u"))
+        large = saved(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         down = saved(large.groupBy("u").agg(F.min("v").alias("m")), "down")
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = saved(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "small")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        small = large.join(bounded(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = saved(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "small")
+        # The table as a set: its size and a sum of hashes.  A step that leaves it as it was ends the walk.
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
             break
-        edges = small
-    return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
+        mark = now
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots), "components")
+
+
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that the links join are walked again."""
+    if comps is None:
+        return components(links)
+    of = bounded(comps)
+    ends = links.select("a", "b").join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    ends = saved(ends, "joined")
+    if ends.isEmpty():
+        return comps
+    moved = components(ends, "ca", "cb").select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    fresh = ends.select(F.col("a").alias("node"), F.col("ca").alias("comp")).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).where("node = comp")
+    rows = comps.unionByName(fresh).distinct().join(bounded(moved), F.col("comp") == F.col("old"), "left")
+    return saved(rows.select("node", F.coalesce("new", "comp").alias("comp")), "components")
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -187,35 +210,109 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) ->
     met = saved(member.join(shared, "band"), "met")
     # A node's rank as a hub: how many meetings it takes part in.
     fame = saved(met.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
-    active = saved(met.select("band", "node", "weight").join(fame, "node").withColumn("comp", F.col("node")), "active")
+    active = saved(met.select("band", "node", "weight").join(bounded(fame), "node"), "active")
     texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     texts = saved(texts.join(bounded(fame.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    known, comps, hubs = None, None, 1
-    while not active.isEmpty():
-        order = F.struct(-F.col("fame"), F.col("node"))
-        ranked = active.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy(order)))
-        chief = saved(ranked.where(F.col("k") <= hubs).select("band", F.col("node").alias("hub"), F.col("weight").alias("hub_weight"), F.col("comp").alias("hub_comp")), "hubs")
-        pairs = active.join(chief, "band").where((F.col("node") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")))
-        pairs = pairs.where(F.least("weight", "hub_weight") >= similarity * F.greatest("weight", "hub_weight"))
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        fresh = saved(both.mapInPandas(_verify, "a binary, b binary, similarity double"), "verified")
-        known = fresh if known is None else known.unionByName(fresh)
-        true = known.where(F.col("similarity") >= similarity)
-        if not true.isEmpty():
-            comps = components(true)
-        # Hubs have met every member; a band stays while it holds members of two components.
-        active = active.join(chief.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").drop("comp")
-        active = active.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else active.withColumn("comp", F.col("node"))
-        active = saved(active, "active")
-        apart = saved(active.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band"), "apart")
-        active = saved(active.join(apart, "band"), "active")
-        hubs = min(64, hubs * 4)
-    return known, comps
+    order = F.struct(-F.col("fame"), F.col("node"))
+    chief = saved(active.groupBy("band").agg(F.min(order).alias("o"), F.count("*").alias("n")).select("band", F.col("o.node").alias("hub"), "n"), "hubs")
+    hub_weight = nodes.select(F.col("node").alias("hub"), F.col("weight").alias("hub_weight"))
+    first = saved(active.join(bounded(chief), "band").where("node <> hub").select("node", "weight", "hub").distinct(), "first")
+    first = first.join(bounded(saved(first.select("hub").distinct().join(hub_weight, "hub"), "weights")), "hub")
+    known = _verified(saved(_ordered(first.where(_near(similarity, "weight", "hub_weight")), "node", "hub"), "pairs"), texts)
+    true = known.where(F.col("similarity") >= similarity)
+    comps = None if true.isEmpty() else components(true)
+
+    # What is left: bands of two components, without their hubs, which have met everyone.
+    rest = active.join(bounded(chief), "band").where("node <> hub")
+    rest = rest.join(bounded(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else rest.withColumn("comp", F.col("node"))
+    rest = saved(rest.select("band", "node", "weight", "hub", "n", "comp"), "rest")
+    apart = saved(rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band"), "apart")
+    rest = saved(rest.join(bounded(apart), "band", "left_semi"), "rest")
+
+    few = rest.where(F.col("n") <= FEW)
+    left, right = (few.select("band", F.col("node").alias(x), F.col("weight").alias(f"{x}_weight"), F.col("comp").alias(f"{x}_comp")) for x in "ab")
+    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _near(similarity, "a_weight", "b_weight"))
+    pairs = saved(pairs.select("a", "b").distinct().join(bounded(known.select("a", "b")), ["a", "b"], "left_anti"), "pairs")
+    known = known.unionByName(_verified(pairs, texts))
+
+    many = saved(rest.where(F.col("n") > FEW).select("hub", "node", "comp").distinct(), "many")
+    blocks = saved(many.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = many.join(bounded(blocks), "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = saved(dealt, "dealt").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).select("hub", "p", "q", "block", "node", "comp", "text")
+    found = saved(dealt.groupBy("hub", "p", "q").applyInPandas(_blockwise(similarity), "a binary, b binary, similarity double"), "found")
+    known = known.unionByName(found.join(bounded(known.select("a", "b")), ["a", "b"], "left_anti"))
+
+    true = known.where(F.col("similarity") >= similarity)
+    return known, None if true.isEmpty() else _merged(comps, true)
+
+
+def _near(similarity: float, a: str, b: str):
+    """Sets whose sizes differ more cannot be similar enough."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
+
+
+def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return saved(both.mapInPandas(_verify, "a binary, b binary, similarity double"), "verified")
+
+
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted overlap of every left with every right set: products of incidence matrices over the units of
+    elements (element, i-th occurrence) that at least two sets hold, taken in strips."""
+    unit, of = [], []
+    for i, (h, w) in enumerate(sets):
+        n = w.astype(np.int64)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unit.append(mix(np.repeat(h, n) + k.astype(np.uint64) * _B))
+        of.append(np.full(len(k), i))
+    unit, of = np.concatenate(unit), np.concatenate(of)
+    _, code, count = np.unique(unit, return_inverse=True, return_counts=True)
+    on = count[code] > 1
+    column = (np.cumsum(count > 1) - 1)[code[on]]
+    of, total = of[on], int((count > 1).sum())
+    out, strip = np.zeros((len(left), len(right)), np.float32), 1 << 13
+    by = np.argsort(column, kind="stable")
+    column, of = column[by], of[by]
+    for a in range(0, total, strip):
+        lo, hi = np.searchsorted(column, [a, a + strip])
+        m = np.zeros((len(sets), strip), np.float32)
+        m[of[lo:hi], column[lo:hi] - a] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _blockwise(similarity: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, p, q = key
+        pdf = pdf.sort_values("node").reset_index(drop=True)
+        sets = [weighted(utf8([t]))[:2] for t in pdf["text"]]
+        size, node = np.array([w.sum() for _, w in sets]), pdf["node"].tolist()
+        left, right = np.flatnonzero(pdf["block"] == p), np.flatnonzero(pdf["block"] == q)
+        both = overlaps(sets, left, right).astype(np.float64)
+        value = both / np.maximum(size[left][:, None] + size[right] - both, 1e-300)
+        comp = dict(enumerate(pdf["comp"]))
+        root: dict = {}
+
+        def top(c):
+            while c in root:
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in np.argwhere(value >= similarity):
+            a, b = int(left[i]), int(right[j])
+            x, y = top(comp[a]), top(comp[b])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(node[a], node[b]), max(node[a], node[b]), float(value[i, j])))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return run
 
 
 def _placed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -77,6 +77,30 @@ def test_classes_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values()))
 
 
+def test_block_products():
+    rng = np.random.default_rng(2)
+    sets = [(np.sort(rng.choice(60, 30, replace=False)).astype(np.uint64), rng.integers(1, 4, 30).astype(float)) for _ in range(9)]
+    got = nd.overlaps(sets, np.arange(4), np.arange(2, 9))
+    for i in range(4):
+        for j in (j for j in range(2, 9) if j != i):
+            a, b = (dict(zip(*s)) for s in (sets[i], sets[j]))
+            assert got[i, j - 2] == sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+
+
+def test_a_group_without_a_centre(spark, monkeypatch):
+    """Near copies of a text that is not there: most are no links of each other, some are."""
+    monkeypatch.setattr(nd, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    base, texts = ["w%d" % i for i in rng.integers(0, 900, 250)], []
+    for i in range(90):
+        t = list(base)
+        for k in rng.choice(250, int(rng.integers(0, 12)), replace=False):
+            t[k] = f"x{i}y{k}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in nd.classes(df).collect()} == _brute(list(enumerate(texts)))
+
+
 def test_edges(spark):
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, None), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
