@@ -380,9 +380,11 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def report(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_chars, round_trip of every row."""
+def report(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_chars, round_trip of every row, and,
+    if asked for, ids."""
     sent = docs.sparkSession.sparkContext.broadcast(Pieces(model))
+    kinds = {"n_pieces": pa.int64(), "ids_sha256": pa.string(), "decoded_chars": pa.int64(), "round_trip": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +394,7 @@ def report(docs: DataFrame, model: bytes) -> DataFrame:
                 ids = np.asarray(ids.values)
                 text = sent.value.decode(ids.tolist())
                 out.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), len(text), hashlib.md5(text.encode()).digest() == md5))
-            n, sha, chars, same = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(chars, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "decoded_chars", "round_trip"])
+            found = zip(*out) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([doc, *[pa.array(v, t) for v, t in zip(found, kinds.values())], *([lists] if with_ids else [])], names=["doc_id", *kinds, *(["ids"] if with_ids else [])])
 
-    return encode(docs, model).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean")
+    return encode(docs, model).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids)

@@ -57,5 +57,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_licences": op9_licences, "op10_repeats": op10_repeats}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_licences": op9_licences, "op10_repeats": op10_repeats, "pipeline": pipeline}
 ORACLE = {"op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE, "op9_licences": licences.ORACLE}

@@ -10,9 +10,9 @@ block and part of the anchor hashes, merged within a block before they are dealt
    smallest doc_id that has it; parts answer the smallest doc_id overall.  A later document with the same fragment
    loses all of the anchor's windows;
 3. where an anchor stands in different fragments, the block of each fragment's first document sends its bytes.
-   Parts build the suffix array of their fragments (linear grouping, see suffixes.py), with the anchor as one
-   symbol, so that a window is 27 symbols: runs of suffixes that share 27 symbols are equal windows, and the
-   smallest doc_id of a run decides;
+   Parts build the suffix array of their fragments (linear grouping, see suffixes.py), with the anchor and every
+   stretch in which none of its fragments part as one symbol each: runs of suffixes that share the symbols a window
+   spans are equal windows, and the smallest doc_id of a run decides;
 4. blocks mark the covered bytes.
 
 The blocks are written once, bucketed by block, so answers come to them without moving text again.
@@ -300,36 +300,88 @@ def _third(block: Block, _row) -> Iterator[pd.DataFrame]:
     )
 
 
+class _Side:
+    """Contexts on one side of the anchors, by distance, cut into segments inside which no two fragments of an
+    anchor part: each segment is one symbol."""
+
+    def __init__(self, context: np.ndarray, group: np.ndarray) -> None:
+        n = len(context)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :SIDE] = context
+        by = np.lexsort((*wide.view(">u8").astype(np.uint64).T[::-1], group))
+        differ = context[by[1:]] != context[by[:-1]]
+        common = np.where(differ.any(1), differ.argmax(1), SIDE)
+        parts = (group[by[1:]] == group[by[:-1]]) & (common < SIDE)
+        cut = np.zeros(int(group.max()) + 1 if n else 0, np.uint32)  # bit d: fragments part behind distance d
+        np.bitwise_or.at(cut, group[by[1:]][parts], np.uint32(1) << common[parts].astype(np.uint32))
+        self.cut = cut[group]
+        sums = prefix_rows(context)
+        self.count = self.segment(SIDE) + 1
+        self.symbol = np.zeros((n, SIDE), np.uint64)
+        since = np.zeros(n, np.uint64)
+        for d in range(1, SIDE + 1):
+            at = np.arange(n) if d == SIDE else np.flatnonzero((self.cut >> np.uint32(d)) & np.uint32(1))
+            self.symbol[at, self.segment(d)[at]] = sums[at, d] - since[at]
+            since[at] = sums[at, d]
+
+    def segment(self, distance: int) -> np.ndarray:
+        """The segment that the byte at a distance (from 1) lies in."""
+        return np.bitwise_count(self.cut & np.uint32((1 << distance) - 2)).astype(np.int64)
+
+
+def prefix_rows(context: np.ndarray) -> np.ndarray:
+    power = np.cumprod(np.full(SIDE, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    out = np.zeros((len(context), SIDE + 1), np.uint64)
+    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * power, axis=1, out=out[:, 1:])
+    return out
+
+
 def equal_windows(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, sides: np.ndarray) -> np.ndarray:
     """For each fragment the mask of windows that a fragment of a smaller document holds too (bit a: a bytes before
     the anchor), from the suffix array of all fragments.  ``sides``: the bytes beside the anchors, end to end."""
     n = len(key)
-    size = left + right + 2  # bytes of both sides, the anchor's symbol, an end
+    group = np.unique(key, return_inverse=True)[1]
+    middle = np.cumsum(left + right) - right
+    contexts = np.zeros((2, n, SIDE), np.uint8)
+    for d in range(SIDE):
+        for side, on, at in ((0, left > d, middle - 1 - d), (1, right > d, middle + d)):
+            contexts[side, on, d] = sides[at[on]]
+    before, after = (_Side(c, group) for c in contexts)
+
+    # Each fragment as a text: its segments from the outermost left one on, the anchor, segments to the right, an end.
+    size = before.count + after.count + 2
     end = np.cumsum(size)
-    begin = end - size
-    text = np.zeros(int(end[-1]) if n else 0, np.int64)
-    middle = begin + left
-    text[middle] = 257 + np.unique(key, return_inverse=True)[1]
-    body = np.ones(len(text), bool)
-    body[middle] = body[end - 1] = False
-    text[body] = sides.astype(np.int64) + 1
+    anchor = end - size + before.count
+    value = np.zeros(int(end[-1]) if n else 0, np.uint64)
+    salt = mix(group.astype(np.uint64) * _C + np.uint64(1))
+    value[anchor] = salt
+    for j in range(SIDE):
+        for side, place in ((before, anchor - 1 - j), (after, anchor + 1 + j)):
+            on = side.count > j
+            value[place[on]] = mix(side.symbol[on, j] + salt[on])
+    text = np.unique(value, return_inverse=True)[1] + 1
+    text[end - 1] = 0
     order = grouping(text)
-    width = SIDE + 1  # symbols of a window
-    of = np.searchsorted(end, order, side="right")
-    before = middle[of] - order  # bytes before the anchor
-    window = (before >= 0) & (before <= SIDE) & (order + width < end[of])
-    order, of, before = order[window], of[window], before[window]
-    same, open_ = np.zeros(max(0, len(order) - 1), bool), np.arange(max(0, len(order) - 1))
-    for k in range(width):
-        open_ = open_[text[order[open_] + k] == text[order[open_ + 1] + k]]
-    same[open_] = True
-    start = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
-    if not len(order):
-        return np.zeros(n, np.uint32)
-    least = np.repeat(np.minimum.reduceat(doc[of], start), np.diff(start, append=len(order)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+
     mask = np.zeros(n, np.uint32)
-    hit = least < doc[of]
-    np.bitwise_or.at(mask, of[hit], np.uint32(1) << before[hit].astype(np.uint32))
+    for a in range(SIDE + 1):
+        on = np.flatnonzero((left >= a) & (right >= SIDE - a))
+        if not len(on):
+            continue
+        lead = before.segment(a) + 1 if a else np.zeros(n, np.int64)
+        symbols = lead + 1 + (after.segment(SIDE - a) + 1 if a < SIDE else 0)  # that the window spans
+        start = anchor - lead
+        by = on[np.lexsort((rank[start[on]], group[on]))]
+        p, q, need = start[by[:-1]], start[by[1:]], symbols[by[1:]]
+        same = group[by[:-1]] == group[by[1:]]
+        for k in range(int(need.max(initial=0))):
+            at = np.flatnonzero(same & (k < need))
+            same[at] = text[p[at] + k] == text[q[at] + k]
+        run = np.flatnonzero(np.concatenate([[True], ~same]))
+        least = np.repeat(np.minimum.reduceat(doc[by], run), np.diff(run, append=len(by)))
+        mask[by[least < doc[by]]] |= np.uint32(1 << a)
     return mask
 
 
