@@ -74,7 +74,7 @@ def light_name(c: Column, plural: bool = True) -> Column:
     """Concept name with slashes and hyphens opened and plurals dropped (FN-07)."""
     base = concept_name(F.translate(text(c), "/-", "  "))
     parts = F.filter(F.split(base, " "), lambda t: t != "")
-    return F.array_join(F.transform(parts, singular) if plural else parts, " ")
+    return F.array_join(F.transform(parts, lambda t: singular(t)) if plural else parts, " ")
 
 
 def variants(c: Column) -> Column:
@@ -85,7 +85,7 @@ def variants(c: Column) -> Column:
 def abbreviations(c: Column) -> Column:
     """map short form -> long form of ``long form (SHORT)``; the last pair of a short form wins (FN-08)."""
     pair = F.arrays_zip(F.regexp_extract_all(text(c), F.lit(ABBREVIATION), F.lit(2)).alias("s"), F.regexp_extract_all(text(c), F.lit(ABBREVIATION), F.lit(1)).alias("l"))
-    named = F.transform(pair, lambda p: F.struct(light_name(p["0"]).alias("s"), light_name(p["1"]).alias("l")))
+    named = F.transform(pair, lambda p: F.struct(light_name(p["s"]).alias("s"), light_name(p["l"]).alias("l")))
     named = F.filter(named, lambda p: (p["s"] != "") & (p["l"] != ""))
     last = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda later: later["s"] == p["s"]))
     return F.map_from_entries(last)
@@ -94,7 +94,7 @@ def abbreviations(c: Column) -> Column:
 def contained(c: Column, phrases: Column) -> Column:
     """How many phrases stand in a text as whole words (FN-09)."""
     padded = F.concat(F.lit(" "), light_name(c), F.lit(" "))
-    names = F.filter(F.transform(phrases, light_name), lambda p: p != "")
+    names = F.filter(F.transform(phrases, lambda p: light_name(p)), lambda p: p != "")
     return F.size(F.filter(names, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" ")))))
 
 
@@ -138,7 +138,7 @@ def concept_type(canonical: Column, surfaces: Column) -> Column:
     out = F.when(F.arrays_overlap(parts, words_in(lx.TYPE_HINTS[0][1])), F.lit(lx.TYPE_HINTS[0][0]))
     for name, hints in lx.TYPE_HINTS[1:]:
         out = out.when(F.arrays_overlap(parts, words_in(hints)), F.lit(name))
-    return out.when(F.exists(surfaces, gene_like), F.lit("gene_or_protein")).otherwise(F.lit("biomedical_concept"))
+    return out.when(F.exists(surfaces, lambda t: gene_like(t)), F.lit("gene_or_protein")).otherwise(F.lit("biomedical_concept"))
 
 
 def stable_id(c: Column, prefix: str = "PMQA_MESH_") -> Column:

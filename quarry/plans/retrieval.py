@@ -229,10 +229,10 @@ SELECT t.method, t.k, round(t.mrr, 6) AS mrr, round(t.mrr - x.mrr, 6) AS delta,
     "label_overview": f"SELECT quality, toxic, count(*) AS n_docs, CAST(sum(len({sql.tokens('text')})) AS BIGINT) AS n_tokens FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
 }
 _GRID = " UNION ALL ".join(
-    f"(SELECT {a} AS alpha, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM m{i})" for i, a in enumerate((0.0, 0.3, 0.7, 1.0))
+    f"(SELECT CAST({a} AS DOUBLE) AS alpha, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM m{i})" for i, a in enumerate((0.0, 0.3, 0.7, 1.0))
 )
 _PAIR = ", ".join(
-    f"""r{i} AS (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY round(sum(part), 9) DESC, min(rank), passage_id) AS rank FROM (SELECT question_id, passage_id, rank, {a} / (60 + rank) AS part FROM a UNION ALL SELECT question_id, passage_id, rank, (1 - {a}) / (60 + rank) FROM b) GROUP BY question_id, passage_id QUALIFY rank <= 100), {sql.metrics(f'r{i}', f'm{i}', (10,))}"""
+    f"""r{i} AS (SELECT * FROM (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, m, passage_id) AS rank FROM (SELECT question_id, passage_id, sum(part) AS s, min(rank) AS m FROM (SELECT question_id, passage_id, rank, {a} / (60 + rank) AS part FROM a UNION ALL SELECT question_id, passage_id, rank, (1 - {a}) / (60 + rank) FROM b) GROUP BY question_id, passage_id)) WHERE rank <= 100), {sql.metrics(f'r{i}', f'm{i}', (10,))}"""
     for i, a in enumerate((0.0, 0.3, 0.7, 1.0))
 )
 ORACLE["rrf_pair_grid"] = f"{_TWO}, {_PAIR} {_GRID}"
