@@ -365,13 +365,21 @@ def equal_windows(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
 
+    # Windows that span the same symbols have the same answer, where all fragments of the anchor are whole.
     mask = np.zeros(n, np.uint32)
+    cut_off = np.zeros(int(group.max()) + 1 if n else 0, bool)
+    cut_off[group[(left < SIDE) | (right < SIDE)]] = True
+    prior = None
     for a in range(SIDE + 1):
-        on = np.flatnonzero((left >= a) & (right >= SIDE - a))
-        if not len(on):
-            continue
         lead = before.segment(a) + 1 if a else np.zeros(n, np.int64)
         symbols = lead + 1 + (after.segment(SIDE - a) + 1 if a < SIDE else 0)  # that the window spans
+        fresh = np.ones(n, bool) if prior is None else cut_off[group] | (lead != prior[0]) | (symbols != prior[1])
+        prior = lead, symbols
+        if a:
+            mask[~fresh] |= ((mask[~fresh] >> np.uint32(a - 1)) & np.uint32(1)) << np.uint32(a)
+        on = np.flatnonzero(fresh & (left >= a) & (right >= SIDE - a))
+        if not len(on):
+            continue
         start = anchor - lead
         by = on[np.lexsort((rank[start[on]], group[on]))]
         p, q, need = start[by[:-1]], start[by[1:]], symbols[by[1:]]
