@@ -42,7 +42,7 @@ def text_light_names(spark, d):
 def text_phrases(spark, d):
     """Valid n-grams of micro texts and questions with their canonical names and types."""
     rows = table(spark, d, "benchmark").select((F.col("item_id") + 100).cast("int").alias("id"), "text").unionByName(_micro(spark))
-    grams = rows.select("id", F.explode(text.ngrams(text.entity_tokens(F.col("text")))).alias("g")).where(text.valid_phrase(F.col("g")))
+    grams = rows.select("id", text.entity_tokens(F.col("text")).alias("ts")).select("id", F.explode(text.ngrams(F.col("ts"))).alias("g")).where(text.valid_phrase(F.col("g")))
     got = grams.select("id", F.array_join("g", " ").alias("surface")).withColumn("canonical", text.concept_name(F.col("surface")))
     got = got.groupBy("canonical").agg(F.countDistinct("id").alias("n_records"), F.count("*").alias("n_mentions"), F.array_sort(F.collect_set("surface")).alias("s"))
     return got.select("canonical", "n_records", "n_mentions", F.array_join("s", "|").alias("surfaces"), text.concept_type(F.col("canonical"), F.col("s")).alias("entity_type"))
