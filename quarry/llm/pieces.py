@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Per stretch of documents (about ``STRETCH`` bytes): the distinct words are exploded into substrings of bounded
+Per stretch of documents (about ``STRETCH`` characters): the distinct words are exploded into substrings of bounded
 length, the substrings are equi-joined to the piece table, and the matching edges are grouped by word.  Each
 group is then folded with Spark's higher-order ``aggregate``, and the words' pieces are put back in the documents'
 order.  A stretch travels as one row, so nothing is shuffled and a word is folded once in a stretch.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.words import mix
 
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 MOST_PIECES = 2_000_000
 _LONGEST = 60  # characters of a word whose cuts fit a 64-bit mask
 _BLANK = "▁"
@@ -203,8 +203,13 @@ class Pieces:
 
 
 _EDGE = pa.struct([("ends", pa.int64()), ("inner", pa.int64()), ("score", pa.float64())])
-_STRETCH = pa.schema([("doc_id", pa.list_(pa.int64())), ("source", pa.list_(pa.binary())), ("unit", pa.list_(pa.int32())), ("end", pa.list_(pa.int64())), ("word", pa.list_(pa.string())), ("full", pa.list_(pa.int64())), ("edges", pa.list_(pa.list_(_EDGE)))])
-_STRETCH_DDL = "doc_id array<long>, source array<binary>, unit array<int>, end array<long>, word array<string>, full array<long>, edges array<array<struct<ends:long,inner:long,score:double>>>"
+
+
+def _stretch(model: int) -> tuple[pa.Schema, str]:
+    """Columns of a stretch's row.  A BPE edge is just the mask of the cuts inside it."""
+    edge, ddl = (pa.int64(), "long") if model == 2 else (_EDGE, "struct<ends:long,inner:long,score:double>")
+    fields = [("doc_id", pa.int64()), ("source", pa.binary()), ("unit", pa.int32()), ("end", pa.int64()), ("word", pa.string()), ("full", pa.int64()), ("edges", pa.list_(edge))]
+    return pa.schema([(n, pa.list_(t)) for n, t in fields]), f"doc_id array<long>, source array<binary>, unit array<int>, end array<long>, word array<string>, full array<long>, edges array<array<{ddl}>>"
 
 
 def lattice(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,9 +251,14 @@ def lattice(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray, np
 
 
 def merge_fold(full: Column, edges: Column) -> Column:
-    """The cuts that remain after all merges."""
-    take = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
-    return F.aggregate(edges, full, lambda m, e: F.when(take(m, e), m.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(m))
+    """The cuts that remain after all merges.
+
+    An edge is a run of ones, the cuts inside it; the bits next to the run are its ends.
+    """
+    low = lambda e: e.bitwiseAND(-e)
+    ends = lambda e: F.shiftright(low(e), 1).bitwiseOR(e + low(e))
+    take = lambda m, e: (F.bit_count(m.bitwiseAND(e)) == 1) & (F.bit_count(m.bitwiseAND(ends(e))) == 2)
+    return F.aggregate(edges, full, lambda m, e: F.when(take(m, e), m.bitwiseAND(F.bitwise_not(e))).otherwise(m))
 
 
 def viterbi(full: Column, edges: Column) -> Column:
@@ -314,10 +324,11 @@ def _spelled(words: list[str], masks: np.ndarray, table: Pieces) -> tuple[np.nda
     return out, offsets
 
 
-def encode(docs: DataFrame, model: bytes, stretch: int = STRETCH) -> DataFrame:
-    """doc_id, ids array<int>, source (md5 of the text) of every row."""
+def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int = STRETCH) -> DataFrame:
+    """Rows that ``finish(table, doc ids, lists of ids, md5 of texts)`` makes of each encoded stretch."""
     table = Pieces(model)
     sent = docs.sparkSession.sparkContext.broadcast(table)  # at most MOST_PIECES pieces
+    columns, ddl = _stretch(table.model)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -325,17 +336,17 @@ def encode(docs: DataFrame, model: bytes, stretch: int = STRETCH) -> DataFrame:
         def row() -> pa.RecordBatch:
             words = list(index)
             full, offsets, ends, inner, score = lattice(words, table)
-            edge = pa.StructArray.from_arrays([pa.array(ends), pa.array(inner), pa.array(score)], fields=list(_EDGE))
+            edge = pa.array(inner) if table.model == 2 else pa.StructArray.from_arrays([pa.array(ends), pa.array(inner), pa.array(score)], fields=list(_EDGE))
             values = [docs_, source, np.concatenate(units) if units else np.zeros(0, np.int32), np.cumsum([len(u) for u in units]), words, full]
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t.value_type)) for v, t in zip(values, _STRETCH.types)]
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t.value_type)) for v, t in zip(values, columns.types)]
             grouped = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), edge)
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), grouped))
-            return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, _STRETCH.types)], schema=_STRETCH)
+            return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, columns.types)], schema=columns)
 
         index, docs_, source, units, held = {}, [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
+            for doc, text in zip(*batch.columns):
+                doc, text = doc.as_py(), text.as_py() or ""
                 docs_.append(doc)
                 source.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
                 units.append(np.array([index.setdefault(u, len(index)) for u in table.words(text)], np.int32))
@@ -359,13 +370,22 @@ def encode(docs: DataFrame, model: bytes, stretch: int = STRETCH) -> DataFrame:
                 place = np.repeat(offsets[unit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.asarray(end)])]
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[place].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), ids, source], names=["doc_id", "ids", "source"])
+                yield finish(table, doc.cast(pa.int64()), ids, source)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    grouped = rows.mapInArrow(explode, _STRETCH_DDL)
+    grouped = rows.mapInArrow(explode, ddl)
     fold = merge_fold if table.model == 2 else viterbi
     folded = grouped.withColumn("cuts", F.zip_with("full", "edges", fold)).select("doc_id", "source", "unit", "end", "word", "cuts")
-    return folded.mapInArrow(collect, "doc_id long, ids array<int>, source binary")
+    return folded.mapInArrow(collect, schema)
+
+
+def encode(docs: DataFrame, model: bytes, stretch: int = STRETCH) -> DataFrame:
+    """doc_id, ids array<int>, source (md5 of the text) of every row."""
+
+    def finish(table: Pieces, doc: pa.Array, ids: pa.Array, source: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc, ids, source], names=["doc_id", "ids", "source"])
+
+    return _encoded(docs, model, "doc_id long, ids array<int>, source binary", finish, stretch)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -383,18 +403,14 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 def report(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_chars, round_trip of every row, and,
     if asked for, ids."""
-    sent = docs.sparkSession.sparkContext.broadcast(Pieces(model))
     kinds = {"n_pieces": pa.int64(), "ids_sha256": pa.string(), "decoded_chars": pa.int64(), "round_trip": pa.bool_()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, lists, source = batch.columns
-            out = []
-            for ids, md5 in zip(lists, source.to_pylist()):
-                ids = np.asarray(ids.values)
-                text = sent.value.decode(ids.tolist())
-                out.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), len(text), hashlib.md5(text.encode()).digest() == md5))
-            found = zip(*out) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([doc, *[pa.array(v, t) for v, t in zip(found, kinds.values())], *([lists] if with_ids else [])], names=["doc_id", *kinds, *(["ids"] if with_ids else [])])
-
-    return encode(docs, model).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids)
+    def finish(table: Pieces, doc: pa.Array, lists: pa.Array, source: pa.Array) -> pa.RecordBatch:
+        out = []
+        for ids, md5 in zip(lists, source):
+            ids = np.asarray(ids.values)
+            text = table.decode(ids.tolist())
+            out.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), len(text), hashlib.md5(text.encode()).digest() == md5.as_py()))
+        return pa.RecordBatch.from_arrays([doc, *[pa.array(v, t) for v, t in zip(zip(*out), kinds.values())], *([lists] if with_ids else [])], names=["doc_id", *kinds, *(["ids"] if with_ids else [])])
+
+    return _encoded(docs, model, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids, finish)
