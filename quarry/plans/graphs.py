@@ -97,7 +97,7 @@ def linear_rerank(spark, d):
 
 def model_blend(spark, d):
     rows = _overlaps(spark, d).withColumn("model_score", F.col("jaccard"))
-    return _round(rerank.blend(rows, 0.4).select("question_id", "passage_id", "new_rank", "new_score"), "new_score", places=5)
+    return _round(rerank.blend(rows, 0.37).select("question_id", "passage_id", "new_rank", "new_score"), "new_score", places=5)
 
 
 def protected_rerank(spark, d):
@@ -329,7 +329,7 @@ SELECT question_id, passage_id, CAST(coalesce(cluster, 0) AS DOUBLE) AS cluster,
     "overlap_rerank": f"WITH {_RR} SELECT question_id, passage_id, shared, round(jaccard, 6) AS jaccard, round(coverage, 6) AS coverage, CAST(entity_rank AS INTEGER) AS entity_rank, CAST(new_rank AS INTEGER) AS new_rank, round(CAST(new_score AS DOUBLE), 6) AS new_score FROM rr",
     "linear_rerank": f"""WITH {_OVER}, f AS (SELECT question_id, passage_id, rank, coverage, jaccard, 1 - (rank - 1) / 99 AS percentile, 1 - (rank - 1) / greatest(count(*) OVER (PARTITION BY question_id) - 1, 1) AS local_percentile, {_mm('score')} AS sn, CASE WHEN score > 0 THEN 1.0 / row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) ELSE 0 END AS score_reciprocal, {_mm('(1.0::DOUBLE / (60 + rank))')} AS bn FROM ov),
 s AS (SELECT *, 0.5::DOUBLE * bn + 0.2::DOUBLE * sn + 0.2::DOUBLE * coverage + 0.1::DOUBLE * jaccard AS new_score FROM f) SELECT question_id, passage_id, rank, {sql.rounded('percentile', 'local_percentile', 'score_reciprocal', 'new_score')}, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank FROM s""",
-    "model_blend": f"""WITH {_OVER}, s AS (SELECT *, 0.4::DOUBLE * {_mm('(1.0::DOUBLE / (60 + rank))')} + 0.6::DOUBLE * {_mm('jaccard')} AS new_score FROM ov) SELECT question_id, passage_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank, round(s.new_score, 5) AS new_score FROM s""",
+    "model_blend": f"""WITH {_OVER}, s AS (SELECT *, 0.37::DOUBLE * {_mm('(1.0::DOUBLE / (60 + rank))')} + 0.63::DOUBLE * {_mm('jaccard')} AS new_score FROM ov) SELECT question_id, passage_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank, round(s.new_score, 5) AS new_score FROM s""",
     "precision_scores": f"""WITH {_PARTS}, a AS (SELECT *, rare + mesh_specificity + hierarchy + 10 * seed + 0.5::DOUBLE * direct + relation AS pos FROM parts), b AS (SELECT *, least(pos / 3, 1.0) * semantic AS agreement, greatest(0, least(pos / 3, 1.0) - semantic) AS disagreement FROM a),
 r AS (SELECT *, pos + 0.5::DOUBLE * agreement - 0.7::DOUBLE * broad - 0.8::DOUBLE * hierarchy_only - 0.5::DOUBLE * high_df - 0.7::DOUBLE * greatest(0, high_df - 0.3::DOUBLE) - 0.4::DOUBLE * disagreement AS raw FROM b), p AS (SELECT *, {_mm('raw', 'CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END')} AS ps, rare + hierarchy + seed + relation + agreement AS tot FROM r)
 SELECT question_id, passage_id, round(raw, 6) AS raw, round(ps, 6) AS precision_score, round(CASE WHEN tot > 0 THEN ps * rare / tot ELSE 0 END, 6) AS gain_rare, round(ps - CASE WHEN tot > 0 THEN ps * relation / tot ELSE 0 END, 6) AS without_relation, round(CASE WHEN tot > 0 THEN ps ELSE 0 END, 6) AS total_gain, round(CASE WHEN tot > 0 THEN ps * greatest(rare, hierarchy, seed, relation, agreement) / tot ELSE 0 END, 6) AS max_gain FROM p""",
@@ -358,3 +358,29 @@ g AS (SELECT question_id, passage_id, min(base_rank) AS base_rank, sum(part) AS
 ORACLE["concept_expansion"] = f"""{_X}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY base_rank NULLS LAST, round(score, 9) DESC, passage_id) AS INTEGER) AS rank FROM g) SELECT question_id, passage_id, rank, round(score, 6) AS score, n_reasons, base_rank IS NULL AS is_new FROM r WHERE rank <= 40"""
 ORACLE["expansion_quality"] = f"""{_X}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, passage_id) AS rank FROM g), x AS (SELECT question_id, passage_id, q2.question_id IS NOT NULL AS gold FROM r LEFT JOIN (SELECT DISTINCT question_id, passage_id FROM qrels) q2 USING (question_id, passage_id) WHERE rank <= 40 AND NOT EXISTS (SELECT 1 FROM a WHERE a.question_id = r.question_id AND a.passage_id = r.passage_id))
 SELECT count(*) AS added, count(*) FILTER (WHERE gold) AS new_gold, round(1 - count(*) FILTER (WHERE gold) / count(*), 6) AS noise_ratio FROM x"""
+ORACLE["protected_rerank"] = f"""WITH {_OVER}, s AS (SELECT *, round(coverage + jaccard, 6) AS signal FROM ov), b AS (SELECT question_id, list_sort(list(signal))[CAST(floor(0.75 * (count(*) - 1)) AS BIGINT) + 1] AS bar FROM s GROUP BY 1),
+t AS (SELECT *, rank > 3 AND signal >= bar AND signal > 0 AS able FROM s JOIN b USING (question_id)), u AS (SELECT *, able AND row_number() OVER (PARTITION BY question_id, able ORDER BY round(signal, 9) DESC, rank, passage_id) <= 1 AS rescued FROM t),
+v AS (SELECT *, 1.0::DOUBLE / (60 + rank) + CASE WHEN rescued THEN 1.0::DOUBLE / 63 ELSE 0 END AS new_score, rescued OR rank <= 3 AS ins FROM u), w AS (SELECT *, row_number() OVER (PARTITION BY question_id, ins ORDER BY round(new_score, 9) DESC, rank, passage_id) AS m FROM v),
+x AS (SELECT *, NOT (ins AND m <= 3) AS late FROM w) SELECT question_id, passage_id, rank, rescued, CAST(row_number() OVER (PARTITION BY question_id ORDER BY late, CASE WHEN late THEN rank ELSE m END, passage_id) AS INTEGER) AS new_rank, round(x.new_score, 6) AS new_score FROM x"""
+ORACLE["hyperpath_scores"] = f"""WITH {_OVER}, n AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM cand), e AS (SELECT question_id, passage_id, concept, rank, n, count(*) OVER (PARTITION BY question_id, concept) AS ldf, CASE WHEN rank <= 5 THEN 1.0::DOUBLE / (60 + rank) ELSE 0 END AS given FROM n JOIN pt USING (passage_id)),
+f AS (SELECT e.*, CASE WHEN ldf / n > 0.8 THEN 0 ELSE ln((n + 1) / (ldf + 1)) + 1 END AS idf, qt.concept IS NOT NULL AS asked, sum(given) OVER (PARTITION BY e.question_id, e.concept) - given AS frm FROM e LEFT JOIN qt ON qt.question_id = e.question_id AND qt.concept = e.concept),
+g AS (SELECT question_id, passage_id, sum(CASE WHEN asked THEN 1.5::DOUBLE * idf * (1 + ln(1 + greatest(ldf - 1, 0))) ELSE 0 END + 1.8::DOUBLE * idf * frm) AS raw FROM f GROUP BY ALL), h AS (SELECT question_id, passage_id, rank, coalesce(raw, 0) AS raw FROM cand LEFT JOIN g USING (question_id, passage_id)),
+i AS (SELECT *, {_mm('raw', 'CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END')} AS norm FROM h), j AS (SELECT f.question_id, f.passage_id, f.concept, f.ldf, f.idf, CASE WHEN sum(f.idf) OVER (PARTITION BY f.question_id, f.passage_id) > 0 THEN (norm + CASE WHEN f.rank <= 5 THEN 12.0::DOUBLE / (60 + f.rank) ELSE 0 END) * f.idf / sum(f.idf) OVER (PARTITION BY f.question_id, f.passage_id) ELSE 0 END AS own FROM f JOIN i USING (question_id, passage_id)),
+k AS (SELECT *, sum(own) OVER (PARTITION BY question_id, concept) AS cm FROM j), l AS (SELECT question_id, passage_id, sum(cm * idf / ldf) AS walk FROM k WHERE ldf >= 2 GROUP BY ALL), m AS (SELECT i.*, 0.65::DOUBLE * norm + 0.35::DOUBLE * coalesce(walk, 0) AS mixed FROM i LEFT JOIN l USING (question_id, passage_id))
+SELECT question_id, passage_id, rank, round(raw, 6) AS raw, round(norm, 6) AS path_score, round({_mm('mixed', 'CASE WHEN mixed > 0 THEN 1.0 ELSE 0.0 END')}, 6) AS hyperpath_score FROM m"""
+ORACLE["threshold_gates"] = f"""WITH d AS ({ORACLE['run_disagreement']}), j AS (SELECT mean_rank_delta AS score, CASE WHEN c_acctbal > 0 THEN 1 ELSE -1 END AS gain FROM d JOIN customer ON CAST(c_custkey AS VARCHAR) = question_id), t AS (SELECT score, count(*) AS n, sum(gain) AS g FROM j GROUP BY 1)
+SELECT 'delta' AS score_name, score AS threshold, CAST(sum(n) OVER w AS BIGINT) AS selected, CAST(sum(g) OVER w AS BIGINT) AS total_gain, round(sum(n) OVER w / sum(n) OVER (), 6) AS rate FROM t WINDOW w AS (ORDER BY score DESC)"""
+
+
+def _report_sql() -> str:
+    from quarry.functions import lexicon as lx
+    from quarry.plans.texts import _COUNT
+
+    return f"""WITH r AS (SELECT CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS gold, ' ' || lower(coalesce(text, '')) || ' ' AS t FROM documents JOIN labels USING (doc_id)), c AS (SELECT gold, {_COUNT(lx.NEGATIVE)} AS no, {_COUNT(lx.HEDGE)} AS may FROM r),
+p AS (SELECT gold, CASE WHEN no > 0 AND no >= may THEN 'no' WHEN may > 0 THEN 'maybe' ELSE 'yes' END AS predicted FROM c),
+s AS (SELECT label, count(*) FILTER (WHERE gold = label AND predicted = label) AS tp, count(*) FILTER (WHERE predicted = label) AS np, count(*) FILTER (WHERE gold = label) AS support, count(*) FILTER (WHERE gold = label AND predicted = 'yes') AS as_yes, count(*) FILTER (WHERE gold = label AND predicted = 'no') AS as_no,
+ count(*) FILTER (WHERE gold = label AND predicted = 'maybe') AS as_maybe, avg(CASE WHEN gold = predicted THEN 1.0 ELSE 0.0 END) AS acc FROM p, (VALUES ('yes'), ('no'), ('maybe')) l(label) GROUP BY label), f AS (SELECT *, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS re, CASE WHEN np + support > 0 THEN 2 * tp / (np + support) ELSE 0 END AS f1v FROM s)
+SELECT label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1v, 6) AS f1, support, as_yes, as_no, as_maybe, round(acc, 6) AS accuracy, round(avg(f1v) OVER (), 6) AS macro_f1 FROM f"""
+
+
+ORACLE["answer_report"] = _report_sql()
