@@ -97,7 +97,7 @@ def linear_rerank(spark, d):
 
 def model_blend(spark, d):
     rows = _overlaps(spark, d).withColumn("model_score", F.col("jaccard"))
-    return _round(rerank.blend(rows, 0.37).select("question_id", "passage_id", "new_rank", "new_score"), "new_score", places=5)
+    return _round(rerank.blend(rows, 0.371937).select("question_id", "passage_id", "new_rank", "new_score"), "new_score")
 
 
 def protected_rerank(spark, d):
@@ -329,7 +329,7 @@ SELECT question_id, passage_id, CAST(coalesce(cluster, 0) AS DOUBLE) AS cluster,
     "overlap_rerank": f"WITH {_RR} SELECT question_id, passage_id, shared, round(jaccard, 6) AS jaccard, round(coverage, 6) AS coverage, CAST(entity_rank AS INTEGER) AS entity_rank, CAST(new_rank AS INTEGER) AS new_rank, round(CAST(new_score AS DOUBLE), 6) AS new_score FROM rr",
     "linear_rerank": f"""WITH {_OVER}, f AS (SELECT question_id, passage_id, rank, coverage, jaccard, 1 - (rank - 1) / 99 AS percentile, 1 - (rank - 1) / greatest(count(*) OVER (PARTITION BY question_id) - 1, 1) AS local_percentile, {_mm('score')} AS sn, CASE WHEN score > 0 THEN 1.0 / row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) ELSE 0 END AS score_reciprocal, {_mm('(1.0::DOUBLE / (60 + rank))')} AS bn FROM ov),
 s AS (SELECT *, 0.5::DOUBLE * bn + 0.2::DOUBLE * sn + 0.2::DOUBLE * coverage + 0.1::DOUBLE * jaccard AS new_score FROM f) SELECT question_id, passage_id, rank, {sql.rounded('percentile', 'local_percentile', 'score_reciprocal', 'new_score')}, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank FROM s""",
-    "model_blend": f"""WITH {_OVER}, s AS (SELECT *, 0.37::DOUBLE * {_mm('(1.0::DOUBLE / (60 + rank))')} + 0.63::DOUBLE * {_mm('jaccard')} AS new_score FROM ov) SELECT question_id, passage_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank, round(s.new_score, 5) AS new_score FROM s""",
+    "model_blend": f"""WITH {_OVER}, s AS (SELECT *, 0.371937::DOUBLE * {_mm('(1.0::DOUBLE / (60 + rank))')} + 0.628063::DOUBLE * {_mm('jaccard')} AS new_score FROM ov) SELECT question_id, passage_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank, round(s.new_score, 6) AS new_score FROM s""",
     "precision_scores": f"""WITH {_PARTS}, a AS (SELECT *, rare + mesh_specificity + hierarchy + 10 * seed + 0.5::DOUBLE * direct + relation AS pos FROM parts), b AS (SELECT *, least(pos / 3, 1.0) * semantic AS agreement, greatest(0, least(pos / 3, 1.0) - semantic) AS disagreement FROM a),
 r AS (SELECT *, pos + 0.5::DOUBLE * agreement - 0.7::DOUBLE * broad - 0.8::DOUBLE * hierarchy_only - 0.5::DOUBLE * high_df - 0.7::DOUBLE * greatest(0, high_df - 0.3::DOUBLE) - 0.4::DOUBLE * disagreement AS raw FROM b), p AS (SELECT *, {_mm('raw', 'CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END')} AS ps, rare + hierarchy + seed + relation + agreement AS tot FROM r)
 SELECT question_id, passage_id, round(raw, 6) AS raw, round(ps, 6) AS precision_score, round(CASE WHEN tot > 0 THEN ps * rare / tot ELSE 0 END, 6) AS gain_rare, round(ps - CASE WHEN tot > 0 THEN ps * relation / tot ELSE 0 END, 6) AS without_relation, round(CASE WHEN tot > 0 THEN ps ELSE 0 END, 6) AS total_gain, round(CASE WHEN tot > 0 THEN ps * greatest(rare, hierarchy, seed, relation, agreement) / tot ELSE 0 END, 6) AS max_gain FROM p""",
