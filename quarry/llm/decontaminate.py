@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import batches_of, lowered, utf8, words
+from quarry.llm.words import batches_of, lowered, release, utf8, words
 
 WINDOW = 10
 BLOCK = 16 << 20
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 SAMPLE = 8
 
 
@@ -267,6 +267,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int
                     prior = list(zip(pdf["items"][a:b], pdf["word_runs"][a:b])) if turn else None
                     found += _shard(raws[a:b], sent.value, prior)
                 yield pdf.assign(**{c: [f[k] for f in found] for k, c in enumerate(_FOUND)})
+                release()
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         out = out.mapInPandas(run, f"{types}, {_FOUND_TYPES}")

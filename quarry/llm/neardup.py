@@ -29,17 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.util import bounded, saved
-from quarry.llm.words import batches_of, lowered, mix, utf8, words
+from quarry.llm.words import lowered, mix, release, texts_in, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 FEW, BLOCK = 16, 256  # members of a band compared one by one, and documents of a block
 MOST_DOCS = 3000  # of a stretch: document and coordinate share 19 bits of a sorting key
 _FRACTION, _RANK = 32, 45  # bits of a rank below one, and of a rank
@@ -131,16 +132,17 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(least / most) if most else 0.0
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        raws = utf8(pdf["text"])
-        for a, b in batches_of(raws, STRETCH):
-            for a, b in ((x, min(b, x + MOST_DOCS)) for x in range(a, b, MOST_DOCS)):  # noqa: B020
-                part = raws[a:b]
-                e, w, d = weighted(part)
-                total = np.bincount(d, w, len(part))
-                keys = bands(darts(e, w, d, len(part)))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, "node": [hashlib.md5(r).digest() if t else None for r, t in zip(part, total)], "weight": total, "bands": [k if t else None for k, t in zip(keys, total)]})
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, raws in texts_in(batch.column(1), STRETCH, MOST_DOCS):
+            e, w, d = weighted(raws)
+            total = np.bincount(d, w, len(raws))
+            keys = bands(darts(e, w, d, len(raws)))
+            some = total > 0
+            at = np.concatenate([[0], np.cumsum(np.where(some, keys.shape[1], 0))])
+            held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys[some].ravel()))
+            node = pa.array([hashlib.md5(r).digest() if t else None for r, t in zip(raws, some)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), node, pa.array(total.astype(np.float64)), held], names=["doc_id", "node", "weight", "bands"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,6 +158,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 sets.append(last[node])
             out.append(jaccard(*sets))
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
+        release()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -199,7 +202,7 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 def sign(docs: DataFrame) -> DataFrame:
     """doc_id, node (md5 of the text; null without words), weight and band keys of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInPandas(_sign, "doc_id long, node binary, weight double, bands array<long>"), "signed")
+    return saved(rows.mapInArrow(_sign, "doc_id long, node binary, weight double, bands array<long>"), "signed")
 
 
 def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:

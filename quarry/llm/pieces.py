@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import mix
+from quarry.llm.words import mix, release
 
 STRETCH = 1 << 20
 MOST_PIECES = 2_000_000
@@ -354,6 +354,7 @@ def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int =
                 if held >= stretch:
                     yield row()
                     index, docs_, source, units, held = {}, [], [], [], 0
+            release()
         if docs_:
             yield row()
 
@@ -371,6 +372,7 @@ def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int =
                 ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.asarray(end)])]
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[place].astype(np.int32)))
                 yield finish(table, doc.cast(pa.int64()), ids, source)
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grouped = rows.mapInArrow(explode, ddl)

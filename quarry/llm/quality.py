@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import SPACE, words
+from quarry.llm.words import SPACE, texts_in, words
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
@@ -44,9 +44,9 @@ def _repeated(codes: np.ndarray) -> float:
     return float((codes[1:] == codes[:-1]).sum()) / len(codes)
 
 
-def statistics(text: str) -> list[float]:
-    """The FEATURES of one whole text."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def statistics(source: bytes) -> list[float]:
+    """The FEATURES of one whole text, given as UTF-8."""
+    raw, text = np.frombuffer(source, np.uint8), source.decode("utf-8", "replace")
     count = np.bincount(raw, minlength=256)
     n = max(1, len(raw))
     share = lambda s: sum(int(count[ord(c)]) for c in s) / n
@@ -76,8 +76,13 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def matrix(texts: pd.Series) -> np.ndarray:
-    return np.array([statistics(x if isinstance(x, str) else "") for x in texts], np.float64).reshape(len(texts), len(FEATURES))
+def matrix(texts: list[bytes]) -> np.ndarray:
+    return np.array([statistics(x) for x in texts], np.float64).reshape(len(texts), len(FEATURES))
+
+
+def column_matrix(column: pa.Array) -> np.ndarray:
+    """The features of a text column; a null is empty."""
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(matrix(raws) for _, _, raws in texts_in(column))])
 
 
 class Trees:
@@ -140,9 +145,10 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": list(matrix(pdf["text"]))})
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = pa.array(list(column_matrix(batch.column("text"))), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), x], names=["doc_id", "y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
@@ -150,35 +156,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     usable = usable.where(remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_train rows
-    got = rows.mapInPandas(_features, "doc_id long, y int, x array<double>").toPandas()
-    got = got.assign(key=[tuple(v) for v in got["x"]]).drop_duplicates(["doc_id"]).sort_values(["doc_id", "y"]) if len(got) else got
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_train rows
+    got = rows.mapInArrow(_features, "doc_id long, y int, x array<double>").toPandas()
+    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id") if len(got) else got
     x = np.array(list(got["x"]), np.float64).reshape(len(got), len(FEATURES))
     return grow(x, got["y"].to_numpy(np.float64))
 
 
-def with_scores(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows with ``score`` double."""
-    sent = docs.sparkSession.sparkContext.broadcast(trees)  # trees * 2**depth numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(score=sent.value.score(matrix(pdf["text"])))
-
-    return docs.mapInPandas(run, f"{docs.schema.simpleString()[7:-1]},score:double")
-
-
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.7) of every row."""
     trees = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(trees)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": sent.value.score(matrix(pdf["text"]))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(column_matrix(batch.column("text"))))], names=["doc_id", "score"])
 
-    scored = rows.mapInPandas(run, "doc_id long, score double")
+    scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -187,9 +182,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trees = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf[sent.value.score(matrix(pdf["text"])) >= THRESHOLD]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.score(column_matrix(batch.column("text"))) >= THRESHOLD))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.suffixes import grouping
 from quarry.llm.util import saved, shared_dir
-from quarry.llm.words import mix, prefix_sums, stretch, utf8
+from quarry.llm.words import mix, prefix_sums, release, stretch, utf8
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM  # bytes of a window beside its anchor
@@ -241,6 +241,8 @@ def _each(blocks: DataFrame, parts: int, answers: list[DataFrame], step: Callabl
                     got = getattr(row, f"answer{k}")
                     getattr(block, learn[k])([] if got is None or isinstance(got, float) else got)
                 yield from step(block, row)
+                del block
+            release()
 
     return rows.mapInPandas(run, schema)
 
@@ -398,6 +400,7 @@ def _masks(pdf: pd.DataFrame) -> pd.DataFrame:
     numbers = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
     mask = equal_windows(np.concatenate(each), numbers("docs", np.int64), numbers("left", np.uint8).astype(np.int64), numbers("right", np.uint8).astype(np.int64), numbers("sides", np.uint8))
     cuts = np.cumsum([len(x) for x in each])[:-1]
+    release()
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "masks": [x.tobytes() for x in np.split(mask, cuts)]})
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _K = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_K, -1, 1 << 64)
@@ -81,3 +86,26 @@ def batches_of(texts: list[bytes], most: int = _STEP):
 def utf8(texts) -> list[bytes]:
     """Bytes of each text; a null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+
+
+def texts_in(column: pa.Array, most: int = 1 << 20, rows: int = 3000) -> Iterator[tuple[int, int, list[bytes]]]:
+    """A text column in stretches (from, to, bytes of each text; a null is empty) of about ``most`` bytes, one text
+    at least.  Only one stretch is held as Python objects at a time, and what it took goes back to the system."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    a = held = 0
+    for b in range(len(size) + 1):
+        if b == len(size) or b > a and (held + size[b] > most or b - a >= rows):
+            if b > a:
+                yield a, b, [x or b"" for x in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+            a, held = b, 0
+        held += size[b] + 1 if b < len(size) else 0
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back: workers live on between stages and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
