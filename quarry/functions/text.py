@@ -77,9 +77,9 @@ def light_name(c: Column, plural: bool = True) -> Column:
     return F.array_join(F.transform(parts, lambda t: singular(t)) if plural else parts, " ")
 
 
-def variants(c: Column) -> Column:
-    """Distinct non-empty spellings of a phrase (FN-07)."""
-    return F.array_distinct(F.filter(F.array(concept_name(c), light_name(c)), lambda v: v != ""))
+def variants(c: Column, light: Column | None = None) -> Column:
+    """Distinct non-empty spellings of a phrase (FN-07); ``light``: its light name, if at hand."""
+    return F.array_distinct(F.filter(F.array(concept_name(c), light_name(c) if light is None else light), lambda v: v != ""))
 
 
 def abbreviations(c: Column) -> Column:
@@ -91,9 +91,9 @@ def abbreviations(c: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def contained(c: Column, phrases: Column) -> Column:
-    """How many phrases stand in a text as whole words (FN-09)."""
-    padded = F.concat(F.lit(" "), light_name(c), F.lit(" "))
+def contained(c: Column, phrases: Column, light: Column | None = None) -> Column:
+    """How many phrases stand in a text as whole words (FN-09); ``light``: the text's light name, if at hand."""
+    padded = F.concat(F.lit(" "), light_name(c) if light is None else light, F.lit(" "))
     names = F.filter(F.transform(phrases, lambda p: light_name(p)), lambda p: p != "")
     return F.size(F.filter(names, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" ")))))
 

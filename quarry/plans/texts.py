@@ -33,10 +33,12 @@ def text_tokens(spark, d):
 
 
 def text_light_names(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     rows = rows.unionByName(_micro(spark).select((-F.col("id")).cast("long").alias("id"), "text"))
     phrases = text.words_in(["the", "lung cancers", "of the", "et de", "und die"])
-    return rows.select("id", text.light_name(F.col("text")).alias("light"), F.size(text.variants(F.col("text"))).alias("n_variants"), text.contained(F.col("text"), phrases).alias("n_contained"))
+    rows = rows.select("id", "text", text.light_name(F.col("text")).alias("light"))  # once for each text
+    light = F.col("light")
+    return rows.select("id", "light", F.size(text.variants(F.col("text"), light)).alias("n_variants"), text.contained(F.col("text"), phrases, light).alias("n_contained"))
 
 
 def text_phrases(spark, d):
