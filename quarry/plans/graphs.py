@@ -213,17 +213,19 @@ def expansion_quality(spark, d):
     return _round(expand.expansion_quality(base, run, qrels(spark, d)), "noise_ratio")
 
 
+def _dictionary(c: DataFrame) -> DataFrame:
+    """Phrases with a long token, as the domain words of valid_phrase are rare in these texts; the operator's other bounds."""
+    return annotate.build_dictionary(c, valid=lambda g: F.exists(g, lambda t: F.length(t) >= 8))
+
+
 def concept_dictionary(spark, d):
-    """A dictionary of capitalised words and pairs with at least one long token."""
-    valid = lambda g: F.exists(g, lambda t: F.length(t) >= 8)
-    got = annotate.build_dictionary(corpus(spark, d), least=4, most=3000, longest=2, valid=valid)
-    return got.select("entity_id", "canonical", F.array_join("surface_forms", "|").alias("surface_forms"), "document_frequency", "entity_type")
+    """A dictionary of phrases of one to five tokens, at least one of them long."""
+    return _dictionary(corpus(spark, d)).select("entity_id", "canonical", F.array_join("surface_forms", "|").alias("surface_forms"), "document_frequency", "entity_type")
 
 
 def dictionary_matches(spark, d):
-    valid = lambda g: F.exists(g, lambda t: F.length(t) >= 8)
     c = corpus(spark, d)
-    return annotate.greedy(annotate.spans(c, annotate.build_dictionary(c, least=4, most=3000, longest=2, valid=valid)), "passage_id")
+    return annotate.greedy(annotate.spans(c, _dictionary(c)), "passage_id")
 
 
 def contained_terms(spark, d):

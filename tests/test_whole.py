@@ -12,3 +12,12 @@ def test_light_names_of_whole_texts(spark, tmp_path):
     _documents(spark, tmp_path, ["word " * 100 + "of the lung cancers"])
     r = entry.queries()["text_light_names"](spark, str(tmp_path)).where("id = 0").first()
     assert r["light"] == "word " * 100 + "of the lung cancer" and (r["n_variants"], r["n_contained"]) == (2, 3)
+
+
+def test_dictionary_has_long_phrases_and_all_terms(spark, tmp_path):
+    words = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) + "aaaaa" for i in range(700)]
+    _documents(spark, tmp_path, [" ".join(words)] * 3)
+    got = {r["canonical"]: r["document_frequency"] for r in entry.queries()["concept_dictionary"](spark, str(tmp_path)).collect()}
+    assert len(got) == 700 + 699 + 698 + 697 + 696 and got[" ".join(words[:5])] == 3
+    matches = entry.queries()["dictionary_matches"](spark, str(tmp_path)).where("passage_id = '0'").collect()
+    assert len(matches) == 128 and {r["end_token"] - r["start_token"] for r in matches} == {5}
