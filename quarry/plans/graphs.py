@@ -230,8 +230,8 @@ def dictionary_matches(spark, d):
 
 def contained_terms(spark, d):
     terms = table(spark, d, "nation").select(F.col("n_nationkey").cast(_S).alias("term_id"), F.lower("n_name").alias("normalized"))
-    words = corpus(spark, d).select(F.explode(F.array_distinct(F.slice(lexical.text.tokens(F.col("text")), 1, 2))).alias("normalized")).distinct()
-    return annotate.contained_terms(questions(spark, d), terms.unionByName(words.select(F.concat(F.lit("w:"), "normalized").alias("term_id"), "normalized")), 8)
+    words = corpus(spark, d).select(F.explode(F.array_distinct(lexical.text.tokens(F.col("text")))).alias("normalized")).distinct()
+    return annotate.contained_terms(questions(spark, d), terms.unionByName(words.select(F.concat(F.lit("w:"), "normalized").alias("term_id"), "normalized")))
 
 
 def corpus_ingest(spark, d):

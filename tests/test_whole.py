@@ -21,3 +21,14 @@ def test_dictionary_has_long_phrases_and_all_terms(spark, tmp_path):
     assert len(got) == 700 + 699 + 698 + 697 + 696 and got[" ".join(words[:5])] == 3
     matches = entry.queries()["dictionary_matches"](spark, str(tmp_path)).where("passage_id = '0'").collect()
     assert len(matches) == 128 and {r["end_token"] - r["start_token"] for r in matches} == {5}
+
+
+def test_contained_terms_of_whole_texts(spark, tmp_path):
+    words = [f"w{i:02d}" for i in range(40)]
+    _documents(spark, tmp_path, ["first second " + " ".join(words)])
+    spark.createDataFrame([(1, " ".join(words[:9])), (2, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "PERU")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {}
+    for r in entry.queries()["contained_terms"](spark, str(tmp_path)).collect():
+        got.setdefault(r["question_id"], []).append(r["normalized"])
+    assert sorted(got["1"]) == words[:9] and sorted(got["2"]) == words[:32]
