@@ -163,21 +163,60 @@ def overlap_features(candidates: DataFrame, question_bags: DataFrame, passage_ba
     return rows.select(*ids, F.col("shared").cast("double").alias("shared"), numeric.ratio(F.col("shared"), F.col("nq") + F.col("np") - F.col("shared")).alias("jaccard"), numeric.ratio(F.col("shared"), F.col("nq")).alias("coverage"))
 
 
-def hyperpath(candidates: DataFrame, question_bags: DataFrame, passage_bags: DataFrame, seeds: int = 10, most_df: float = 0.45) -> DataFrame:
-    """Path scores over concepts shared inside a candidate set, then a passage-concept-passage step (GR-10).
+def _tree_paths(rows: DataFrame, questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """Weight by which each candidate's tree concept counts for its question's other descriptors (GR-11).
+
+    A pair of descriptors counts once for nearness (its nearest trees), once as siblings (their first common
+    parent) and once as ancestor and descendant.
+    """
+    ids = ["question_id", "passage_id"]
+    q = questions.select("question_id", F.col("mesh").alias("qm"), F.explode("trees").alias("qt"))
+    p = passages.select("passage_id", F.col("mesh").alias("pm"), F.explode("trees").alias("pt"))
+    pairs = rows.select(*ids).join(p, "passage_id").join(small(q), "question_id").where("qm <> pm")
+    qt, pt = F.col("qt"), F.col("pt")
+    sibling = (tree.parent(qt) == tree.parent(pt)) & (qt != pt)
+    above = F.array_contains(tree.ancestors(qt), pt) | F.array_contains(tree.ancestors(pt), qt)
+    per = pairs.groupBy(*ids, "qm", "pm").agg(F.min(tree.distance(qt, pt)).alias("dist"), F.min(F.when(sibling, tree.parent(qt))).alias("up"), F.max(above).alias("above"))
+    own = F.when(F.col("dist") <= 3, 1.0 / (1 + F.col("dist"))).otherwise(0.0) + F.when(F.col("above"), 0.55).otherwise(0.0)
+    found = per.select(*ids, F.concat(F.lit("m:"), "pm").alias("concept"), own.alias("w")).unionByName(per.where("up IS NOT NULL").select(*ids, F.concat(F.lit("mp:"), "up").alias("concept"), F.lit(0.35).alias("w")))
+    return found.groupBy(*ids, "concept").agg(F.sum("w").alias("near"))
+
+
+def hyperpath(
+    candidates: DataFrame, question_bags: DataFrame, passage_bags: DataFrame, seeds: int = 10, most_df: float = 0.45,
+    question_trees: DataFrame | None = None, passage_trees: DataFrame | None = None, relations: DataFrame | None = None,
+) -> DataFrame:
+    """Path scores over concepts shared inside a candidate set, then a passage-concept-passage step (GR-10, GR-11).
 
     Concepts are counted among the question's own candidates.  A candidate's paths: entities it shares with the
-    question, and concepts it shares with the first ``seeds`` candidates.
+    question, concepts it shares with the first ``seeds`` candidates; with trees (id, mesh, trees), the question's
+    descriptors and their neighbours; with relations (source, target; both directions), related entities.
     """
     ids, q = ["question_id", "passage_id"], Window.partitionBy("question_id")
     rows = candidates.select(*ids, "rank").withColumn("n", F.count("*").over(q))
-    each = rows.join(passage_bags.select("passage_id", "concept").distinct(), "passage_id").withColumn("ldf", F.count("*").over(Window.partitionBy("question_id", "concept")))
+    entity = lambda c: F.concat(F.lit("e:"), c).alias("concept")
+    bags = passage_bags.select("passage_id", entity("concept"))
+    asked = question_bags.select("question_id", entity("concept"), F.lit("asked").alias("kind"))
+    if relations is not None:
+        ends = relations.select(F.col("source").alias("concept"), "target").distinct()
+        asked = asked.unionByName(question_bags.join(small(ends), "concept").select("question_id", entity("target"), F.lit("related").alias("kind")))
+    if passage_trees is not None:
+        each_tree = passage_trees.select("passage_id", "mesh", F.explode("trees").alias("t"))
+        up = F.concat(F.array(F.concat(F.lit("mp:"), tree.parent(F.col("t")))), F.transform(tree.ancestors(F.col("t")), lambda a: F.concat(F.lit("ma:"), a)))
+        bags = bags.unionByName(passage_trees.select("passage_id", F.concat(F.lit("m:"), "mesh").alias("concept"))).unionByName(each_tree.select("passage_id", F.explode(up).alias("concept")).where("concept IS NOT NULL"))
+        asked = asked.unionByName(question_trees.select("question_id", F.concat(F.lit("m:"), "mesh").alias("concept"), F.lit("exact").alias("kind")))
+    each = rows.join(bags.distinct(), "passage_id").withColumn("ldf", F.count("*").over(Window.partitionBy("question_id", "concept")))
     each = each.withColumn("idf", numeric.capped_idf(F.col("ldf"), F.col("n"), most_df))
-    hit = each.join(small(question_bags.distinct().withColumn("asked", F.lit(1))), ["question_id", "concept"], "left")
+    kinds = asked.groupBy("question_id", "concept").agg(*[F.max(F.col("kind") == k).alias(k) for k in ("asked", "related", "exact")])
+    hit = each.join(small(kinds), ["question_id", "concept"], "left")
     # A concept's weight from seeds: each other seed that holds it gives idf / (60 + rank).
     given = F.when(F.col("rank") <= seeds, 1.0 / (60 + F.col("rank"))).otherwise(0.0)
     hit = hit.withColumn("from", F.sum(given).over(Window.partitionBy("question_id", "concept")) - given)
-    part = F.when(F.col("asked") == 1, 1.5 * F.col("idf") * (1 + F.log1p(F.greatest(F.col("ldf") - 1, F.lit(0))))).otherwise(0.0) + 1.8 * F.col("idf") * F.col("from")
+    part = F.when(F.col("asked"), 1.5 * F.col("idf") * (1 + F.log1p(F.greatest(F.col("ldf") - 1, F.lit(0))))).otherwise(0.0) + 1.8 * F.col("idf") * F.col("from")
+    part = part + F.when(F.col("exact"), 2.0 * F.col("idf")).otherwise(0.0) + F.when(F.col("related"), 0.8 * F.col("idf")).otherwise(0.0)
+    if passage_trees is not None:
+        hit = hit.join(_tree_paths(rows, question_trees, passage_trees), [*ids, "concept"], "left")
+        part = part + 1.1 * F.col("idf") * F.coalesce("near", F.lit(0.0))
     score = rows.join(hit.groupBy(*ids).agg(F.sum(part).alias("raw")), ids, "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     score = score.withColumn("norm", minmax("raw", "question_id", flat=F.when(F.col("raw") > 0, 1.0).otherwise(0.0)))
     mass = F.col("norm") + F.when(F.col("rank") <= seeds, 12.0 / (60 + F.col("rank"))).otherwise(0.0)

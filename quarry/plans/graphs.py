@@ -108,7 +108,14 @@ def protected_rerank(spark, d):
 def hyperpath_scores(spark, d):
     bags = passage_entities(spark, d).select("passage_id", F.col("entity_type").alias("concept")).distinct()
     asked = _overlap_questions(spark, d)
-    return _round(graph.hyperpath(candidates(spark, d), asked, bags, 5, 0.8), "raw", "path_score", "hyperpath_score")
+    q, p = _trees(spark, d)
+    return _round(graph.hyperpath(candidates(spark, d), asked, bags, 5, 0.8, q, p, _relations(spark, d)), "raw", "path_score", "hyperpath_score")
+
+
+def _relations(spark, d) -> DataFrame:
+    """Part types that differ in their first word only are related, in both directions."""
+    types = table(spark, d, "part").select(F.col("p_type").alias("t")).distinct().withColumn("k", F.regexp_replace("t", "^[^ ]+ ", ""))
+    return types.withColumnRenamed("t", "source").join(types.withColumnRenamed("t", "target"), "k").where("source <> target").select("source", "target")
 
 
 def _overlap_questions(spark, d):

@@ -1,6 +1,11 @@
 """Queries do the whole job: whole texts, whole vocabularies, the operators' own bounds."""
 
+import math
+
+import pytest
+
 import __spark_entry__ as entry
+from quarry.operators import graph
 
 
 def _documents(spark, path, texts):
@@ -32,3 +37,15 @@ def test_contained_terms_of_whole_texts(spark, tmp_path):
     for r in entry.queries()["contained_terms"](spark, str(tmp_path)).collect():
         got.setdefault(r["question_id"], []).append(r["normalized"])
     assert sorted(got["1"]) == words[:9] and sorted(got["2"]) == words[:32]
+
+
+def test_hyperpath_counts_descriptors_tree_neighbours_and_relations(spark):
+    c = spark.createDataFrame([("q", f"p{i}", i) for i in (1, 2, 3, 4)], "question_id string, passage_id string, rank int")
+    asked = spark.createDataFrame([("q", "x")], "question_id string, concept string")
+    bags = spark.createDataFrame([("p3", "y")], "passage_id string, concept string")
+    qt = spark.createDataFrame([("q", "M1", ["A.B.C"])], "question_id string, mesh string, trees array<string>")
+    pt = spark.createDataFrame([("p1", "M1", ["A.B.C"]), ("p2", "M2", ["A.B.D"])], "passage_id string, mesh string, trees array<string>")
+    related = spark.createDataFrame([("x", "y"), ("y", "x")], "source string, target string")
+    got = {r["passage_id"]: r["raw"] for r in graph.hyperpath(c, asked, bags, 0, 1.0, qt, pt, related).collect()}
+    one, two = math.log(5 / 2) + 1, math.log(5 / 3) + 1  # concepts of one and of two of the four candidates
+    assert got == pytest.approx({"p1": 2 * one, "p2": 1.1 * (one / 3 + 0.35 * two), "p3": 0.8 * one, "p4": 0.0})
