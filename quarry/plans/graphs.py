@@ -1,7 +1,7 @@
 """Queries of graphs, concepts, expansion, reranking and answers, with their SQL.
 
 Graph side: question = customer, candidate = order (ranked by price), entity = part of its lines, entity type =
-part type, tree = region.nation.  Text side: documents, benchmark and the rare-word lexicon of tables.py.
+part type, tree = region.nation.  Text side: documents, benchmark and the lexicon of tables.py.
 """
 
 from __future__ import annotations
@@ -208,7 +208,7 @@ def _expansion(spark, d, preserve: bool):
     c, q, bags, asked = _text(spark, d)
     base = lexical.search(c, q, 10)
     anchors = asked.select("question_id", "concept", F.lit("mesh").alias("reason"), F.lit(0.42).alias("weight")).unionByName(expand.seed_anchors(base, bags, 3, 20))
-    return base, expand.expanded(base, expand.posting_scores(anchors, bags, c.count(), most=10), 40, preserve)
+    return base, expand.expanded(base, expand.posting_scores(anchors, bags, c.count()), 40, preserve)
 
 
 def concept_expansion(spark, d):

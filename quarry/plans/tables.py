@@ -1,5 +1,5 @@
 """The engine's tables over the driver's: corpus = documents, questions = benchmark, qrels = documents that contain
-an item's text, concepts = rare words (a df-band lexicon)."""
+an item's text, concepts = words of some length that two documents share; common ones are cut where postings are joined."""
 
 from __future__ import annotations
 
@@ -32,11 +32,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.where(F.contains("text", "question")).select("question_id", "passage_id", F.lit(1.0).alias("relevance"))
 
 
-def concept_bags(corpus: DataFrame, least: int = 2, most: int = 20, length: int = 6) -> DataFrame:
-    """passage_id, concept, df: words of some length whose document frequency lies in a band."""
+def concept_bags(corpus: DataFrame, least: int = 2, length: int = 6) -> DataFrame:
+    """passage_id, concept, df: words of some length and document frequency.  No upper bound: posting_scores has it, as a share."""
     each = corpus.select("passage_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("concept")).where(F.length("concept") >= length)
-    band = each.groupBy("concept").agg(F.count("*").alias("df")).where(F.col("df").between(least, most))
-    return each.join(band, "concept")
+    kept = each.groupBy("concept").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return each.join(kept, "concept")
 
 
 def question_concepts(questions: DataFrame, bags: DataFrame) -> DataFrame:

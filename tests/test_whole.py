@@ -49,3 +49,11 @@ def test_hyperpath_counts_descriptors_tree_neighbours_and_relations(spark):
     got = {r["passage_id"]: r["raw"] for r in graph.hyperpath(c, asked, bags, 0, 1.0, qt, pt, related).collect()}
     one, two = math.log(5 / 2) + 1, math.log(5 / 3) + 1  # concepts of one and of two of the four candidates
     assert got == pytest.approx({"p1": 2 * one, "p2": 1.1 * (one / 3 + 0.35 * two), "p3": 0.8 * one, "p4": 0.0})
+
+
+def test_concepts_above_twenty_documents_count(spark, tmp_path):
+    _documents(spark, tmp_path, ["shared words" if i < 30 else f"other{i} text" for i in range(300)])
+    spark.createDataFrame([(1, "a shared one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = entry.queries()["query_anchored"](spark, str(tmp_path)).collect()
+    assert len(found) == 30 and entry.queries()["concept_overview"](spark, str(tmp_path)).first()["coverage"] == 0.1
+    assert entry.queries()["concept_expansion"](spark, str(tmp_path)).count() == 30
