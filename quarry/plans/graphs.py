@@ -113,9 +113,10 @@ def hyperpath_scores(spark, d):
 
 
 def _relations(spark, d) -> DataFrame:
-    """Part types that differ in their first word only are related, in both directions."""
-    types = table(spark, d, "part").select(F.col("p_type").alias("t")).distinct().withColumn("k", F.regexp_replace("t", "^[^ ]+ ", ""))
-    return types.withColumnRenamed("t", "source").join(types.withColumnRenamed("t", "target"), "k").where("source <> target").select("source", "target")
+    """Part types that are neighbours in the order of their names are related, in both directions."""
+    names = ranked(table(spark, d, "part").select(F.col("p_type").alias("t")).distinct().withColumn("all", F.lit(1)), "all", "t", name="i").select("t", "i")
+    a, b = names.select(F.col("t").alias("source"), F.explode(F.array(F.col("i") - 1, F.col("i") + 1)).alias("i")), names.withColumnRenamed("t", "target")
+    return a.join(b, "i").select("source", "target")
 
 
 def _overlap_questions(spark, d):
@@ -360,7 +361,7 @@ r AS (SELECT question_id, passage_id, score, n_reasons, CAST(row_number() OVER (
     "answer_majority": "SELECT l AS label FROM (SELECT CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l, count(*) AS n FROM labels GROUP BY 1) ORDER BY n DESC, list_position(['yes', 'no', 'maybe'], l) LIMIT 1",
 }
 del ORACLE["contained_terms"]
-_X = f"""WITH {_BASE}, {sql.bm25('a', k=10)}, o AS (SELECT * FROM bag, nn WHERE df <= greatest(1, floor(0.2 * n)) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY passage_id) <= 10),
+_X = f"""WITH {_BASE}, {sql.bm25('a', k=10)}, o AS (SELECT * FROM bag, nn WHERE df <= greatest(1, floor(0.2 * n)) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY passage_id) <= 250),
 sd AS (SELECT passage_id, concept FROM bag QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY df, concept) <= 20), an AS (SELECT question_id, concept, 0.42::DOUBLE AS w FROM qc UNION ALL SELECT question_id, concept, sum(0.12::DOUBLE / (60 + rank)) FROM a JOIN sd USING (passage_id) WHERE rank <= 3 GROUP BY ALL),
 u AS (SELECT question_id, passage_id, rank AS base_rank, 1.0::DOUBLE / (60 + rank) AS part, 0 AS reasons FROM a UNION ALL SELECT question_id, passage_id, NULL, w / sqrt(df), 1 FROM an JOIN o USING (concept) WHERE question_id IN (SELECT question_id FROM a)),
 g AS (SELECT question_id, passage_id, min(base_rank) AS base_rank, sum(part) AS score, CAST(sum(reasons) AS BIGINT) AS n_reasons FROM u GROUP BY ALL)"""
@@ -371,9 +372,16 @@ ORACLE["protected_rerank"] = f"""WITH {_OVER}, s AS (SELECT *, round(coverage +
 t AS (SELECT *, rank > 3 AND signal >= bar AND signal > 0 AS able FROM s JOIN b USING (question_id)), u AS (SELECT *, able AND row_number() OVER (PARTITION BY question_id, able ORDER BY round(signal, 9) DESC, rank, passage_id) <= 1 AS rescued FROM t),
 v AS (SELECT *, 1.0::DOUBLE / (60 + rank) + CASE WHEN rescued THEN 1.0::DOUBLE / 63 ELSE 0 END AS new_score, rescued OR rank <= 3 AS ins FROM u), w AS (SELECT *, row_number() OVER (PARTITION BY question_id, ins ORDER BY round(new_score, 9) DESC, rank, passage_id) AS m FROM v),
 x AS (SELECT *, NOT (ins AND m <= 3) AS late FROM w) SELECT question_id, passage_id, rank, rescued, CAST(row_number() OVER (PARTITION BY question_id ORDER BY late, CASE WHEN late THEN rank ELSE m END, passage_id) AS INTEGER) AS new_rank, round(x.new_score, 6) AS new_score FROM x"""
-ORACLE["hyperpath_scores"] = f"""WITH {_OVER}, n AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM cand), e AS (SELECT question_id, passage_id, concept, rank, n, count(*) OVER (PARTITION BY question_id, concept) AS ldf, CASE WHEN rank <= 5 THEN 1.0::DOUBLE / (60 + rank) ELSE 0 END AS given FROM n JOIN pt USING (passage_id)),
-f AS (SELECT e.*, CASE WHEN ldf / n > 0.8 THEN 0 ELSE ln((n + 1) / (ldf + 1)) + 1 END AS idf, qt.concept IS NOT NULL AS asked, sum(given) OVER (PARTITION BY e.question_id, e.concept) - given AS frm FROM e LEFT JOIN qt ON qt.question_id = e.question_id AND qt.concept = e.concept),
-g AS (SELECT question_id, passage_id, sum(CASE WHEN asked THEN 1.5::DOUBLE * idf * (1 + ln(1 + greatest(ldf - 1, 0))) ELSE 0 END + 1.8::DOUBLE * idf * frm) AS raw FROM f GROUP BY ALL), h AS (SELECT question_id, passage_id, rank, coalesce(raw, 0) AS raw FROM cand LEFT JOIN g USING (question_id, passage_id)),
+ORACLE["hyperpath_scores"] = f"""WITH {_TREE}, tt AS (SELECT p_type AS t, dense_rank() OVER (ORDER BY p_type) AS i FROM (SELECT DISTINCT p_type FROM part)), qt AS (SELECT DISTINCT question_id, entity_type AS t FROM qe),
+kinds AS (SELECT question_id, 'e:' || t AS concept, 1 AS asked, 0 AS related, 0 AS exact FROM qt UNION ALL SELECT question_id, 'e:' || b.t, 0, 1, 0 FROM qt JOIN tt a ON a.t = qt.t JOIN tt b ON abs(a.i - b.i) = 1 UNION ALL SELECT question_id, 'm:' || qm, 0, 0, 1 FROM qm),
+ks AS (SELECT question_id, concept, max(asked) AS asked, max(related) AS related, max(exact) AS exact FROM kinds GROUP BY ALL),
+bg AS (SELECT passage_id, 'e:' || entity_type AS concept FROM pe UNION SELECT passage_id, 'm:' || pm FROM pm UNION SELECT passage_id, 'mp:' || array_to_string(p[1:len(p) - 1], '.') FROM pm UNION SELECT passage_id, 'ma:' || array_to_string(p[1:k], '.') FROM (SELECT *, unnest(range(1, len(p))) AS k FROM pm)),
+tp AS (SELECT question_id, passage_id, qm, pm, min(dist) AS dist, min(CASE WHEN sib THEN array_to_string(q[1:len(q) - 1], '.') END) AS up, max(s = least(len(q), len(p)) AND len(q) <> len(p)) AS above FROM dd WHERE qm <> pm GROUP BY ALL),
+nr AS (SELECT question_id, passage_id, concept, sum(w) AS near FROM (SELECT question_id, passage_id, 'm:' || pm AS concept, CASE WHEN dist <= 3 THEN 1.0::DOUBLE / (1 + dist) ELSE 0 END + CASE WHEN above THEN 0.55::DOUBLE ELSE 0 END AS w FROM tp UNION ALL SELECT question_id, passage_id, 'mp:' || up, 0.35::DOUBLE FROM tp WHERE up IS NOT NULL) GROUP BY ALL),
+e AS (SELECT question_id, passage_id, concept, rank, n, count(*) OVER (PARTITION BY question_id, concept) AS ldf, CASE WHEN rank <= 5 THEN 1.0::DOUBLE / (60 + rank) ELSE 0 END AS given FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM cand) JOIN bg USING (passage_id)),
+f AS (SELECT e.*, CASE WHEN ldf / n > 0.8 THEN 0 ELSE ln((n + 1) / (ldf + 1)) + 1 END AS idf, coalesce(asked, 0) AS asked, coalesce(related, 0) AS related, coalesce(exact, 0) AS exact, sum(given) OVER (PARTITION BY e.question_id, e.concept) - given AS frm, coalesce(near, 0) AS near
+ FROM e LEFT JOIN ks ON ks.question_id = e.question_id AND ks.concept = e.concept LEFT JOIN nr ON nr.question_id = e.question_id AND nr.passage_id = e.passage_id AND nr.concept = e.concept),
+g AS (SELECT question_id, passage_id, sum(idf * (asked * 1.5::DOUBLE * (1 + ln(1 + greatest(ldf - 1, 0))) + 1.8::DOUBLE * frm + 2.0::DOUBLE * exact + 0.8::DOUBLE * related + 1.1::DOUBLE * near)) AS raw FROM f GROUP BY ALL), h AS (SELECT question_id, passage_id, rank, coalesce(raw, 0) AS raw FROM cand LEFT JOIN g USING (question_id, passage_id)),
 i AS (SELECT *, {_mm('raw', 'CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END')} AS norm FROM h), j AS (SELECT f.question_id, f.passage_id, f.concept, f.ldf, f.idf, CASE WHEN sum(f.idf) OVER (PARTITION BY f.question_id, f.passage_id) > 0 THEN (norm + CASE WHEN f.rank <= 5 THEN 12.0::DOUBLE / (60 + f.rank) ELSE 0 END) * f.idf / sum(f.idf) OVER (PARTITION BY f.question_id, f.passage_id) ELSE 0 END AS own FROM f JOIN i USING (question_id, passage_id)),
 k AS (SELECT *, sum(own) OVER (PARTITION BY question_id, concept) AS cm FROM j), l AS (SELECT question_id, passage_id, sum(cm * idf / ldf) AS walk FROM k WHERE ldf >= 2 GROUP BY ALL), m AS (SELECT i.*, 0.65::DOUBLE * norm + 0.35::DOUBLE * coalesce(walk, 0) AS mixed FROM i LEFT JOIN l USING (question_id, passage_id))
 SELECT question_id, passage_id, rank, round(raw, 6) AS raw, round(norm, 6) AS path_score, round({_mm('mixed', 'CASE WHEN mixed > 0 THEN 1.0 ELSE 0.0 END')}, 6) AS hyperpath_score FROM m"""

@@ -44,7 +44,7 @@ def metrics(run: str, name: str, ks=(1, 5, 10)) -> str:
 
 
 BAGS = """
-bag AS (SELECT passage_id, concept, count(*) OVER (PARTITION BY concept) AS df FROM (SELECT passage_id, unnest(list_distinct(ts)) AS concept FROM c) WHERE length(concept) >= 6 QUALIFY df BETWEEN 2 AND 20),
+bag AS (SELECT passage_id, concept, count(*) OVER (PARTITION BY concept) AS df FROM (SELECT passage_id, unnest(list_distinct(ts)) AS concept FROM c) WHERE length(concept) >= 6 QUALIFY df >= 2),
 qc AS (SELECT question_id, concept FROM (SELECT question_id, unnest(list_distinct(ts)) AS concept FROM q) WHERE concept IN (SELECT concept FROM bag))
 """
 

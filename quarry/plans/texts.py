@@ -152,7 +152,7 @@ ORACLE = {
     "text_tokens": f"""SELECT doc_id, CAST(len({tokens('text')}) AS INTEGER) AS n_index, md5(array_to_string({tokens('text')}, ' ')) AS index_md5, CAST(len(e) AS INTEGER) AS n_mention, md5(array_to_string(e, ' ')) AS mention_md5,
  md5({_concept("coalesce(text, '')")}) AS concept_md5, md5({_spaced("coalesce(text, '')")}) AS spaced_md5, md5(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ')) AS plain_md5
  FROM (SELECT *, regexp_extract_all({_greek("coalesce(text, '')")}, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?') AS e FROM documents)""",
-    "text_light_names": f"""WITH {_MICRO}, r AS (SELECT doc_id AS id, text[1:400] AS text FROM documents UNION ALL SELECT -id, text FROM m), l AS (SELECT id, {_light('text')} AS light, {_concept('text')} AS base FROM r)
+    "text_light_names": f"""WITH {_MICRO}, r AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM m), l AS (SELECT id, {_light('text')} AS light, {_concept('text')} AS base FROM r)
 SELECT id, light, CAST(CASE WHEN base = '' AND light = '' THEN 0 WHEN base = light OR base = '' OR light = '' THEN 1 ELSE 2 END AS INTEGER) AS n_variants,
  CAST(len(list_filter(['the', 'lung cancer', 'of the', 'et de', 'und die'], lambda p: contains(' ' || light || ' ', ' ' || p || ' '))) AS INTEGER) AS n_contained FROM l""",
     "text_phrases": f"""WITH {_MICRO}, r AS (SELECT item_id + 100 AS id, text FROM benchmark UNION ALL SELECT id, text FROM m), e AS (SELECT id, regexp_extract_all({_greek('text')}, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?') AS e FROM r),
