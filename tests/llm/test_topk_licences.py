@@ -5,13 +5,13 @@ from quarry.llm import licences, topk
 
 
 def _brute(rows, k, every):
-    good = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in good:
+    good = [(n, i, [int(np.floor(64 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, q, a in good:
         if q % every == 0:
-            near = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q))[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(near)}
-    return out
+            near = sorted(((-sum(x * y for x, y in zip(a, b)), i) for m, i, b in good if m != n))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    return sorted(out)
 
 
 def _case(n, d, seed, big=1.0):
@@ -19,7 +19,7 @@ def _case(n, d, seed, big=1.0):
     rows = [(i, [float(x) for x in np.round(rng.normal(size=d) * big, 1)]) for i in range(n)]
     rows[1] = (1, rows[0][1])  # ties
     rows[2] = (2, rows[0][1])
-    return rows + [(n, None), (n + 1, [None] * d), (n + 2, [float("nan")] * d), (n + 3, [float("inf")] * d), (None, rows[0][1]), (20 * n, rows[0][1][:-1])]
+    return rows + [(n, None), (n + 1, [None] * d), (n + 2, [float("nan")] * d), (n + 3, [float("inf")] * d), (None, rows[0][1]), (20 * n, rows[0][1][:-1]), (20 * n + 1, []), (40, rows[3][1]), (40, rows[4][1]), (40, rows[4][1])]
 
 
 @pytest.mark.parametrize("n,d,k,big", [(300, 3, 5, 1), (150, 16, 7, 1), (40, 4, 60, 1e6), (300, 2, 1, 1)])
@@ -28,18 +28,32 @@ def test_topk_against_brute_force(spark, n, d, k, big):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = topk.top_k(df, k=k, every=10, block=50, queries=8).collect()
     rows = [(i, v and [x if x is None else np.float32(x) for x in v]) for i, v in rows]
-    assert {tuple(r) for r in got} == _brute(rows, k, 10)
+    assert sorted(tuple(r) for r in got) == _brute(rows, k, 10)
 
 
 def test_bounds_stop_early():
     rng = np.random.default_rng(0)
     rows = rng.integers(-5, 5, (400, 2))
     rows[:3] = [[900, 900], [800, 900], [900, 800]]
-    lists = topk.Lists(np.arange(400), rows)
+    lists = topk.Lists(np.arange(400), np.arange(400), rows)
     calls = []
     lists.read = lambda depth, f=lists.read: calls.append(depth) or f(depth)
     (at, scores), = lists.search(np.array([[3, 2]]), np.array([-1]), 3)
     assert len(calls) == 1 and list(scores) == [4500, 4300, 4200]
+    assert lists.stopped == 1 and lists.read_ < lists.whole
+
+
+def test_bars_drop_outsiders_and_keep_ties():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(-60, 60, (3000, 16))
+    queries = rows[:40]
+    exact = queries @ rows.T
+    exact[np.arange(40), np.arange(40)] = -(10**9)
+    bar = -np.sort(-exact, 1)[:, 9].astype(float)  # the tenth score is the bar
+    lists = topk.Lists(np.arange(3000), np.arange(3000), rows)
+    for i, (at, scores) in enumerate(lists.search(queries, np.arange(40), 20, bar)):
+        assert list(at) == list(np.lexsort((np.arange(3000), -exact[i]))[: (exact[i] >= bar[i]).sum()])
+    assert lists.stopped == 40 and lists.read_ < 0.8 * lists.whole
 
 
 def test_topk_empty(spark):
