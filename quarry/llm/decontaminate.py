@@ -10,11 +10,12 @@ transform held in a wavelet matrix.  All windows are searched backwards together
 through sampled suffix positions, and the words they cover are merged into spans.
 
 Items travel to the executors in blocks of at most ``BLOCK`` bytes of text; a larger benchmark takes more than
-one pass over the rows, without a shuffle.  Words are compared by 64-bit hashes.
+one pass over the rows, without a shuffle.  Words are looked up by 64-bit hashes, and those that are indexed are
+confirmed on their bytes.
 
 Defined results: a null text has no words; an empty table gives no rows; an empty benchmark leaves every document
 clean; repeated rows are each reported; a null item_id reads as the text ``null``; equal item ids count once;
-further columns are ignored by decontamination_report() and kept by remove_benchmark().
+further columns are ignored by decontamination_report() and kept by remove_benchmark(), whatever their names are.
 """
 
 from __future__ import annotations
@@ -35,15 +36,35 @@ SAMPLE = 8
 
 
 class Phrases:
-    """The windows of a block of items, over the block's own vocabulary (word k is symbol k + 1)."""
+    """The windows of a block of items, over the block's own vocabulary (word k is symbol k + 1).
+
+    Words of one hash are one class (class k is number k + 1); pairs and singles, by which text is chosen for the
+    index, are of classes, the windows of words.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
         self.ids = [i for i, _ in items]
-        hashed = [words(lowered(raw))[2] for raw in utf8(t for _, t in items)]
-        self.vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
+        self.names: dict[bytes, int] = {}
+        hashes, texts = [np.uint64(0)], []
+        for raw in utf8(t for _, t in items):
+            text = lowered(raw)
+            first, end, h = words(text)
+            low, symbols = text.tobytes(), []
+            for a, b, x in zip(first.tolist(), end.tolist(), h):
+                symbol = self.names.setdefault(low[a:b], len(self.names) + 1)
+                if symbol == len(hashes):
+                    hashes.append(x)
+                symbols.append(symbol)
+            texts.append(np.array(symbols, np.int64))
+        self.classes, of = np.unique(np.array(hashes[1:], np.uint64), return_inverse=True)
+        self.class_of = np.concatenate([[0], of + 1]).astype(np.int64)
+        self.lead = np.zeros(len(self.classes) + 1, np.int64)  # a word of each class
+        self.lead[self.class_of[::-1]] = np.arange(len(self.class_of))[::-1]
+        self.blob = np.frombuffer(b"".join(self.names), np.uint8)
+        self.size = np.array([0, *map(len, self.names)], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-        for item, h in enumerate(hashed):
-            s = np.searchsorted(self.vocabulary, h) + 1
+        for item, s in enumerate(texts):
             for at in range(max(1, len(s) - window + 1) if len(s) else 0):
                 w = s[at : at + window]
                 found.setdefault(w.tobytes(), (w, set()))[1].add(item)
@@ -54,11 +75,26 @@ class Phrases:
         for k, (w, _) in enumerate(lists):
             self.symbols[k, window - len(w) :] = w
         self.items_of = [np.array(sorted(i), np.int64) for _, i in lists]
-        self.base = len(self.vocabulary) + 1
-        self.singles = np.unique(self.symbols[self.length == 1, -1]) if lists else np.zeros(0, np.int64)
-        pairs = [w[:-1] * self.base + w[1:] for w, _ in lists]
+        self.base = len(self.classes) + 1
+        self.singles = np.unique(self.class_of[self.symbols[self.length == 1, -1]]) if lists else np.zeros(0, np.int64)
+        pairs = [self.class_of[w[:-1]] * self.base + self.class_of[w[1:]] for w, _ in lists]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
 
+    def exact(self, text: np.ndarray, first: np.ndarray, end: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The symbol of each word first:end of class ``of``, confirmed on its bytes; 0 for a word of no item."""
+        symbol, size = self.lead[of], end - first
+        symbol = np.where(self.size[symbol] == size, symbol, -1)
+        on = np.flatnonzero(symbol > 0)
+        if len(on):
+            n = size[on]
+            start = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            differ = text[np.repeat(first[on] - start, n) + step] != self.blob[np.repeat(self.begin[symbol[on]] - start, n) + step]
+            symbol[on[np.logical_or.reduceat(differ, start)]] = -1
+        for i in np.flatnonzero(symbol < 0):
+            symbol[i] = self.names.get(text[first[i] : end[i]].tobytes(), 0)
+        return symbol
+
 
 def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Index + 1 of each value in a sorted table, 0 where it is absent."""
@@ -162,17 +198,19 @@ class FMIndex:
         return out
 
 
-def hits(symbol: np.ndarray, doc: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Of a shard's words (symbol 0: not in the vocabulary; ``doc`` ascending): which are hit, and the distinct
-    (document, item) pairs as rows of a table."""
-    mask, nothing = np.zeros(len(symbol), bool), np.zeros((0, 2), np.int64)
-    if not len(symbol) or not len(phrases.length):
+def hits(text: np.ndarray, words_: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard's words (first, end, hash; ``doc`` ascending): which are hit, and the distinct (document, item)
+    pairs as rows of a table."""
+    begin, stop, h = words_
+    mask, nothing = np.zeros(len(h), bool), np.zeros((0, 2), np.int64)
+    if not len(h) or not len(phrases.length):
         return mask, nothing
-    link = (doc[1:] == doc[:-1]) & (symbol[1:] > 0) & (symbol[:-1] > 0)
+    of = _among(h, phrases.classes)
+    link = (doc[1:] == doc[:-1]) & (of[1:] > 0) & (of[:-1] > 0)
     where = np.flatnonzero(link)
-    link[where] = _among(symbol[where] * phrases.base + symbol[where + 1], phrases.pairs) > 0
+    link[where] = _among(of[where] * phrases.base + of[where + 1], phrases.pairs) > 0
     edges = np.concatenate([[False], link, [False]])  # edges[i]: word i - 1 is linked to word i
-    keep = edges[:-1] | edges[1:] | ((symbol > 0) & (_among(symbol, phrases.singles) > 0))
+    keep = edges[:-1] | edges[1:] | ((of > 0) & (_among(of, phrases.singles) > 0))
     first = np.flatnonzero(keep & ~edges[:-1])
     end = np.flatnonzero(keep & ~edges[1:]) + 1
     long = end - first >= phrases.least
@@ -185,13 +223,16 @@ def hits(symbol: np.ndarray, doc: np.ndarray, phrases: Phrases) -> tuple[np.ndar
     run = np.repeat(np.arange(len(size)), size)
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     place[offset[run] + inner] = first[run] + inner
-    index = FMIndex(np.where(place >= 0, symbol[place], 0))
+    inside = place[place >= 0]
+    symbol = np.zeros(len(place), np.int64)
+    symbol[place >= 0] = phrases.exact(text, begin[inside], stop[inside], of[inside])
+    index = FMIndex(symbol)
     low, high = index.search(phrases.symbols, phrases.length)
     many = high - low
     phrase = np.repeat(np.arange(len(many)), many)
     rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at = place[index.locate(rows)]
-    change = np.zeros(len(symbol) + 1, np.int64)
+    change = np.zeros(len(h) + 1, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + phrases.length[phrase], -1)
     mask = np.cumsum(change[:-1]) > 0
@@ -203,11 +244,11 @@ def hits(symbol: np.ndarray, doc: np.ndarray, phrases: Phrases) -> tuple[np.ndar
 
 def _shard(raws: list[bytes], phrases: Phrases, prior: list | None) -> list[tuple]:
     """(n_words, n_hit, items, word runs, byte spans) of each document of a shard."""
-    text = b"\n".join(raws) + b"\n"
-    first, end, h = words(lowered(text))
+    text = lowered(b"\n".join(raws) + b"\n")
+    first, end, h = words(text)
     ends = np.cumsum([len(r) + 1 for r in raws])
     doc = np.searchsorted(ends, first, side="right")
-    mask, pairs = hits(_among(h, phrases.vocabulary), doc, phrases)
+    mask, pairs = hits(text, (first, end, h), doc, phrases)
     bounds = np.searchsorted(doc, np.arange(len(raws) + 1))
     cut = np.searchsorted(pairs[:, 0], np.arange(len(raws) + 1))
     start_of = np.concatenate([[0], ends])
@@ -235,8 +276,15 @@ def _shard(raws: list[bytes], phrases: Phrases, prior: list | None) -> list[tupl
     return out
 
 
-_FOUND = ("n_words", "n_hit", "items", "word_runs", "byte_spans")
-_FOUND_TYPES = "n_words long, n_hit long, items array<string>, word_runs array<long>, byte_spans array<long>"
+_FOUND = {"n_words": "long", "n_hit": "long", "items": "array<string>", "word_runs": "array<long>", "byte_spans": "array<long>"}
+
+
+def _free(columns: list[str]) -> dict[str, str]:
+    """A name for each of the found columns that none of the table's has."""
+    mark = "found_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return {c: mark + c for c in _FOUND}
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -253,9 +301,10 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
     yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
-    """The rows with n_words, n_hit, items (sorted ids), word_runs and byte_spans (flat lists of from, to)."""
-    sc, out, plain = docs.sparkSession.sparkContext, docs, docs.columns
+def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with n_words, n_hit, items (sorted ids), word_runs and byte_spans (flat lists of from, to), and the
+    names that these five columns have, as the table may have such columns of its own."""
+    sc, out, name = docs.sparkSession.sparkContext, docs, _free(docs.columns)
     for turn, items in enumerate(_blocks(benchmark, block)):
         sent = sc.broadcast(Phrases(items))  # at most ``block`` bytes of text
 
@@ -264,30 +313,36 @@ def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int
                 raws = utf8(pdf["text"])
                 found = []
                 for a, b in batches_of(raws, stretch):
-                    prior = list(zip(pdf["items"][a:b], pdf["word_runs"][a:b])) if turn else None
+                    prior = list(zip(pdf[name["items"]][a:b], pdf[name["word_runs"]][a:b])) if turn else None
                     found += _shard(raws[a:b], sent.value, prior)
-                yield pdf.assign(**{c: [f[k] for f in found] for k, c in enumerate(_FOUND)})
+                yield pdf.assign(**{name[c]: [f[k] for f in found] for k, c in enumerate(_FOUND)})
                 release()
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInPandas(run, f"{types}, {_FOUND_TYPES}")
-    return out.select(*[F.col(f"`{c}`") for c in plain], *_FOUND)
+        out = out.mapInPandas(run, f"{types}, " + ", ".join(f"{name[c]} {t}" for c, t in _FOUND.items()))
+    return out, name
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """What of each document is in the benchmark: counts and a digest of the items."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return find(rows, benchmark, block).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out, name = find(rows, benchmark, block)
+    c = {k: F.col(v) for k, v in name.items()}
+    return out.select(
+        "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated")
+    )
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents without their benchmark passages; n_chars, where there is one, is counted anew."""
     columns = docs.columns
+    found, name = find(docs, benchmark, block)
+    at_spans = name["byte_spans"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = list(pdf["text"])
-            for k, spans in enumerate(pdf["byte_spans"]):
+            for k, spans in enumerate(pdf[at_spans]):
                 if len(spans):
                     raw, at, kept = utf8(texts[k : k + 1])[0], 0, []
                     for a, b in zip(spans[::2], spans[1::2]):
@@ -296,11 +351,11 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK)
                     texts[k] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
             pdf = pdf.assign(text=texts)
             if "n_chars" in pdf:
-                touched = pdf["byte_spans"].map(len) > 0
+                touched = pdf[at_spans].map(len) > 0
                 pdf["n_chars"] = pdf["n_chars"].where(~touched, pdf["text"].map(lambda t: len(t) if isinstance(t, str) else 0))
             yield pdf[columns]
 
-    return find(docs, benchmark, block).mapInPandas(cut, docs.schema)
+    return found.mapInPandas(cut, docs.schema)
 
 
 ORACLE = r"""

@@ -1,8 +1,13 @@
-"""Words of whole texts as 64-bit hashes, found on UTF-8 bytes in numpy."""
+"""Words of whole texts as 64-bit hashes, found on UTF-8 bytes in numpy.
+
+A word of up to ``LONG`` bytes is hashed by a polynomial modulo 2**64, of which texts of 1,024 bytes and more are
+known that collide whatever the base; longer words get a cryptographic hash.
+"""
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +17,7 @@ import pyarrow.compute as pc
 _K = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_K, -1, 1 << 64)
 _STEP = 1 << 22
+LONG = 256
 _powers: dict[int, np.ndarray] = {}
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,7 +74,10 @@ def lowered(raw: bytes) -> np.ndarray:
 def words(raw: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and hash of each word."""
     first, end = runs(inside[raw])
-    return first, end, stretch(prefix_sums(raw), first, end)
+    h = stretch(prefix_sums(raw), first, end)
+    for i in np.flatnonzero(end - first > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return first, end, h
 
 
 def batches_of(texts: list[bytes], most: int = _STEP):
