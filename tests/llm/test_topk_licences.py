@@ -82,3 +82,19 @@ def test_licences(spark):
         got = sorted((r["doc_id"], r["licence_id"] or "") for r in licences.scan(df, known, most).collect())
         assert got == [(1, "MIT"), (2, "MIT"), (3, ""), (4, ""), (5, ""), (6, "MIT (notice)"), (6, "MIT (notice)"), (7, "BSD-3-Clause"), (8, ""), (9, "")]
     assert licences.scan(df.limit(0), known).count() == 0
+
+
+def test_notices_inside_texts(spark):
+    isc = licences.KNOWN["ISC"]
+    rows = [
+        (1, "Some text.\n  * Released under the MIT Licence!\nMore text."),
+        (2, "Intro\n\n" + isc.replace(". ", ".\n") + "\n\nreleased under the mit license\n\nend"),
+        (3, "It was released under the MIT License. Not a line."),
+        (3, "Released under the MIT License."),
+        (3, "Released under the MIT License."),
+        (None, "x\nLicensed under CC BY-NC 4.0.\n\n\n"),
+        (4, None),
+    ]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, notices string")
+    got = sorted((r["doc_id"] or 0, r["licence_id"] or "", r["notices"]) for r in licences.scan(df, licences.built_in(spark)).collect())
+    assert got == [(0, "", "CC-BY-NC-4.0 (notice)"), (1, "", "MIT (notice)"), (2, "", "ISC|MIT (notice)"), (3, "", ""), (3, "MIT (notice)", "MIT (notice)"), (3, "MIT (notice)", "MIT (notice)"), (4, "", "")]
