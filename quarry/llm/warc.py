@@ -10,7 +10,7 @@ Rows are independent: no shuffle, and memory for one Arrow batch.
 
 Defined results: a null payload is empty and yields an empty text; null URI, date, headers or digests leave their
 fields out; a null record_id gets one from the row's other fields; bytes that are no text in the declared charset
-are replaced; repeated rows yield repeated records; an empty table gives no rows; further columns are dropped, but
+are replaced; a tag that never ends is text up to the page's end; repeated rows yield repeated records; an empty table gives no rows; further columns are dropped, but
 for those named in ``keep``.
 """
 
@@ -32,8 +32,10 @@ _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
     "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A tag's end is looked for once: what stands inside is matched possessively, an unclosed quote is an ordinary
+# character, and a tag or declaration that never ends takes the rest of the page.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _SILENT}
 _SPACES = re.compile(r"[^\S\n]+")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
@@ -45,6 +47,9 @@ def extract(page: str) -> tuple[str, str, str, list[str]]:
     while m := _TOKEN.search(page, at):
         out.append(html.unescape(page[at : m.start()]))
         at = m.end()
+        if m[2] and not m[4]:  # no end: text, as it stands
+            out.append(html.unescape(m[0]))
+            break
         name = (m[2] or "").lower()
         if not name:
             continue

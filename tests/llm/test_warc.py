@@ -1,4 +1,5 @@
 import hashlib
+import time
 from html.parser import HTMLParser
 
 from quarry.llm import warc
@@ -77,3 +78,13 @@ def test_edges(spark):
     bare = spark.createDataFrame([(None, None, None, None, bytearray(b"<p>\xe9"), None, None)], "record_id string, date string, target_uri string, http string, payload binary, payload_digest string, block_digest string")
     (a, b) = warc.derivatives(bare).collect()
     assert a["refers_to"] == b["refers_to"] and b["block"] == "�" and "None" not in bytes(b["record"]).decode()
+
+
+def test_hostile_pages_take_linear_time():
+    for part in ("<a ", "<a '>' ", '<a "', "<!x ", "<script", "<a href='x", "a=", "<a b "):
+        began = time.perf_counter()
+        warc.extract(part * (1_000_000 // len(part)))
+        warc.extract("<a " + part.strip("<") * (1_000_000 // len(part)) + ">")
+        assert time.perf_counter() - began < 5, part  # quadratic work takes over an hour
+    assert warc.extract("<p>x <a href='y' z <b") [0] == "x <a href='y' z <b"
+    assert warc.extract("<p title=it's>x</p>")[0] == "x"
