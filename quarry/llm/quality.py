@@ -6,7 +6,8 @@ travel to the executors (their size depends on trees and depth only) and are wal
 whole batch of documents at once.
 
 Defined results: a null text counts as empty and is scored like any text; rows without a usable label (null
-doc_id or quality) do not train; of repeated labels the highest counts; with no usable label, or one class only,
+doc_id or quality) do not train; of repeated labels the highest counts, of rows that repeat a doc_id the text with
+the smallest digest; a null doc_id is not held out; with no usable label, or one class only,
 every score is that class (1 without labels); an empty table gives no rows; further columns are ignored.
 """
 
@@ -148,7 +149,7 @@ def remainder(doc_id: Column) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = pa.array(list(column_matrix(batch.column("text"))), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), x], names=["doc_id", "y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("digest"), x], names=["doc_id", "y", "digest", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
@@ -157,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees
     usable = usable.where(remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_train rows
-    got = rows.mapInArrow(_features, "doc_id long, y int, x array<double>").toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id") if len(got) else got
+    rows = rows.select("doc_id", "y", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    each = rows.mapInArrow(_features, "doc_id long, y int, digest string, x array<double>")
+    got = each.groupBy("doc_id", "y").agg(F.min_by("x", "digest").alias("x")).toPandas()  # max_train rows at most
+    got = got.sort_values("doc_id", kind="stable")
     x = np.array(list(got["x"]), np.float64).reshape(len(got), len(FEATURES))
     return grow(x, got["y"].to_numpy(np.float64))
 
@@ -174,7 +177,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(column_matrix(batch.column("text"))))], names=["doc_id", "score"])
 
     scored = rows.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
