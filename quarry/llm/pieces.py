@@ -1,15 +1,22 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Per stretch of documents (about ``STRETCH`` characters): the distinct words are exploded into substrings of bounded
-length, the substrings are equi-joined to the piece table, and the matching edges are grouped by word.  Each
-group is then folded with Spark's higher-order ``aggregate``, and the words' pieces are put back in the documents'
-order.  A stretch travels as one row, so nothing is shuffled and a word is folded once in a stretch.
+1. Stretches of documents (about ``STRETCH`` characters) are cut into words; a stretch is one row of a table that is
+   written once, bucketed by stretch: its documents, its distinct words, and each document's words as numbers.
+2. The distinct words of all stretches are exploded into substrings of bounded length, the substrings are equi-joined
+   to the piece table, and the matching edges are grouped by word.
+3. Each word's edges are folded with Spark's higher-order ``aggregate`` into its cuts, and so into its ids.
+4. Words and ids are joined to the stretches that hold the word, and each stretch puts its documents together.
+
+Only distinct words move: once to be made distinct, once to their ids, once back to their stretches.  No row is
+larger than a stretch, and a word that stands in every stretch has one short row for each.
 
 What the fold does depends on the model.  A unigram model takes the path of the highest sum of scores (Viterbi,
 viterbi()).  For a BPE model that path is not the model's encoding; its edges are folded in the order of the
 merges instead (merge_fold()): an edge is taken if it joins exactly two present pieces.  That one pass equals
-greedy merging wherever every piece arises from two earlier ones; words where it may not (very long ones, long
-runs of blanks, whose pieces share one score) are merged by a heap.  BPE state is a bit mask of cuts.
+greedy merging wherever every piece arises from two earlier ones.  The state's cuts are bits of a long, so a word
+has at most ``LONGEST`` characters: a longer one is cut wherever no piece holds the two neighbours, which no piece can
+cross.  What is still longer (a run of one letter, say), and BPE words that begin with a long run of blanks, whose
+pieces share one score, are folded in Python: merged by a heap, or by Viterbi over an array.
 
 The piece table has at most ``MOST_PIECES`` pieces and is the only thing that is broadcast.
 
@@ -28,18 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.words import mix, release
+from quarry.llm.util import bucketed
+from quarry.llm.words import release
 
-STRETCH = 1 << 20
+STRETCH = 16 << 20
 MOST_PIECES = 2_000_000
-_LONGEST = 60  # characters of a word whose cuts fit a 64-bit mask
+LONGEST = 60  # characters of a word whose cuts fit a 64-bit mask
 _BLANK = "▁"
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
-_K = 0x9E3779B97F4A7C15
-_INVERSE = pow(_K, -1, 1 << 64)
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -105,47 +112,31 @@ class Pieces:
         rank = {s: r for r, s in enumerate(order)}
         self.rank = np.array([rank.get(s, 0) for s in self.scores], np.int64)
         self.longest = max((len(p) for p, _ in usual), default=1)
-        self.tables = {}
-        for n in range(1, self.longest + 1):
-            of = [(p, i) for p, i in usual if len(p) == n]
-            if of:
-                codes = np.frombuffer("".join(p for p, _ in of).encode("utf-32-le"), np.uint32)
-                h = self.hashes(codes, np.arange(len(of)) * n, np.full(len(of), n))
-                s = np.argsort(h)
-                self.tables[n] = (h[s], np.array([i for _, i in of], np.int64)[s])
+        self.pairs = {p[i : i + 2] for p, _ in usual for i in range(len(p) - 1)}
         # Characters no piece has stand alone; blanks begin a word.
         alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in self.alphabet)
         self.unit = re.compile(f"{_BLANK}*[^{_BLANK}{alone}]+|{_BLANK}+" + (f"|[{alone}]" if alone else ""))
         run = max((len(p) for p, _ in usual if not p.strip(_BLANK)), default=1)
         self.run = next((n for n in range(1, run + 1) if _BLANK * n not in self.ids), run)  # runs below this merge one by one
 
-    _powers = _inverse = np.zeros(0, np.uint64)
-
-    def hashes(self, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A hash of each stretch of characters."""
-        n = len(codes) + 1
-        if len(Pieces._powers) < n:
-            Pieces._powers = np.cumprod(np.full(2 * n, _K, np.uint64), dtype=np.uint64)
-            Pieces._inverse = np.cumprod(np.full(2 * n, _INVERSE, np.uint64), dtype=np.uint64)
-        if getattr(self, "_of", None) is not codes:
-            self._of = codes
-            self._sums = np.zeros(n, np.uint64)
-            np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * Pieces._powers[: n - 1], out=self._sums[1:])
-        return mix((self._sums[first + size] - self._sums[first]) * Pieces._inverse[first])
-
-    def join(self, codes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-        """Equi-join substrings of one length to the piece table: id, or -1."""
-        if size not in self.tables or not len(first):
-            return np.full(len(first), -1, np.int64)
-        h, ids = self.tables[size]
-        x = self.hashes(codes, first, np.full(len(first), size))
-        at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-        return np.where(h[at] == x, ids[at], -1)
-
     def words(self, text: str) -> list[str]:
+        """Stretches of a text that are encoded apart, see the module's text."""
         if not text:
             return []
-        return self.unit.findall((_BLANK if self.prefix else "") + text.replace(" ", _BLANK))
+        found = self.unit.findall((_BLANK if self.prefix else "") + text.replace(" ", _BLANK))
+        if max(map(len, found)) > LONGEST:
+            found = [p for w in found for p in (self.parts(w) if len(w) > LONGEST else (w,))]
+        return found
+
+    def parts(self, word: str) -> list[str]:
+        """A word, cut wherever no piece holds both neighbours."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """piece, id, rank, score of all pieces that texts are made of."""
+        rows = [(p, i, int(self.rank[i]), float(self.scores[i])) for p, i in self.ids.items()]
+        return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
     def spell(self, piece: str) -> list[int]:
         """Ids of a string that is one piece, or of an unknown character."""
@@ -202,146 +193,91 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_EDGE = pa.struct([("ends", pa.int64()), ("inner", pa.int64()), ("score", pa.float64())])
-
-
-def _stretch(model: int) -> tuple[pa.Schema, str]:
-    """Columns of a stretch's row.  A BPE edge is just the mask of the cuts inside it."""
-    edge, ddl = (pa.int64(), "long") if model == 2 else (_EDGE, "struct<ends:long,inner:long,score:double>")
-    fields = [("doc_id", pa.int64()), ("source", pa.binary()), ("unit", pa.int32()), ("end", pa.int64()), ("word", pa.string()), ("full", pa.int64()), ("edges", pa.list_(edge))]
-    return pa.schema([(n, pa.list_(t)) for n, t in fields]), f"doc_id array<long>, source array<binary>, unit array<int>, end array<long>, word array<string>, full array<long>, edges array<array<{ddl}>>"
-
-
-def lattice(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """full mask of cuts per word (0: left to the heap), and its edges: offsets, ends, inner, score.
+def lattice(words: DataFrame, table: Pieces) -> DataFrame:
+    """word, edges of every distinct word: array of struct(order, start, size, score, id, inner, ends).
 
-    BPE edges join at least two characters and are ordered by merge rank and start; unigram edges have any length
-    and are ordered by end and start.
+    An edge spans ``size`` characters from ``start`` (from 0); ``ends`` are the bits of its two cuts, ``inner``
+    those of the cuts inside it.  A character that is no piece has an edge without id.  Edges come in the order
+    of the fold: by merge rank, or by end, and then by start.
     """
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    start = np.cumsum(size) - size
-    inside = size <= _LONGEST
-    if table.model == 2:
-        inside &= np.fromiter((w[: table.run] != _BLANK * table.run for w in words), bool, len(words))
-    full = np.where(inside, (np.int64(1) << np.minimum(size + 1, 62)) - 1, 0)
-    who = np.repeat(np.arange(len(words)), size)
-    at = np.arange(len(codes)) - start[who]
-    rest = np.where(inside[who], size[who] - at, 0)
-    keys, scores = [], np.array(table.scores)
-    for n in range(2 if table.model == 2 else 1, table.longest + 1):
-        first = np.flatnonzero(rest >= n)
-        ids = table.join(codes, first, n)
-        if table.model == 1 and n == 1:
-            ids = np.where(ids < 0, len(scores), ids)  # an unknown character
-        on = ids >= 0
-        first, ids = first[on], ids[on]
-        w, s = who[first].astype(np.uint64), at[first].astype(np.uint64)
-        order = table.rank[ids].astype(np.uint64) if table.model == 2 else s + np.uint64(n)
-        keys.append(np.stack([(w << np.uint64(40)) | (order << np.uint64(12)) | (s << np.uint64(6)) | np.uint64(n), ids.astype(np.uint64)]))
-    key, ids = np.concatenate(keys, 1) if keys else np.zeros((2, 0), np.uint64)
-    by = np.argsort(key, kind="stable")
-    key, ids = key[by], ids[by].astype(np.int64)
-    w, s, n = (key >> np.uint64(40)).astype(np.int64), ((key >> np.uint64(6)) & np.uint64(63)).astype(np.int64), (key & np.uint64(63)).astype(np.int64)
-    one = np.int64(1)
-    ends = (one << s) | (one << (s + n))
-    inner = ((one << (s + n)) - 1) & ~((one << (s + 1)) - 1)
-    offsets = np.searchsorted(w, np.arange(len(words) + 1))
-    return full, offsets, ends, inner, np.append(scores, scores.min() - 10.0 if len(scores) else 0.0)[ids]
+    spans = words.select("word", F.explode(F.expr("sequence(0, char_length(word) - 1)")).alias("start"))
+    spans = spans.select("word", "start", F.explode(F.expr(f"sequence(1, least({table.longest}, char_length(word) - start))")).alias("size"))
+    spans = spans.withColumn("piece", F.expr("substring(word, start + 1, size)"))
+    met = spans.join(F.broadcast(table.table(words.sparkSession)), "piece", "left").where("id IS NOT NULL OR size = 1")
+    ends = F.expr("shiftleft(1L, start) | shiftleft(1L, start + size)")
+    inner = F.expr("(shiftleft(1L, start + size) - 1) & ~(shiftleft(1L, start + 1) - 1)")
+    order = F.coalesce("rank", F.lit(0)) if table.model == 2 else F.col("start") + F.col("size")
+    score = F.coalesce("score", F.lit(min(table.scores) - 10.0))
+    edge = F.struct(order.alias("order"), "start", "size", score.alias("score"), "id", inner.alias("inner"), ends.alias("ends"))
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def merge_fold(full: Column, edges: Column) -> Column:
-    """The cuts that remain after all merges.
-
-    An edge is a run of ones, the cuts inside it; the bits next to the run are its ends.
-    """
-    low = lambda e: e.bitwiseAND(-e)
-    ends = lambda e: F.shiftright(low(e), 1).bitwiseOR(e + low(e))
-    take = lambda m, e: (F.bit_count(m.bitwiseAND(e)) == 1) & (F.bit_count(m.bitwiseAND(ends(e))) == 2)
-    return F.aggregate(edges, full, lambda m, e: F.when(take(m, e), m.bitwiseAND(F.bitwise_not(e))).otherwise(m))
+    """The cuts that remain after all merges: an edge with one cut inside and both ends present takes that cut."""
+    take = lambda m, e: (F.bit_count(m.bitwiseAND(e["inner"])) == 1) & (m.bitwiseAND(e["ends"]) == e["ends"])
+    return F.aggregate(edges, full, lambda m, e: F.when(take(m, e), m.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(m))
 
 
 def viterbi(full: Column, edges: Column) -> Column:
     """The cuts of the path of the highest sum of scores.
 
-    The state maps a position's bit to the best score and cuts so far; edges come ordered by end.  Of equal sums
-    the path with the longer last piece is kept, as it comes first.
+    The state maps a position to the best score and cuts so far; edges come ordered by end.  Of equal sums the path
+    with the longer last piece is kept, as it comes first.
     """
-    zero = F.map_from_arrays(F.array(F.lit(1).cast("long")), F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("cuts"))))
+    zero = F.map_from_arrays(F.array(F.lit(0)), F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("cuts"))))
 
     def step(state: Column, e: Column) -> Column:
-        high = F.bitwise_not(e["inner"]).bitwiseAND(e["ends"])
-        begin = high.bitwiseAND(-high)
-        stop = high.bitwiseXOR(begin)
-        came, had = state[begin], state[stop]
+        stop = e["start"] + e["size"]
+        came, had = state[e["start"]], state[stop]
         score = came["score"] + e["score"]
-        new = F.map_from_arrays(F.array(stop), F.array(F.struct(score.alias("score"), came["cuts"].bitwiseOR(stop).alias("cuts"))))
+        new = F.map_from_arrays(F.array(stop), F.array(F.struct(score.alias("score"), came["cuts"].bitwiseOR(e["ends"]).alias("cuts"))))
         better = came.isNotNull() & (had.isNull() | (score > had["score"]))
         return F.when(better, F.map_concat(F.map_filter(state, lambda k, _: k != stop), new)).otherwise(state)
 
-    last = F.shiftright(full, 1) + 1  # the highest bit of a mask of ones
-    return F.aggregate(edges, zero, step, lambda m: F.when(full == 0, F.lit(0).cast("long")).otherwise(F.coalesce(m[last]["cuts"], F.lit(0).cast("long"))))
-
-
-def _spelled(words: list[str], masks: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, end to end, and each word's offset."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(size) - size
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    bits = np.arange(_LONGEST + 1)
-    w, at = np.nonzero((masks[:, None] >> bits) & 1)
-    end = np.append(at[1:], 0)
-    body = at < size[w]  # a word's last cut begins no piece
-    w, at, n = w[body], at[body], (end - at)[body]
-    first, ids = start[w] + at, np.full(len(w), -1, np.int64)
-    for k in np.unique(n):
-        of = n == k
-        ids[of] = table.join(codes, first[of], int(k))
-    lists: dict[int, list[int]] = {}
-    for i in np.flatnonzero(ids < 0):
-        lists[i] = table.spell(words[w[i]][at[i] : at[i] + n[i]])
-    many = np.ones(len(w), np.int64)
-    for i, ls in lists.items():
-        many[i] = len(ls)
-    place = np.concatenate([[0], np.cumsum(many)])
-    flat = np.zeros(place[-1], np.int64)
-    flat[place[:-1]] = ids
-    for i, ls in lists.items():
-        flat[place[i] : place[i + 1]] = ls
-    per = np.bincount(w, many, len(words)).astype(np.int64)
-    rest = np.flatnonzero((masks == 0) & (size > 0))
-    if not len(rest):
-        return flat, np.concatenate([[0], np.cumsum(per)])
-    slow = {i: (table.merge if table.model == 2 else table.best_path)(words[i]) for i in rest}
-    for i, ls in slow.items():
-        per[i] = len(ls)
-    offsets = np.concatenate([[0], np.cumsum(per)])
-    out = np.zeros(offsets[-1], np.int64)
-    usual = np.repeat(masks != 0, per)
-    out[usual] = flat
-    for i, ls in slow.items():
-        out[offsets[i] : offsets[i + 1]] = ls
-    return out, offsets
+    last = F.bit_count(full) - 1
+    return F.aggregate(edges, zero, step, lambda m: m[last.cast("int")]["cuts"])
 
 
-def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int = STRETCH) -> DataFrame:
-    """Rows that ``finish(table, doc ids, lists of ids, md5 of texts)`` makes of each encoded stretch."""
-    table = Pieces(model)
+def spelled(cuts: Column, edges: Column, word: Column, table: Pieces) -> Column:
+    """The ids of a word between its cuts; a character that is no piece is spelled in bytes, or unknown."""
+    path = F.filter(edges, lambda e: (cuts.bitwiseAND(e["inner"]) == 0) & (cuts.bitwiseAND(e["ends"]) == e["ends"]))
+    path = F.array_sort(F.transform(path, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    if len(table.bytes_of) == 256:
+        ids = F.array(*[F.lit(table.bytes_of[b]) for b in range(256)])
+        one = lambda e: F.hex(F.substr(word, e["start"] + 1, F.lit(1)).cast("binary"))
+        byte = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.element_at(ids, F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("int") + 1))
+        other = lambda e: byte(one(e))
+    else:
+        other = lambda e: F.array(F.lit(table.unknown))
+    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNull(), other(e)).otherwise(F.array(e["id"]))))
+
+
+def word_ids(words: DataFrame, table: Pieces) -> DataFrame:
+    """word, ids of every distinct word that fits the lattice."""
+    met = lattice(words, table)
+    full = F.expr("shiftleft(1L, char_length(word) + 1) - 1")
+    fold = merge_fold if table.model == 2 else viterbi
+    cut = met.withColumn("cuts", fold(full, F.col("edges")))
+    return cut.select("word", spelled(F.col("cuts"), F.col("edges"), F.col("word"), table).alias("ids"))
+
+
+_STRETCH = pa.schema([("stretch", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("source", pa.list_(pa.binary())), ("unit", pa.binary()), ("end", pa.binary()), ("words", pa.list_(pa.string()))])
+
+
+def stretches(docs: DataFrame, table: Pieces, stretch: int = STRETCH) -> DataFrame:
+    """The table of stretches, written: doc_id, source (md5 of the text) and end (of its words) of each document,
+    unit (the number of each word), words (the distinct ones)."""
     sent = docs.sparkSession.sparkContext.broadcast(table)  # at most MOST_PIECES pieces
-    columns, ddl = _stretch(table.model)
+    text = F.col("text").cast("string")
+    size = int(docs.select(F.sum(F.char_length(text))).first()[0] or 0)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, task, seq = sent.value, TaskContext.get().partitionId(), 0
 
         def row() -> pa.RecordBatch:
-            words = list(index)
-            full, offsets, ends, inner, score = lattice(words, table)
-            edge = pa.array(inner) if table.model == 2 else pa.StructArray.from_arrays([pa.array(ends), pa.array(inner), pa.array(score)], fields=list(_EDGE))
-            values = [docs_, source, np.concatenate(units) if units else np.zeros(0, np.int32), np.cumsum([len(u) for u in units]), words, full]
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t.value_type)) for v, t in zip(values, columns.types)]
-            grouped = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), edge)
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), grouped))
-            return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, columns.types)], schema=columns)
+            ends = np.cumsum([len(u) for u in units], dtype=np.int64)
+            values = [(task << 32) | seq, docs_, source, np.concatenate(units).tobytes(), ends.tobytes(), list(index)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _STRETCH.types)], schema=_STRETCH)
 
         index, docs_, source, units, held = {}, [], [], [], 0
         for batch in batches:
@@ -353,32 +289,68 @@ def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int =
                 held += len(text) + 16
                 if held >= stretch:
                     yield row()
-                    index, docs_, source, units, held = {}, [], [], [], 0
+                    seq, index, docs_, source, units, held = seq + 1, {}, [], [], [], 0
             release()
         if docs_:
             yield row()
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    cut_ = rows.mapInArrow(cut, "stretch long, doc_id array<long>, source array<binary>, unit binary, end binary, words array<string>")
+    return bucketed(cut_, "stretch", min(100_000, max(8, size // (2 * stretch))), "stretches")
+
+
+def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int = STRETCH) -> DataFrame:
+    """Rows that ``finish(table, doc ids, lists of ids, md5 of texts)`` makes of each encoded stretch."""
+    table = Pieces(model)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    held = stretches(docs, table, stretch)
+    pairs = held.select("stretch", F.posexplode("words").alias("at", "word")).where(F.char_length("word") <= LONGEST)
+    if table.model == 2:
+        pairs = pairs.where(~F.col("word").startswith(_BLANK * table.run))
+    coded = pairs.join(word_ids(pairs.select("word").distinct(), table).hint("shuffle_hash"), "word")
+    back = coded.groupBy("stretch").agg(F.collect_list(F.struct("at", "ids")).alias("coded"))  # a stretch's words
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, source, unit, end, words, cuts = (batch.column(k)[i].values for k in range(6))
-                if not len(doc):
-                    continue
-                flat, offsets = _spelled(words.to_pylist(), np.asarray(cuts), table)
-                unit, n = np.asarray(unit), np.diff(offsets)
+                doc, source, words, coded = (batch.column(k)[i].values for k in ("doc_id", "source", "words", "coded"))
+                unit, end = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in (("unit", np.int32), ("end", np.int64)))
+                flat, offsets = _by_word(words, coded, table)
+                n = np.diff(offsets)
                 many = n[unit]
                 place = np.repeat(offsets[unit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.asarray(end)])]
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[place].astype(np.int32)))
-                yield finish(table, doc.cast(pa.int64()), ids, source)
+                ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], end])]
+                flat = flat[place].astype(np.int32)
+                del place, many
+                for a in range(0, len(doc), 2000):
+                    at = ends[a : a + 2001]
+                    ids = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(flat[at[0] : at[-1]]))
+                    yield finish(table, doc.slice(a, 2000).cast(pa.int64()), ids, source.slice(a, 2000))
             release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    grouped = rows.mapInArrow(explode, ddl)
-    fold = merge_fold if table.model == 2 else viterbi
-    folded = grouped.withColumn("cuts", F.zip_with("full", "edges", fold)).select("doc_id", "source", "unit", "end", "word", "cuts")
-    return folded.mapInArrow(collect, schema)
+    kind = "array<struct<at:int,ids:array<int>>>"
+    rows = held.join(back.hint("shuffle_hash"), "stretch", "left").withColumn("coded", F.coalesce("coded", F.array().cast(kind)))
+    return rows.select("doc_id", "source", "unit", "end", "words", "coded").mapInArrow(collect, schema)
+
+
+def _by_word(words: pa.Array, coded: pa.Array | None, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a stretch's words in their order, end to end, and each word's offset."""
+    size, flat, first = np.zeros(len(words), np.int64), np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    known = np.zeros(len(words), bool)
+    if coded is not None and len(coded):
+        at, lists = np.asarray(coded.field("at")), coded.field("ids")
+        begin = np.asarray(lists.offsets, np.int64)
+        flat = np.asarray(lists.values, np.int64)
+        size[at], first[at], known[at] = np.diff(begin), begin[:-1], True
+    more = []
+    for i in np.flatnonzero(~known):  # words that do not fit the lattice
+        ids = (table.merge if table.model == 2 else table.best_path)(words[i].as_py())
+        size[i], first[i] = len(ids), len(flat) + sum(map(len, more))
+        more.append(np.array(ids, np.int64))
+    flat = np.concatenate([flat, *more])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])], offsets
 
 
 def encode(docs: DataFrame, model: bytes, stretch: int = STRETCH) -> DataFrame:

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.suffixes import grouping
-from quarry.llm.util import saved, shared_dir
+from quarry.llm.util import bucketed, saved
 from quarry.llm.words import mix, prefix_sums, release, stretch, utf8
 
 LENGTH, GRAM = 50, 24
@@ -180,7 +179,6 @@ class Block:
 
 def _blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     """The table as written blocks, bucketed by block, and its bytes of text."""
-    spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     text = F.col("text").cast("string")
     size = int(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
@@ -219,10 +217,8 @@ def _blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(f"`{c}`") for c in rest])
     packed = rows.mapInArrow(pack, "block long, ids binary, ends binary, text binary, absent binary, rest binary")
-    name = f"quarry_blocks_{uuid.uuid4().hex}"
     buckets = max(8, math.ceil(size / (8 * block)))
-    packed.write.bucketBy(min(buckets, 100_000), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), size
+    return bucketed(packed, "block", min(buckets, 100_000), "blocks"), size
 
 
 def _each(blocks: DataFrame, parts: int, answers: list[DataFrame], step: Callable[[Block, object], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
