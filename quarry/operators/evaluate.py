@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import numeric
 from quarry.operators.frames import first_by, ranked
+from quarry.operators.store import saved
 
 METRICS = ("recall", "precision", "hit", "mrr", "ndcg", "map")
 
@@ -70,25 +69,30 @@ def evidence_hit_rate(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return per_query(run, qrels, [k]).agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("hit_rate"), F.count("*").alias("n_questions"))
 
 
+# The distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON = [0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384627, 0.99634015317265634, 0.9994058151824183, 0.99991675885071195, 0.99998975080332532]
+
+
 def paired_bootstrap(base: DataFrame, candidate: DataFrame, metric: str, samples: int = 10_000, seed: int = 42, alpha: float = 0.05, smoothed: bool = True) -> DataFrame:
     """Mean difference, percentile interval and two-sided p of two per-query frames (AGG-16).
 
-    Differences (one number a question) form one group: the resampling is sequential by definition.
+    A resample counts each question Poisson(1) times (8 at most), by a hash of seed, resample and question: any task can
+    draw for any question, so resamples are sums that are combined before they are shuffled.  An empty resample
+    (of few questions) does not count.
     """
     a, b = base.select("question_id", "k", F.col(metric).alias("a")), candidate.select("question_id", "k", F.col(metric).alias("b"))
-    both = a.join(b, ["question_id", "k"]).select("k", "question_id", (F.col("b") - F.col("a")).alias("d"))
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("question_id")
-        d, n = pdf["d"].to_numpy(), len(pdf)
-        rng = np.random.default_rng(seed)
-        means = np.array([d[rng.integers(0, n, n)].mean() for _ in range(samples)])
-        low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        add = 1 if smoothed else 0
-        p = min(1.0, 2 * min(((means <= 0).sum() + add) / (samples + add), ((means >= 0).sum() + add) / (samples + add)))
-        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "n": [n], "delta": [d.mean()], "low": [low], "high": [high], "p": [p]})
-
-    return both.groupBy("k").applyInPandas(test, "k int, n long, delta double, low double, high double, p double")
+    both = saved(a.join(b, ["question_id", "k"]).select("k", "question_id", (F.col("b") - F.col("a")).alias("d")), "differences")
+    each = both.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string"), "question_id")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    times = sum((F.when(F.col("u") >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
+    drawn = each.withColumn("u", u).select("k", "s", "d", times.alias("w"))
+    mean = F.when(F.sum("w") > 0, F.round(F.sum(F.col("w") * F.col("d")) / F.sum("w"), 12))
+    means = drawn.groupBy("k", "s").agg(mean.alias("m")).where("m IS NOT NULL")
+    add = 1 if smoothed else 0
+    tail = lambda test: (F.count_if(test) + add) / (F.count("m") + add)
+    quantile = lambda q: F.percentile("m", q)
+    got = means.groupBy("k").agg(quantile(alpha / 2).alias("low"), quantile(1 - alpha / 2).alias("high"), F.least(F.lit(1.0), 2 * F.least(tail(F.col("m") <= 0), tail(F.col("m") >= 0))).alias("p"))
+    return both.groupBy("k").agg(F.count("*").alias("n"), F.avg("d").alias("delta")).join(got, "k").select("k", "n", "delta", "low", "high", "p")
 
 
 def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:

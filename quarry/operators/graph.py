@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric, tree
 from quarry.operators.frames import minmax, small, top
+from quarry.operators.store import saved
 
 # Edge weights, and the rank bands of the structure without knowledge.
 WEIGHTS = {
@@ -93,19 +94,22 @@ def diffusion(edges: DataFrame, rounds: int = 3, damping: float = 0.85, mode: st
     """question_id, node, mass: damped power iteration from the question node, scaled to 1 every round (GR-05).
 
     Adjacency stays in its edge form (node to edge to node), so an edge of m nodes costs m rows a round, not m².
+    Incidences are dealt by question once; every round is three sums inside a question, without a shuffle.  A
+    question's graph, bounded by its candidates, is so the largest thing a task holds, and a sum spills.
     """
     n = F.size("nodes")
-    inc = edges.select("question_id", "edge_id", "edge_type", (F.col("weight") * specificity(n, mode) / (n - 1)).alias("a"), F.explode("nodes").alias("node"))
-    key = ["question_id", "edge_id", "edge_type"]
-    mass = edges.select("question_id").distinct().select("question_id", tree.key("question", F.col("question_id")).alias("node"), F.lit(1.0).alias("mass"))
-    seed = mass
+    inc = edges.select("question_id", F.concat_ws("|", "edge_type", "edge_id").alias("edge"), (F.col("weight") * specificity(n, mode) / (n - 1)).alias("a"), F.explode("nodes").alias("node"))
+    asked = tree.key("question", F.col("question_id"))
+    seed = edges.select("question_id").distinct().select("question_id", F.lit("").alias("edge"), F.lit(0.0).alias("a"), asked.alias("node"))
+    held = saved(inc.unionByName(seed), "incidence").repartition("question_id").withColumn("mass", F.when(F.col("node") == asked, 1.0).otherwise(0.0))
+    node, edge, whole = Window.partitionBy("question_id", "node"), Window.partitionBy("question_id", "edge"), Window.partitionBy("question_id")
+    held = held.withColumn("once", F.row_number().over(node.orderBy("edge")) == 1)
+    back = F.when(F.col("node") == asked, 1 - damping).otherwise(0.0)
     for _ in range(rounds):
-        held = inc.join(mass, ["question_id", "node"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-        total = F.sum("mass").over(Window.partitionBy(*key))
-        sent = held.select("question_id", "node", (F.col("a") * (total - F.col("mass"))).alias("m")).groupBy("question_id", "node").agg((damping * F.sum("m")).alias("m"))
-        back = sent.unionByName(seed.select("question_id", "node", ((1 - damping) * F.col("mass")).alias("m"))).groupBy("question_id", "node").agg(F.sum("m").alias("m"))
-        mass = back.withColumn("mass", F.col("m") / F.sum("m").over(Window.partitionBy("question_id"))).where("mass > 0").drop("m")
-    return mass
+        held = held.withColumn("sent", F.col("a") * (F.sum("mass").over(edge) - F.col("mass")))
+        held = held.withColumn("mass", damping * F.sum("sent").over(node) + back)
+        held = held.withColumn("mass", F.col("mass") / F.sum(F.when(F.col("once"), F.col("mass")).otherwise(0.0)).over(whole)).drop("sent")
+    return held.where("once AND mass > 0").select("question_id", "node", "mass")
 
 
 def centrality(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric, text
 from quarry.operators.frames import small, top
+from quarry.operators.store import saved
 
 K1, B = 1.5, 0.75
 
@@ -31,12 +32,32 @@ def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return each.repartition("passage_id").groupBy("passage_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+class Probe:
+    """The postings of all asked terms with the corpus's statistics, from one pass over the corpus.
+
+    A row of the empty term stands for each passage, so passages without an asked term count too.  Any number of
+    runs (parameters, depths) are scored from the written table.
+    """
+
+    def __init__(self, corpus: DataFrame, questions: DataFrame) -> None:
+        self.terms = question_terms(questions)
+        rows = corpus.select(F.col("passage_id").cast("string").alias("passage_id"), text.tokens(F.col("text")).alias("ts"))
+        each = rows.select("passage_id", F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("term"))
+        wanted = self.terms.select("term").unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        each = each.join(small(wanted), "term", "left_semi")  # before anything is shuffled
+        held = saved(each.repartition("passage_id").groupBy("passage_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+        self.hits = held.where("term <> ''")
+        self.stats = held.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("tf") * F.col("dl")) / F.sum("tf"), F.lit(0.0)).alias("avgdl"))
+        self.df = self.hits.groupBy("term").agg(F.count("*").alias("df"))
+
+    def run(self, k: int = 100, k1: float = K1, b: float = B, retriever: str = "bm25") -> DataFrame:
+        return score(self.hits, self.df, self.stats, self.terms, k, k1, b, retriever)
+
+
 def search(corpus: DataFrame, questions: DataFrame, k: int = 100, k1: float = K1, b: float = B, retriever: str = "bm25") -> DataFrame:
     """Run of the k best passages of each question (JN-01, TOP-01).  One shuffle of matching tokens by passage;
     the best k are then limited before the last one."""
-    terms = question_terms(questions)
-    hits = postings(corpus, terms)
-    return score(hits, hits.groupBy("term").agg(F.count("*").alias("df")), corpus_statistics(corpus), terms, k, k1, b, retriever)
+    return Probe(corpus, questions).run(k, k1, b, retriever)
 
 
 def score(hits: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame, k: int, k1: float = K1, b: float = B, retriever: str = "bm25") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import dense, evaluate, fusion, lexical
+from quarry.operators.store import saved
 from quarry.plans import sql
 from quarry.plans.tables import corpus, qrels, questions, table, vector_queries, vectors
 
@@ -23,7 +22,10 @@ def _bm25(spark, d, **kw) -> DataFrame:
     return lexical.search(corpus(spark, d), questions(spark, d), **kw)
 
 
-_other = partial(_bm25, k1=0.9, b=0.4)
+def _pair(spark, d, k: int = 100, k_other: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Two runs of different parameters from the same postings, each written once."""
+    p = lexical.Probe(corpus(spark, d), questions(spark, d))
+    return saved(p.run(k), "run"), saved(p.run(k_other, k1=0.9, b=0.4), "run")
 
 
 def bm25_run(spark, d):
@@ -64,17 +66,19 @@ def graded_metrics(spark, d):
 
 
 def rrf_run(spark, d):
-    got = fusion.rrf({"bm25": _bm25(spark, d), "other": _other(spark, d)}, k=50)
+    a, b = _pair(spark, d)
+    got = fusion.rrf({"bm25": a, "other": b}, k=50)
     return _round(got, "score").select("question_id", "passage_id", "rank", "score", "best_rank", F.element_at("source_ranks", "bm25").alias("bm25_rank"), F.element_at("source_ranks", "other").alias("other_rank"))
 
 
 def rrf_three(spark, d):
-    runs = {"a": _bm25(spark, d), "b": _other(spark, d), "c": _bm25(spark, d, k1=2.0, b=1.0)}
+    p = lexical.Probe(corpus(spark, d), questions(spark, d))
+    runs = {"a": p.run(), "b": p.run(k1=0.9, b=0.4), "c": p.run(k1=2.0, b=1.0)}
     return _round(fusion.rrf(runs, {"a": 1.0, "b": 1.2, "c": 0.2}, k=50, depth=60).select("question_id", "passage_id", "rank", "score"), "score")
 
 
 def rrf_pair_grid(spark, d):
-    a, b, gold = _bm25(spark, d), _other(spark, d), qrels(spark, d)
+    (a, b), gold = _pair(spark, d), saved(qrels(spark, d), "qrels")
     out = None
     for alpha in (0.0, 0.3, 0.7, 1.0):
         m = evaluate.metrics(fusion.weighted_pair(a, b, alpha), gold, [10]).select(F.lit(alpha).alias("alpha"), "recall", "ndcg", "mrr")
@@ -83,11 +87,12 @@ def rrf_pair_grid(spark, d):
 
 
 def linear_run(spark, d):
-    return _round(fusion.linear({"bm25": _bm25(spark, d), "other": _other(spark, d)}, {"bm25": 0.6, "other": 0.4}, k=50).select("question_id", "passage_id", "rank", "score"), "score")
+    a, b = _pair(spark, d)
+    return _round(fusion.linear({"bm25": a, "other": b}, {"bm25": 0.6, "other": 0.4}, k=50).select("question_id", "passage_id", "rank", "score"), "score")
 
 
 def anchored_run(spark, d):
-    return _round(fusion.anchored(_bm25(spark, d), _other(spark, d), 3, 50).drop("retriever"), "score")
+    return _round(fusion.anchored(*_pair(spark, d), 3, 50).drop("retriever"), "score")
 
 
 def rank_diagnostics(spark, d):
@@ -99,12 +104,12 @@ def gold_rank_buckets(spark, d):
 
 
 def moved_gold(spark, d):
-    return evaluate.moved_gold(_bm25(spark, d), _other(spark, d), qrels(spark, d), 1)
+    return evaluate.moved_gold(*_pair(spark, d), qrels(spark, d), 1)
 
 
 def win_loss(spark, d):
-    gold = qrels(spark, d)
-    a, b = (evaluate.per_query(r, gold, KS) for r in (_bm25(spark, d), _other(spark, d)))
+    gold = saved(qrels(spark, d), "qrels")
+    a, b = (evaluate.per_query(r, gold, KS) for r in _pair(spark, d))
     return _round(evaluate.win_loss(a, b, "mrr"), "mean_delta")
 
 
@@ -113,9 +118,9 @@ def evidence_hit_rate(spark, d):
 
 
 def paired_bootstrap(spark, d):
-    gold = qrels(spark, d)
-    a, b = (evaluate.per_query(r, gold, [10]) for r in (_bm25(spark, d), _other(spark, d)))
-    return evaluate.paired_bootstrap(a, b, "mrr", 2000)
+    gold = saved(qrels(spark, d), "qrels")
+    a, b = (evaluate.per_query(r, gold, KS) for r in _pair(spark, d))
+    return _round(evaluate.paired_bootstrap(a, b, "mrr", 500), "delta", "low", "high", "p")
 
 
 def _labelled_scores(spark, d):
@@ -133,27 +138,29 @@ def feature_separability(spark, d):
 
 
 def hard_questions(spark, d):
-    return evaluate.hard_questions(_bm25(spark, d, k=3), _other(spark, d, k=300), qrels(spark, d), near=1, far=2)
+    return evaluate.hard_questions(*_pair(spark, d, 3, 300), saved(qrels(spark, d), "qrels"), near=1, far=2)
 
 
 def question_strata(spark, d):
     from quarry.functions import text
 
-    rows = evaluate.hard_questions(_bm25(spark, d, k=3), _other(spark, d, k=300), qrels(spark, d), near=1, far=2)
+    rows = evaluate.hard_questions(*_pair(spark, d, 3, 300), saved(qrels(spark, d), "qrels"), near=1, far=2)
     rows = rows.join(questions(spark, d), "question_id").withColumn("type", text.question_type(F.col("question"))).withColumn("length", F.least(F.size(text.tokens(F.col("question"))) / 10, F.lit(5)).cast("int"))
     return evaluate.strata(rows, ["type", "length"], ["is_hard", "multi_evidence"])
 
 
 def method_comparison(spark, d):
-    gold, out = qrels(spark, d), None
-    for name, run in (("bm25", _bm25(spark, d)), ("other", _other(spark, d)), ("rrf", fusion.rrf({"a": _bm25(spark, d), "b": _other(spark, d)}))):
+    gold, out = saved(qrels(spark, d), "qrels"), None
+    a, b = _pair(spark, d)
+    for name, run in (("bm25", a), ("other", b), ("rrf", saved(fusion.rrf({"a": a, "b": b}), "run"))):
         m = evaluate.metrics(run, gold, KS).select(F.lit(name).alias("method"), "k", "mrr")
         out = m if out is None else out.unionByName(m)
     return _round(evaluate.compared(out, "bm25", "mrr"), "mrr", "delta")
 
 
 def score_correlation(spark, d):
-    both = _bm25(spark, d).select("question_id", "passage_id", F.col("score").alias("x")).join(_other(spark, d).select("question_id", "passage_id", F.col("score").alias("y")), ["question_id", "passage_id"])
+    a, b = _pair(spark, d)
+    both = a.select("question_id", "passage_id", F.col("score").alias("x")).join(b.select("question_id", "passage_id", F.col("score").alias("y")), ["question_id", "passage_id"])
     return _round(evaluate.correlation(both, "x", "y", "question_id"), "r", "mean_abs_diff", "spread")
 
 
@@ -236,3 +243,10 @@ _PAIR = ", ".join(
     for i, a in enumerate((0.0, 0.3, 0.7, 1.0))
 )
 ORACLE["rrf_pair_grid"] = f"{_TWO}, {_PAIR} {_GRID}"
+# Poisson counts of a resample: the quantile of a number drawn by hash of (seed, resample, question).
+_DRAW = "".join(f" + CASE WHEN u >= {x!r} THEN 1 ELSE 0 END" for x in evaluate.POISSON)
+ORACLE["paired_bootstrap"] = f"""{_TWO}, {sql.metrics('a', 'ma')}, {sql.metrics('b', 'mb')}, d AS (SELECT question_id, k, mb.mrr - ma.mrr AS d FROM ma JOIN mb USING (question_id, k)),
+w AS (SELECT k, s, d, 0{_DRAW} AS w FROM (SELECT k, s, d, CAST('0x' || substr(md5('42:' || s || ':' || question_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM d, range(500) r(s))),
+m AS (SELECT k, s, CASE WHEN sum(w) > 0 THEN round(sum(w * d) / sum(w), 12) END AS m FROM w GROUP BY ALL),
+t AS (SELECT k, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, (count(*) FILTER (WHERE m <= 0) + 1) / (count(m) + 1) AS a, (count(*) FILTER (WHERE m >= 0) + 1) / (count(m) + 1) AS b FROM m GROUP BY k)
+SELECT k, n, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(least(1, 2 * least(a, b)), 6) AS p FROM t JOIN (SELECT k, count(*) AS n, avg(d) AS delta FROM d GROUP BY k) USING (k)"""
