@@ -29,11 +29,14 @@ def _edges(df: DataFrame, kind: str, edge_id: Column, nodes: Column, weight: flo
     return rows.where(F.size("nodes") >= 2)
 
 
-def build(candidates: DataFrame, question_entities: DataFrame, passage_entities: DataFrame, most_entities: int = 48, most_shared: int = 128) -> DataFrame:
+def build(
+    candidates: DataFrame, question_entities: DataFrame, passage_entities: DataFrame, most_entities: int = 48, most_shared: int = 128,
+    question_mesh: DataFrame | None = None, passage_mesh: DataFrame | None = None, relations: DataFrame | None = None, most_mesh: int = 32,
+) -> DataFrame:
     """Edges of each question's graph over its candidates (GR-01).
 
     candidates (question_id, passage_id), question_entities (question_id, entity), passage_entities (passage_id,
-    entity, entity_type).
+    entity, entity_type); question_mesh and passage_mesh (id, mesh, trees); relations (a, b, relation), undirected.
     """
     q, e, p = tree.key("question", F.col("question_id")), tree.key("entity", F.col("entity")), tree.key("passage", F.col("passage_id"))
     asked = small(candidates.select("question_id").distinct())
@@ -48,15 +51,34 @@ def build(candidates: DataFrame, question_entities: DataFrame, passage_entities:
     out = out.unionByName(_edges(kinds, "entity_type_concept", F.concat(F.lit("type:"), "entity_type"), F.concat(F.array(tree.key("type", F.col("entity_type"))), "es")))
     shared = inside.groupBy("question_id", "entity").agg(F.array_sort(F.collect_set(p)).alias("ps")).where(F.size("ps") >= 2)
     shared = top(shared, "question_id", most_shared, F.desc(F.size("ps")), "entity", name="_n")
-    return out.unionByName(_edges(shared, "shared_entity_passages", F.concat(F.lit("shared:"), "entity"), F.concat(F.array(e), "ps")))
-
-
-def relation_edges(candidates: DataFrame, passage_entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Relations whose both ends stand in the question's graph."""
-    local = candidates.select("question_id", "passage_id").join(passage_entities, "passage_id").select("question_id", "entity").distinct()
+    out = out.unionByName(_edges(shared, "shared_entity_passages", F.concat(F.lit("shared:"), "entity"), F.concat(F.array(e), "ps")))
+    if passage_mesh is not None:
+        out = out.unionByName(mesh_edges(candidates, question_mesh.join(asked, "question_id", "left_semi"), passage_mesh, most_mesh))
+    return out if relations is None else out.unionByName(relation_edges(candidates, passage_entities, relations, question_entities))
+
+
+def mesh_edges(candidates: DataFrame, question_mesh: DataFrame, passage_mesh: DataFrame, most: int = 32) -> DataFrame:
+    """Edges of questions' and documents' descriptors and of their trees, for each owner."""
+    q, p, d, m = tree.key("question", F.col("question_id")), tree.key("passage", F.col("passage_id")), tree.key("document", F.col("passage_id")), tree.key("mesh", F.col("mesh"))
+    own = question_mesh.groupBy("question_id").agg(F.array_sort(F.collect_set(m)).alias("ms"))
+    out = _edges(own, "question_mesh", F.concat(F.lit("qm:"), "question_id"), F.concat(F.array(q), "ms"))
+    inside = candidates.select("question_id", "passage_id").join(top(passage_mesh.select("passage_id", "mesh", "trees"), "passage_id", most, "mesh", name="_n").drop("_n"), "passage_id")
+    per = inside.groupBy("question_id", "passage_id").agg(F.array_sort(F.collect_set(m)).alias("ms"))
+    out = out.unionByName(_edges(per, "passage_document", F.concat(F.lit("pd:"), "passage_id"), F.array(p, d)))
+    out = out.unionByName(_edges(per, "document_mesh", F.concat(F.lit("dm:"), "passage_id"), F.concat(F.array(d), "ms")))
+    owners = question_mesh.select("question_id", q.alias("owner"), "mesh", F.explode("trees").alias("tree")).unionByName(inside.select("question_id", d.alias("owner"), "mesh", F.explode("trees").alias("tree")))
+    return out.unionByName(tree_edges(owners))
+
+
+def relation_edges(candidates: DataFrame, passage_entities: DataFrame, pairs: DataFrame, question_entities: DataFrame | None = None) -> DataFrame:
+    """Relations whose both ends stand in the question's graph; a relation's name is one node."""
+    local = candidates.select("question_id", "passage_id").join(passage_entities, "passage_id").select("question_id", "entity")
+    if question_entities is not None:
+        local = local.unionByName(question_entities.join(small(candidates.select("question_id").distinct()), "question_id", "left_semi").select("question_id", "entity"))
+    local = local.distinct()
     rows = local.withColumnRenamed("entity", "a").join(small(pairs), "a").join(local.withColumnRenamed("entity", "b"), ["question_id", "b"])
     key = F.concat_ws(":", F.lit("rel"), "a", "b", "relation")
-    return _edges(rows, "relation", key, F.array(tree.key("relation", F.concat_ws(":", "a", "relation", "b")), tree.key("entity", F.col("a")), tree.key("entity", F.col("b"))))
+    return _edges(rows, "relation", key, F.array(tree.key("relation", F.col("relation")), tree.key("entity", F.col("a")), tree.key("entity", F.col("b"))))
 
 
 def tree_edges(owners: DataFrame) -> DataFrame:

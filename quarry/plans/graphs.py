@@ -12,29 +12,13 @@ from pyspark.sql import functions as F
 from quarry.functions import numeric
 from quarry.operators import annotate, answer, expand, graph, lexical, prepare, rerank
 from quarry.operators.frames import ranked
-from quarry.plans import sql
+from quarry.plans import features, sql
 from quarry.plans.retrieval import _round
-from quarry.plans.tables import concept_bags, corpus, qrels, question_concepts, questions, table
+from quarry.plans.tables import candidates, concept_bags, corpus, passage_entities, qrels, question_concepts, question_entities, questions, table
 
 _S = "string"
 
 
-def candidates(spark, d) -> DataFrame:
-    rows = table(spark, d, "orders").select(F.col("o_custkey").cast(_S).alias("question_id"), F.col("o_orderkey").cast(_S).alias("passage_id"), F.col("o_totalprice").alias("score"))
-    return ranked(rows, "question_id", F.desc("score"), "passage_id")
-
-
-def passage_entities(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast(_S).alias("passage_id"), F.col("l_partkey")).distinct()
-    return lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("passage_id", F.col("l_partkey").cast(_S).alias("entity"), F.col("p_type").alias("entity_type"))
-
-
-def question_entities(spark, d) -> DataFrame:
-    """The parts of each customer's first-ranked order."""
-    first = candidates(spark, d).where("rank = 1").select("question_id", "passage_id")
-    return first.join(passage_entities(spark, d), "passage_id").select("question_id", "entity")
-
-
 def _graph(spark, d) -> DataFrame:
     return graph.build(candidates(spark, d), question_entities(spark, d), passage_entities(spark, d))
 
@@ -123,36 +107,13 @@ def _overlap_questions(spark, d):
     return question_entities(spark, d).join(table(spark, d, "part"), F.col("entity") == F.col("p_partkey").cast(_S)).select("question_id", F.col("p_type").alias("concept")).distinct()
 
 
-def _parts(spark, d) -> DataFrame:
-    """Numbers of each order in the place of the precision score's parts."""
-    o = F.col("passage_id").cast("long")
-    m = lambda k: (F.pmod(o, F.lit(k)) / k).cast("double")
-    return candidates(spark, d).select(
-        "question_id", "passage_id", "rank", m(3).alias("rare"), m(5).alias("mesh_specificity"), m(7).alias("hierarchy"), (m(11) / 10).alias("seed"), F.pmod(o, F.lit(4)).cast("double").alias("direct"), m(13).alias("relation"), m(17).alias("semantic"),
-        m(6).alias("broad"), F.pmod(o, F.lit(2)).cast("double").alias("hierarchy_only"), m(9).alias("high_df"),
-    )
-
-
-def precision_scores(spark, d):
-    got = graph.attribution(graph.precision(_parts(spark, d)), "precision_score", ["rare", "hierarchy", "seed", "relation", "agreement"])
-    return _round(got.select("question_id", "passage_id", "raw", "precision_score", "gain_rare", "without_relation", "total_gain", "max_gain"), "raw", "precision_score", "gain_rare", "without_relation", "total_gain", "max_gain")
-
-
-def evidence_units(spark, d):
-    p = _parts(spark, d)
-    rows = p.select("question_id", "passage_id", F.col("direct").alias("useful"), F.col("hierarchy_only").alias("major"), F.lit(3.0).alias("n_question"), F.lit(1.0).alias("n_question_broad"), F.lit(5.0).alias("n_all"), F.col("direct").alias("overlap"), F.col("semantic").alias("category_coverage"), F.lit(0.5).alias("evidence_type"), (F.col("direct") * 2).alias("specificity_depth"), F.col("broad").alias("broad_penalty"), F.col("direct").alias("cluster"))
-    got = graph.evidence_unit(rows)
-    names = ["evidence_match", "evidence_specificity", "evidence_quality", "cluster_support", "evidence_path"]
-    return _round(got.select("question_id", "passage_id", *names), *names)
-
-
 def two_layers(spark, d):
     tokens = candidates(spark, d).select("question_id", "passage_id").join(passage_entities(spark, d).select("passage_id", F.col("entity_type").alias("token")), "passage_id")
     return _round(graph.two_layers(candidates(spark, d), tokens), "novelty", "necessity", "rescue")
 
 
 def _gates(spark, d):
-    p = _parts(spark, d)
+    p = features.parts(spark, d)
     return rerank.gate_statistics(p.withColumn("noise", F.col("broad") + F.col("high_df")), "rare", "mesh_specificity", "noise", "semantic", "direct")
 
 
@@ -164,7 +125,7 @@ def gate_decisions(spark, d):
 
 
 def gated_rerank(spark, d):
-    rows = _parts(spark, d).withColumn("model_score", F.col("semantic"))
+    rows = features.parts(spark, d).withColumn("model_score", F.col("semantic"))
     gates = rerank.gated(_gates(spark, d), F.lit(0.25), F.lit(0.65), F.lit(0.15), F.lit(0.85))
     return _round(rerank.intervene(rows, gates).select("question_id", "passage_id", "new_rank", "new_score"), "new_score")
 
@@ -270,24 +231,12 @@ def answer_faithfulness(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_edges, graph_stars, graph_bands, graph_diffusion, graph_centrality, hierarchy_features, cluster_features, overlap_rerank, linear_rerank, model_blend, protected_rerank, hyperpath_scores, precision_scores, evidence_units, two_layers,
+    graph_edges, graph_stars, graph_bands, graph_diffusion, graph_centrality, hierarchy_features, cluster_features, overlap_rerank, linear_rerank, model_blend, protected_rerank, hyperpath_scores, two_layers,
     gate_decisions, gated_rerank, slate_choice, run_disagreement, threshold_gates, concept_overview, query_anchored, concept_expansion, expansion_quality, concept_dictionary, dictionary_matches, contained_terms, corpus_ingest, answer_report, answer_majority, answer_faithfulness,
 )}
 
-_CAND = """cand AS (SELECT CAST(o_custkey AS VARCHAR) AS question_id, CAST(o_orderkey AS VARCHAR) AS passage_id, o_totalprice AS score, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS rank FROM orders),
-pe AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS passage_id, CAST(l_partkey AS VARCHAR) AS entity, p_type AS entity_type FROM lineitem JOIN part ON l_partkey = p_partkey),
-qe AS (SELECT DISTINCT question_id, entity, entity_type FROM cand JOIN pe USING (passage_id) WHERE rank = 1),
-ins AS (SELECT question_id, passage_id, entity, entity_type FROM cand JOIN pe USING (passage_id))"""
-_EDGE = f"""{_CAND}, ed AS (
- SELECT question_id, 'qe' AS edge_id, 'question_entity' AS edge_type, list_concat(['question:' || question_id], list('entity:' || entity)) AS nodes, 1.25 AS weight FROM qe GROUP BY question_id
- UNION ALL SELECT question_id, passage_id, 'question_passage_candidate', ['question:' || question_id, 'passage:' || passage_id], 0.15 FROM cand
- UNION ALL SELECT question_id, passage_id, 'passage_entity', list_concat(['passage:' || passage_id], list('entity:' || entity)), 1.0 FROM ins GROUP BY question_id, passage_id
- UNION ALL SELECT question_id, entity_type, 'entity_type_concept', list_concat(['type:' || replace(entity_type, ' ', '_')], list_sort(list(DISTINCT 'entity:' || entity))[1:128]), 0.2 FROM ins GROUP BY question_id, entity_type HAVING count(DISTINCT entity) >= 2
- UNION ALL SELECT question_id, entity, 'shared_entity_passages', list_concat(['entity:' || entity], list('passage:' || passage_id)), 0.75 FROM ins GROUP BY question_id, entity HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, entity) <= 128)"""
-_ROUND = """s{i} AS (SELECT question_id, node, m / sum(m) OVER (PARTITION BY question_id) AS mass FROM (SELECT question_id, node, sum(m) AS m FROM (
- SELECT question_id, node, 0.85 * a * (sum(coalesce(mass, 0)) OVER (PARTITION BY question_id, edge_type, edge_id) - coalesce(mass, 0)) AS m FROM inc LEFT JOIN s{j} USING (question_id, node)
- UNION ALL SELECT question_id, node, 0.15 * mass FROM s0) GROUP BY ALL))"""
-_PARTS = f"""{_CAND}, parts AS (SELECT question_id, passage_id, rank, (o % 3) / 3 AS rare, (o % 5) / 5 AS mesh_specificity, (o % 7) / 7 AS hierarchy, (o % 11) / 11 / 10 AS seed, CAST(o % 4 AS DOUBLE) AS direct, (o % 13) / 13 AS relation, (o % 17) / 17 AS semantic, (o % 6) / 6 AS broad, CAST(o % 2 AS DOUBLE) AS hierarchy_only, (o % 9) / 9 AS high_df FROM (SELECT *, CAST(passage_id AS BIGINT) AS o FROM cand))"""
+_CAND, _ROUND, _PARTS = sql.CANDIDATES, sql.DIFFUSE, features.PARTS
+_EDGE = f"{sql.EDGES}, ed AS (SELECT * FROM ed0)"
 _OVER = f"""{_CAND}, pt AS (SELECT DISTINCT passage_id, entity_type AS concept FROM pe), qt AS (SELECT DISTINCT question_id, entity_type AS concept FROM qe),
 nq AS (SELECT question_id, count(*) AS nq FROM qt GROUP BY 1), np AS (SELECT passage_id, count(*) AS np FROM pt GROUP BY 1), sh AS (SELECT question_id, passage_id, count(*) AS shared FROM cand JOIN pt USING (passage_id) JOIN qt USING (question_id, concept) GROUP BY ALL),
 ov AS (SELECT question_id, passage_id, rank, score, CAST(coalesce(shared, 0) AS DOUBLE) AS shared, CASE WHEN coalesce(nq, 0) + coalesce(np, 0) - coalesce(shared, 0) > 0 THEN coalesce(shared, 0) / (coalesce(nq, 0) + coalesce(np, 0) - coalesce(shared, 0)) ELSE 0 END AS jaccard, CASE WHEN nq > 0 THEN coalesce(shared, 0) / nq ELSE 0 END AS coverage
@@ -296,11 +245,7 @@ _RR = f"""{_OVER}, er AS (SELECT *, row_number() OVER (PARTITION BY question_id
 rr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(new_score, 9) DESC, entity_rank, rank, passage_id) AS new_rank FROM (SELECT *, 1.0 / (60 + rank) + 1.0 / (60 + entity_rank) AS new_score FROM er))"""
 
 
-def _mm(c: str, flat: str = "1.0") -> str:
-    w = "OVER (PARTITION BY question_id)"
-    return f"CASE WHEN max({c}) {w} <= min({c}) {w} THEN {flat} ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
-
-
+_mm = sql.minmax
 _GATE = f"""{_PARTS}, gs AS (SELECT question_id, coalesce(max(mesh_specificity) FILTER (WHERE rank <= 3), 0) AS top3_direct, coalesce(max(rare) FILTER (WHERE rank <= 10), 0) AS top10_signal, coalesce(max(rare) FILTER (WHERE rank <= 100), 0) AS top100_signal,
  coalesce(max(broad + high_df) FILTER (WHERE rank <= 100), 0) AS noise, coalesce(max(semantic) FILTER (WHERE rank <= 10), 0) AS agreement, coalesce(max(direct) FILTER (WHERE rank <= 100), 0) AS edges, any_value(sr) AS signal_rank
  FROM (SELECT *, first_value(rank) OVER (PARTITION BY question_id ORDER BY rare DESC, rank) AS sr FROM parts) GROUP BY question_id)"""
@@ -340,12 +285,6 @@ SELECT question_id, passage_id, CAST(coalesce(cluster, 0) AS DOUBLE) AS cluster,
     "linear_rerank": f"""WITH {_OVER}, f AS (SELECT question_id, passage_id, rank, coverage, jaccard, 1 - (rank - 1) / 99 AS percentile, 1 - (rank - 1) / greatest(count(*) OVER (PARTITION BY question_id) - 1, 1) AS local_percentile, {_mm('score')} AS sn, CASE WHEN score > 0 THEN 1.0 / row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) ELSE 0 END AS score_reciprocal, {_mm('(1.0::DOUBLE / (60 + rank))')} AS bn FROM ov),
 s AS (SELECT *, 0.5::DOUBLE * bn + 0.2::DOUBLE * sn + 0.2::DOUBLE * coverage + 0.1::DOUBLE * jaccard AS new_score FROM f) SELECT question_id, passage_id, rank, {sql.rounded('percentile', 'local_percentile', 'score_reciprocal', 'new_score')}, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank FROM s""",
     "model_blend": f"""WITH {_OVER}, s AS (SELECT *, 0.371937::DOUBLE * {_mm('(1.0::DOUBLE / (60 + rank))')} + 0.628063::DOUBLE * {_mm('jaccard')} AS new_score FROM ov) SELECT question_id, passage_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(s.new_score, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank, round(s.new_score, 6) AS new_score FROM s""",
-    "precision_scores": f"""WITH {_PARTS}, a AS (SELECT *, rare + mesh_specificity + hierarchy + 10 * seed + 0.5::DOUBLE * direct + relation AS pos FROM parts), b AS (SELECT *, least(pos / 3, 1.0) * semantic AS agreement, greatest(0, least(pos / 3, 1.0) - semantic) AS disagreement FROM a),
-r AS (SELECT *, pos + 0.5::DOUBLE * agreement - 0.7::DOUBLE * broad - 0.8::DOUBLE * hierarchy_only - 0.5::DOUBLE * high_df - 0.7::DOUBLE * greatest(0, high_df - 0.3::DOUBLE) - 0.4::DOUBLE * disagreement AS raw FROM b), p AS (SELECT *, {_mm('raw', 'CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END')} AS ps, rare + hierarchy + seed + relation + agreement AS tot FROM r)
-SELECT question_id, passage_id, round(raw, 6) AS raw, round(ps, 6) AS precision_score, round(CASE WHEN tot > 0 THEN ps * rare / tot ELSE 0 END, 6) AS gain_rare, round(ps - CASE WHEN tot > 0 THEN ps * relation / tot ELSE 0 END, 6) AS without_relation, round(CASE WHEN tot > 0 THEN ps ELSE 0 END, 6) AS total_gain, round(CASE WHEN tot > 0 THEN ps * greatest(rare, hierarchy, seed, relation, agreement) / tot ELSE 0 END, 6) AS max_gain FROM p""",
-    "evidence_units": f"""WITH {_PARTS}, m AS (SELECT *, least(1, greatest(0, 0.3::DOUBLE * least(direct / 2, 1) + 0.25::DOUBLE * least(hierarchy_only / 3, 1) + 0.3::DOUBLE * semantic + 0.15::DOUBLE * least(direct / 5, 1))) AS em, least(direct * 2 / 8, 1) AS es FROM parts),
-u AS (SELECT *, least(1, greatest(0, 0.42::DOUBLE * em + 0.18::DOUBLE * 0.5 + 0.22::DOUBLE * es + 0.18::DOUBLE * least(hierarchy_only / 3, 1) - 0.3::DOUBLE * broad)) AS eq FROM m)
-SELECT question_id, passage_id, round(em, 6) AS evidence_match, round(es, 6) AS evidence_specificity, round(eq, 6) AS evidence_quality, round(ln(1 + direct), 6) AS cluster_support, round(eq * ln(1 + direct), 6) AS evidence_path FROM u""",
     "two_layers": f"""WITH {_CAND}, t AS (SELECT DISTINCT question_id, passage_id, rank, entity_type FROM cand JOIN pe USING (passage_id)), w AS (SELECT *, count(*) OVER v AS holders, max(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) OVER v AS in_top FROM t WINDOW v AS (PARTITION BY question_id, entity_type)),
 g AS (SELECT question_id, passage_id, count(*) AS n, count(*) FILTER (WHERE in_top = 0) AS new, count(*) FILTER (WHERE holders = 1) AS only_ FROM w GROUP BY ALL) SELECT question_id, passage_id, rank, round(coalesce(new / n, 0), 6) AS novelty, round(coalesce(only_ / n, 0), 6) AS necessity, round(CASE WHEN rank > 10 THEN coalesce(new / n, 0) ELSE 0 END, 6) AS rescue FROM cand LEFT JOIN g USING (question_id, passage_id)""",
     "gate_decisions": f"WITH {_GATE}, x AS (SELECT rule, {_decide('least_', 'most', 'easy', 'high')} FROM gs, (VALUES {_RULES}) r(rule, least_, most, easy, high)) SELECT rule, reason, count(*) AS n, round(CAST(sum(strength) AS DOUBLE), 6) AS strength FROM x GROUP BY ALL",

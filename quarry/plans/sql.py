@@ -51,3 +51,25 @@ qc AS (SELECT question_id, concept FROM (SELECT question_id, unnest(list_distinc
 
 def rounded(*columns: str, places: int = 6) -> str:
     return ", ".join(f"round(CAST({c} AS DOUBLE), {places}) AS {c}" for c in columns)
+
+
+#: Candidates and entities of the graph side (see tables.py), the edges of its graphs, and one round of diffusion.
+CANDIDATES = """cand AS (SELECT CAST(o_custkey AS VARCHAR) AS question_id, CAST(o_orderkey AS VARCHAR) AS passage_id, o_totalprice AS score, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS rank FROM orders),
+pe AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS passage_id, CAST(l_partkey AS VARCHAR) AS entity, p_type AS entity_type FROM lineitem JOIN part ON l_partkey = p_partkey),
+qe AS (SELECT DISTINCT question_id, entity, entity_type FROM cand JOIN pe USING (passage_id) WHERE rank = 1),
+ins AS (SELECT question_id, passage_id, entity, entity_type FROM cand JOIN pe USING (passage_id))"""
+EDGES = f"""{CANDIDATES}, ed0 AS (
+ SELECT question_id, 'qe' AS edge_id, 'question_entity' AS edge_type, list_concat(['question:' || question_id], list('entity:' || entity)) AS nodes, 1.25 AS weight FROM qe GROUP BY question_id
+ UNION ALL SELECT question_id, passage_id, 'question_passage_candidate', ['question:' || question_id, 'passage:' || passage_id], 0.15 FROM cand
+ UNION ALL SELECT question_id, passage_id, 'passage_entity', list_concat(['passage:' || passage_id], list('entity:' || entity)), 1.0 FROM ins GROUP BY question_id, passage_id
+ UNION ALL SELECT question_id, entity_type, 'entity_type_concept', list_concat(['type:' || replace(entity_type, ' ', '_')], list_sort(list(DISTINCT 'entity:' || entity))[1:128]), 0.2 FROM ins GROUP BY question_id, entity_type HAVING count(DISTINCT entity) >= 2
+ UNION ALL SELECT question_id, entity, 'shared_entity_passages', list_concat(['entity:' || entity], list('passage:' || passage_id)), 0.75 FROM ins GROUP BY question_id, entity HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, entity) <= 128)"""
+DIFFUSE = """s{i} AS (SELECT question_id, node, m / sum(m) OVER (PARTITION BY question_id) AS mass FROM (SELECT question_id, node, sum(m) AS m FROM (
+ SELECT question_id, node, 0.85 * a * (sum(coalesce(mass, 0)) OVER (PARTITION BY question_id, edge_type, edge_id) - coalesce(mass, 0)) AS m FROM inc LEFT JOIN s{j} USING (question_id, node)
+ UNION ALL SELECT question_id, node, 0.15 * mass FROM s0) GROUP BY ALL))"""
+
+
+def minmax(c: str, flat: str = "1.0") -> str:
+    """Min-max inside a question, ``flat`` where all values are equal."""
+    w = "OVER (PARTITION BY question_id)"
+    return f"CASE WHEN max({c}) {w} <= min({c}) {w} THEN {flat} ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"

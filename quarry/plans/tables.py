@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators.frames import small
+from quarry.operators.frames import ranked, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +52,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth vector asks (a definition of the query set, see SURVEY 7.3)."""
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 10 == 0).select(F.col("vec_id").cast("string").alias("question_id"), "embedding", "label")
+
+
+def candidates(spark, d) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("question_id"), F.col("o_orderkey").cast("string").alias("passage_id"), F.col("o_totalprice").alias("score"))
+    return ranked(rows, "question_id", F.desc("score"), "passage_id")
+
+
+def passage_entities(spark, d) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("passage_id"), F.col("l_partkey")).distinct()
+    return lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("passage_id", F.col("l_partkey").cast("string").alias("entity"), F.col("p_type").alias("entity_type"))
+
+
+def question_entities(spark, d) -> DataFrame:
+    """The parts of each customer's first-ranked order."""
+    first = candidates(spark, d).where("rank = 1").select("question_id", "passage_id")
+    return first.join(passage_entities(spark, d), "passage_id").select("question_id", "entity")
