@@ -14,7 +14,8 @@ Equal texts are one node.  Nodes that share a band meet there.  Every member is
 components count: in small ones the remaining pairs are compared one by one; the members of large ones are gathered
 by hub, cut into blocks, and each pair of blocks is compared at once, as a product of incidence matrices, which
 hands on no more links than it takes to join components.  So no pair that a band offers goes uncompared unless its
-ends are joined already, and rows grow with the number of documents, not of pairs.  Bands of 5 in 30 lose a link
+ends are joined already, and rows grow with the number of documents, not of pairs.  The texts of a large band's
+members that are not joined do travel once for each of its blocks.  Bands of 5 in 30 lose a link
 of similarity 0.8 with a chance under one in 100,000; similarity is always computed on whole texts.
 
 Defined results: null and wordless texts are classes of their own, row by row (class_id is the row's doc_id);
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.util import bounded, saved
+from quarry.llm.util import bounded, free, saved
 from quarry.llm.words import lowered, mix, release, texts_in, utf8, words
 
 SHINGLE = 5
@@ -347,11 +348,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, one of each class (that with the smallest doc_id), with their columns."""
+    """The documents, one of each class (that with the smallest doc_id), with their columns.  Of rows that repeat a
+    doc_id and text the one whose columns, as JSON, have the smallest digest stays."""
     placed = saved(_placed(docs, similarity), "placed")
+    d, n, row = free(docs.columns, "doc", "node", "row")
     node = F.unhex(F.md5(F.col("text").cast("binary")))
-    gone = saved(placed.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct(), "gone")
-    kept = docs.join(bounded(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (node == F.col("_n")), "left_anti")
+    gone = saved(placed.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(d), F.col("node").alias(n)).distinct(), "gone")
+    kept = docs.join(bounded(gone), docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (node == F.col(n)), "left_anti")
     if not placed.groupBy("doc_id", "node").count().where("count > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = kept.groupBy(F.col("doc_id").cast("long").alias(d), node.alias(n), F.col("text").isNull()).agg(F.min_by(whole, F.md5(F.to_json(whole))).alias(row))
+        kept = one.select(f"{row}.*")
     return kept

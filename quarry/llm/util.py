@@ -66,6 +66,15 @@ def only(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
 
 
-def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """The frame (already written: it is counted), marked for broadcast if it has few enough rows."""
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, marked so that no column has one of them."""
+    mark = "own_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The frame (already written: it is counted), marked for broadcast if it has few enough rows.  Meant for rows of
+    ids, digests and numbers (at most about 100 bytes each), so that a broadcast stays under about 10 MB."""
     return F.broadcast(df) if df.count() <= rows else df

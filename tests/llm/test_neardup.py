@@ -108,3 +108,12 @@ def test_edges(spark):
     assert got == [(-1, 1), (1, 1), (1, 1), (2, 2), (3, 3), (4, 4)]
     assert sorted(r["doc_id"] for r in nd.one_of_each(df).collect()) == [1, 2, 3, 4]
     assert nd.classes(df.limit(0)).count() == 0 and nd.one_of_each(df.limit(0)).columns == df.columns
+
+
+def test_any_column_names_and_one_row_of_repeats(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, b, a) for a, b in (("z", {"k": "2"}), ("y", {"k": "1"}), ("x", None))] + [(2, text, None, "x"), (3, "other words", {"k": "3"}, None), (4, None, None, "n"), (4, None, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d map<string,string>, own_doc string")
+    kept = [nd.one_of_each(df.repartition(n)).collect() for n in (1, 5)]
+    assert nd.one_of_each(df).columns == df.columns
+    assert sorted(r["doc_id"] for r in kept[0]) == [1, 3, 4] and sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
