@@ -41,3 +41,12 @@ QUESTION_PREFIXES = [
     ("factoid", ["what ", "where ", "when ", "who ", "how many", "how much"]),
     ("summary", ["describe ", "explain ", "how "]),
 ]
+
+
+# Descriptors and concepts that are too general to annotate with.
+GENERIC_DESCRIPTORS = [
+    "adolescent", "adult", "aged", "animals", "case-control studies", "cell line", "cells, cultured", "child", "child, preschool", "female", "humans", "infant",
+    "male", "mice", "middle aged", "prospective studies", "rats", "retrospective studies", "time factors", "treatment outcome", "young adult",
+]
+CONCEPT_TYPES = ["disease", "chemical", "gene", "species", "mutation", "cellline"]
+STOP_CONCEPT_IDS = ["", "-", "the", "with", "and", "or", "of", "in", "to", "for", "a", "an"]

@@ -262,3 +262,18 @@ def repeated(c: Column, weight: int) -> Column:
 def passage(title: Column, body: Column) -> Column:
     """Title, newline, text; blanks around go (FN-25)."""
     return F.trim(F.concat_ws("\n", text(title), text(body)), F.lit(" \n"))
+
+
+def keep_descriptor(name: Column, generic: bool = False) -> Column:
+    """A descriptor's name has three characters and is not too general (PRJ-13)."""
+    n = concept_name(name)
+    long = F.length(n) >= 3
+    return long if generic else long & ~n.isin(*lx.GENERIC_DESCRIPTORS)
+
+
+def concept_key(kind: Column, concept_id: Column, allowed: Sequence[str] | None = None) -> Column:
+    """type:id of an annotated concept of a known type and a real id, else null (PRJ-13)."""
+    k, i = F.replace(F.lower(F.trim(text(kind))), F.lit(" "), F.lit("")), F.trim(text(concept_id))
+    fine = k.isin(*lx.CONCEPT_TYPES) & ~F.lower(i).isin(*lx.STOP_CONCEPT_IDS)
+    fine = fine if allowed is None else fine & k.isin(*allowed)
+    return F.when(fine, F.concat_ws(":", k, i))

@@ -74,9 +74,38 @@ def contained_terms(questions: DataFrame, terms: DataFrame, most: int = 32) -> D
 
 
 def lexicon(annotations: DataFrame, length: int = 3) -> DataFrame:
-    """Distinct (type, lower name, concept) of names and mentions, longest first; of a clash the last name (AGG-11)."""
+    """Distinct (type, lower name) of names and mentions with the smallest concept id; longest names first by
+    ``place`` order (-length, name, type) (AGG-11)."""
     each = annotations.select("type", "concept_id", F.explode(F.array("name", "mention")).alias("n")).select("type", "concept_id", F.lower(F.trim("n")).alias("name")).where(F.length("name") >= length)
-    return each.groupBy("type", "name").agg(F.max("concept_id").alias("concept_id"))
+    return each.groupBy("type", "name").agg(F.min("concept_id").alias("concept_id"))
+
+
+def mentions(questions: DataFrame, entries: DataFrame) -> DataFrame:
+    """Lexicon entries (type, name, concept_id) whose name stands in a question, bounded by no letter or digit; of
+    several names of a concept the shortest, the last by name (JN-15).
+
+    Names meet questions on their first run of letters and digits, so a name is looked for in few questions only.
+    """
+    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    named = entries.select("type", "concept_id", F.lower("name").alias("name")).withColumn("key", F.get(word(F.col("name")), F.lit(0))).where("key IS NOT NULL")
+    asked = questions.select("question_id", F.lower("question").alias("low"), F.explode(F.array_distinct(word(F.col("question")))).alias("key"))
+    near = asked.join(small(named), "key").where(F.contains("low", "name"))
+    quoted = F.regexp_replace("name", r"([^a-z0-9 ])", r"\\$1")
+    hit = near.where(F.rlike("low", F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))))
+    return top(hit, ["question_id", "type", "concept_id"], 1, F.length("name"), F.desc("name"), name="_n").select("question_id", "type", "concept_id", "name")
+
+
+def mesh_records(annotations: DataFrame, synonyms: DataFrame, generic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the descriptors of each record, and of each descriptor how many records have it) (AGG-10).
+
+    annotations (passage_id, place, descriptor_ui, descriptor_name, major_topic): of a descriptor that repeats in a
+    record the first place counts.  synonyms (mesh_ui, variants); a descriptor without any has its own name.
+    """
+    rows = annotations.select("passage_id", "place", F.trim("descriptor_ui").alias("mesh_ui"), F.trim("descriptor_name").alias("mesh_name"), F.coalesce("major_topic", F.lit(False)).alias("major"))
+    rows = top(rows.where((F.col("mesh_ui") != "") & text.keep_descriptor(F.col("mesh_name"), generic)), ["passage_id", "mesh_ui"], 1, "place", F.desc("major"), "mesh_name", name="_n").drop("_n")
+    rows = rows.withColumn("normalized", text.concept_name(F.col("mesh_name"))).join(small(synonyms), "mesh_ui", "left")
+    rows = rows.withColumn("variants", F.coalesce("variants", F.array("normalized")))
+    return rows, rows.groupBy("mesh_ui").agg(F.count("*").alias("records"))
 
 
 def concept_index(bags: DataFrame) -> DataFrame:

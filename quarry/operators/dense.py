@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.frames import top
+from quarry.operators.frames import small, top
 
 BLOCK = 4096  # queries held by an executor at a time
 
@@ -36,11 +36,11 @@ def search(passages: DataFrame, queries: DataFrame, k: int = 100, block: int = B
                 pids = pdf["passage_id"].to_numpy()
                 order = np.argsort(pids, kind="stable")
                 pids, scores = pids[order], np.round(q @ np.stack(pdf["e"].to_numpy()).T, 9)[:, order]
-                for i, row in enumerate(scores):
-                    ok = pids != qs[i] if skip_same else np.ones(len(pids), bool)
-                    row, at = row[ok], np.flatnonzero(ok)
-                    best = np.argsort(-row, kind="stable")[:k] if len(row) > k else np.arange(len(row))
-                    yield pd.DataFrame({"question_id": qs[i], "passage_id": pids[at[best]], "score": row[best]})
+                if skip_same:
+                    scores = np.where(pids == qs[:, None], -np.inf, scores)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = pd.DataFrame({"question_id": np.repeat(qs, best.shape[1]), "passage_id": pids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+                yield found[found["score"] > -np.inf]
 
         return rows.mapInPandas(run, "question_id string, passage_id string, score double")
 
@@ -56,18 +56,55 @@ def search(passages: DataFrame, queries: DataFrame, k: int = 100, block: int = B
     return best.select("question_id", "passage_id", "rank", "score", F.lit(retriever).alias("retriever"))
 
 
-def save(vectors: DataFrame, path: str, model: str) -> None:
-    """Vectors and the name of the model that made them (SRC-19, SRC-20)."""
-    vectors.withColumn("model", F.lit(model)).write.mode("overwrite").partitionBy("model").parquet(path)
+def save(vectors: DataFrame, path: str, model: str, query_model: str | None = None) -> None:
+    """Vectors and the names of the models that made them and that queries need (SRC-19, SRC-20)."""
+    rows = vectors.withColumn("model", F.lit(model)).withColumn("query_model", F.lit(query_model or model))
+    rows.write.mode("overwrite").partitionBy("model", "query_model").parquet(path)
 
 
-def load(spark, path: str, model: str) -> DataFrame:
-    """Vectors of one model; a path without it is an error."""
+def load(spark, path: str, model: str, query_model: str | None = None) -> DataFrame:
+    """Vectors of one model (and query model); a path without them is an error."""
     df = spark.read.parquet(path)
-    found = [r[0] for r in df.select("model").distinct().limit(20).collect()]
-    if model not in found:
-        raise ValueError(f"the index holds {found}, not {model}")
-    return df.where(F.col("model") == model).drop("model")
+    found = [tuple(r) for r in df.select("model", "query_model").distinct().limit(20).collect()]
+    wanted = (model, query_model or model)
+    if wanted not in found:
+        raise ValueError(f"the index holds {found}, not {wanted}")
+    return df.where((F.col("model") == wanted[0]) & (F.col("query_model") == wanted[1])).drop("model", "query_model")
+
+
+def encoded(df: DataFrame, key: str, column: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64, most: int | None = None) -> DataFrame:
+    """key, embedding: unit vectors by any encoder of a list of texts (ML-01, ML-02).
+
+    The encoder is called with ``batch`` texts at a time, each cut to ``most`` characters if the model has such a
+    limit; the two sides of a dual encoder are two calls with their own encoder and limit.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [(t or "")[:most] for t in pdf[column]]
+            parts = [np.asarray(encoder(texts[i : i + batch]), np.float64) for i in range(0, len(texts), batch)]
+            if parts:
+                v = np.concatenate(parts)
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({key: pdf[key], "embedding": list(np.divide(v, size, out=np.zeros_like(v), where=size > 0))})
+
+    rows = df.select(F.col(key).cast("string").alias(key), F.col(column).cast("string").alias(column))
+    return rows.mapInPandas(run, f"{key} string, embedding array<double>")
+
+
+def pair_scores(run: DataFrame, questions: DataFrame, corpus: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], batch: int = 64) -> DataFrame:
+    """question_id, passage_id, score of every candidate with a text, by any scorer of (question, title and text)
+    pairs (ML-03, JN-09)."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = list(zip(pdf["question"], pdf["text"]))
+            got = [float(s) for i in range(0, len(pairs), batch) for s in scorer(pairs[i : i + batch])]
+            yield pd.DataFrame({"question_id": pdf["question_id"], "passage_id": pdf["passage_id"], "score": got})
+
+    body = F.concat_ws(" ", "title", "text").alias("text")
+    rows = run.select("question_id", "passage_id").join(corpus.where(F.col("text").isNotNull()).select("passage_id", body), "passage_id").join(small(questions.select("question_id", "question")), "question_id")
+    return rows.select("question_id", "passage_id", "question", "text").mapInPandas(score, "question_id string, passage_id string, score double")
 
 
 def hashed_embedding(c, dims: int = 64):

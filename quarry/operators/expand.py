@@ -71,3 +71,30 @@ def filtered(run: DataFrame, tests: dict) -> DataFrame:
 def reranked(run: DataFrame, score: str, base_rank: str = "rank") -> DataFrame:
     """Order by (-score, base rank, id) (WIN-01)."""
     return ranked(run, "question_id", F.desc(F.round(score, 9)), base_rank, "passage_id", name="new_rank")
+
+
+def medical_tests(run: DataFrame, question_sides: dict[str, DataFrame], passage_sides: dict[str, DataFrame], most_rank: int = 200) -> dict:
+    """Conditions for filtered(): for each name, a concept that question and passage share (sides: id, concept), and a
+    place in the base run; and the run that has them as columns (JN-25)."""
+    tests, ids = {}, ["question_id", "passage_id"]
+    for name, q in question_sides.items():
+        p = passage_sides[name].select("passage_id", "concept").distinct()
+        hit = run.select(*ids).join(p, "passage_id").join(small(q.select("question_id", "concept").distinct()), ["question_id", "concept"]).select(*ids).distinct()
+        run = run.join(hit.withColumn(f"is_{name}", F.lit(True)), ids, "left")
+        tests[name] = F.coalesce(f"is_{name}", F.lit(False))
+    tests["base_rank"] = F.coalesce(F.col("base_rank") <= most_rank, F.lit(False))
+    return {"run": run, "tests": tests}
+
+
+def expansion_settings() -> list[dict]:
+    """The named settings of the expansion experiment: kinds of anchors, share of passages a concept may stand in,
+    first rows that seed, and whether the medical filter applies (ML-20).  A name stands once."""
+    three = ("disease", "chemical", "gene")
+    one = lambda name, direct=True, shared=True, types=None, share=0.20, seeds=25, filtered=False: dict(name=name, direct=direct, shared=shared, types=types, share=share, seeds=seeds, filtered=filtered)
+    shares, counts = (0.01, 0.02, 0.05, 0.10), (5, 10, 20, 25)
+    out = [one("direct_only", shared=False), one("shared_only", direct=False), one("disease_gene_only", types=("disease", "gene")), one("three_types_only", types=three), one("combined_filter", types=three, share=0.05, seeds=10, filtered=True)]
+    out += [one(f"low_df_{s:.2f}", share=s) for s in shares] + [one(f"seed_top_{n}", share=0.05, seeds=n) for n in counts]
+    for s in shares:
+        for n in counts:
+            out += [one(f"three_types_{s:.2f}_seed{n}", types=three, share=s, seeds=n), one(f"combined_{s:.2f}_seed{n}", types=three, share=s, seeds=n, filtered=True)]
+    return list({o["name"]: o for o in out}.values())

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.store import saved
+
 #: Rows up to which a side may be broadcast; each use counts first.
 BROADCAST_ROWS = 200_000
 
@@ -38,3 +40,24 @@ def minmax(value: str | Column, *by: str, flat: Column | None = None) -> Column:
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """One row for each key, the first in an order (keyed loads, last row wins: SRC-21, SRC-23)."""
     return top(df, keys, 1, *order, name="_first").drop("_first")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in an order over the whole table: ranges are sorted apart, and a range's rows start behind
+    the number of rows before it, so no task sees more than its range."""
+    parts = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in") + 1).drop("_id", "_part", "_in", "_start")
+
+
+def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int | None = None) -> DataFrame:
+    """Rows of each key as one array of structs in an order, the first ``most`` of them (AGG-02, AGG-03).  An array is
+    one value, so without a bound a group must be known to be small."""
+    rest = [c for c in df.columns if c not in keys]
+    rows = df if most is None else top(df, keys, most, *order, name="_n").drop("_n")
+    item = F.struct(*[F.col(c).alias(f"_{c}") for c in order], *[F.col(c) for c in rest])
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    return got.withColumn("rows", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in rest])))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators.frames import ranked, small
+from quarry.operators.frames import numbered, ranked, small
 
 
 def first_present(df: DataFrame, candidates: Sequence[str]) -> Column:
@@ -106,18 +106,64 @@ def sampled_questions(questions: DataFrame, n: int, numeric: bool = True) -> Dat
 
 def positional_split(questions: DataFrame, order: str, shares: Sequence[float] = (0.6, 0.2), by: str | None = None) -> DataFrame:
     """train, validation, test by place in an order, whole or inside strata (FN-16)."""
-    key = F.col(by) if by else F.lit(0)
-    w = Window.partitionBy("_s")
-    rows = ranked(questions.withColumn("_s", key), "_s", order, name="_i").withColumn("_n", F.count("*").over(w))
+    keys = [by] if by else []
+    rows = numbered(questions, *keys, order, name="_i")
+    if by:
+        rows = rows.join(small(rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.min("_i") - 1).alias("_before"))), by)
+    else:
+        rows = rows.withColumn("_n", F.lit(rows.count())).withColumn("_before", F.lit(0))
+    rows = rows.withColumn("_i", F.col("_i") - F.col("_before"))
     a, b = F.ceil(F.col("_n") * shares[0]), F.ceil(F.col("_n") * (shares[0] + shares[1]))
-    return rows.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= b, "validation").otherwise("test")).drop("_s", "_i", "_n")
+    return rows.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= b, "validation").otherwise("test")).drop("_i", "_n", "_before")
 
 
 def shuffled_profiles(questions: DataFrame, order: str, profile: str, shift: int = 17) -> DataFrame:
     """Each question with the profile of the one ``shift`` places on, cyclic: a negative control (GR-20)."""
-    rows = ranked(questions.withColumn("_s", F.lit(0)), "_s", order, name="_i").withColumn("_n", F.count("*").over(Window.partitionBy("_s")))
+    rows = numbered(questions, order, name="_i")
+    n = rows.count()
     other = rows.select(F.col("_i").alias("_j"), F.col(profile).alias("_p"))
-    return rows.join(small(other), F.pmod(F.col("_i") - 1 + shift, F.col("_n")) + 1 == F.col("_j")).withColumn(profile, F.col("_p")).drop("_s", "_i", "_n", "_j", "_p")
+    return rows.withColumn("_j", F.pmod(F.col("_i") - 1 + shift, F.lit(max(n, 1))) + 1).join(other, "_j").withColumn(profile, F.col("_p")).drop("_i", "_j", "_p")
+
+
+def question_ids(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The distinct questions of qrels, runs or features, the first ``most`` by id (PRJ-11)."""
+    got = rows.select("question_id").distinct()
+    return got if most is None else got.orderBy("question_id").limit(most)
+
+
+def split_rows(rows: DataFrame, modulo: int, remainders: Sequence[int], run: DataFrame | None = None) -> DataFrame:
+    """Rows of the questions whose bucket is among the remainders; with a run, of those only that it answers (PRJ-12)."""
+    kept = rows.where(text.bucket(F.col("question_id"), modulo).isin(*remainders))
+    return kept if run is None else kept.join(small(question_ids(run)), "question_id", "left_semi")
+
+
+def in_all(*frames: DataFrame) -> DataFrame:
+    """Questions that every frame has (SET-03)."""
+    out = question_ids(frames[0])
+    for f in frames[1:]:
+        out = out.intersect(question_ids(f))
+    return out
+
+
+def in_any(*frames: DataFrame) -> DataFrame:
+    """Questions that some frame has (SET-03)."""
+    out = frames[0].select("question_id")
+    for f in frames[1:]:
+        out = out.unionByName(f.select("question_id"))
+    return out.distinct()
+
+
+def training_questions(every: DataFrame, validation: DataFrame, test: DataFrame) -> DataFrame:
+    """All questions but those of validation and test (SET-04)."""
+    held = small(in_any(validation, test))
+    return question_ids(every).join(held, "question_id", "left_anti")
+
+
+def with_texts(run: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates with their passage's text, how many candidates of each question have none) (JN-09)."""
+    rows = run.join(corpus.select("passage_id", "title", "text"), "passage_id", "left")
+    missing = rows.groupBy("question_id").agg(F.count_if(F.col("text").isNull()).alias("missing"))
+    return rows.where(F.col("text").isNotNull()), missing
 
 
 def missing_keys(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:

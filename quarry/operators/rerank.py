@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.evaluate import grouped_qrels
@@ -86,19 +86,19 @@ def gate_rules() -> list[tuple[float, float, float, float]]:
 
 def gated(stats: DataFrame, least: Column, noise: Column, easy: Column, high: Column, support: float = 0.25, medium: float = 0.50, margin: float = 0.15) -> DataFrame:
     """strength and reason of the intervention, by an ordered decision list (ML-13)."""
-    c = F.col
+    c = F.col  # the reasons are fixed values
     rules = [
-        (c("edges") <= 0, F.lit(0.0), "sparse"),
-        (c("top100_signal") < least, F.lit(0.0), "weak"),
-        ((c("noise") > noise) & (c("top3_direct") <= 0), F.lit(0.0), "noisy"),
-        ((c("top3_direct") >= support) & (c("agreement") >= support) & (c("signal_rank") <= 3), easy, "easy"),
-        ((c("top10_signal") < least) & (c("top100_signal") >= least + margin) & (c("signal_rank") > 10), high, "strong"),
+        (c("edges") <= 0, F.lit(0.0), "fallback_sparse_hypergraph"),
+        (c("top100_signal") < least, F.lit(0.0), "fallback_weak_query_anchored_signal"),
+        ((c("noise") > noise) & (c("top3_direct") <= 0), F.lit(0.0), "fallback_noisy_broad_concepts"),
+        ((c("top3_direct") >= support) & (c("agreement") >= support) & (c("signal_rank") <= 3), easy, "easy_top3_supported_low_intervention"),
+        ((c("top10_signal") < least) & (c("top100_signal") >= least + margin) & (c("signal_rank") > 10), high, "strong_query_anchored_candidate_beyond_top10"),
     ]
     strength, reason = None, None
     for test, s, name in rules:
         strength = F.when(test, s) if strength is None else strength.when(test, s)
         reason = F.when(test, F.lit(name)) if reason is None else reason.when(test, F.lit(name))
-    return stats.withColumn("strength", strength.otherwise(medium)).withColumn("reason", reason.otherwise("medium"))
+    return stats.withColumn("strength", strength.otherwise(medium)).withColumn("reason", reason.otherwise("moderate_query_anchored_intervention"))
 
 
 def intervene(features: DataFrame, gates: DataFrame, beta: float = 0.5, model: str = "model_score") -> DataFrame:
@@ -136,6 +136,83 @@ def threshold_gates(scores: DataFrame, outcome: DataFrame, most: float = 0.5) ->
     return got.withColumn("rate", F.col("selected") / F.col("questions")).where(F.col("rate") <= most)
 
 
+def guarded_rule(trials: DataFrame, baseline_mrr: float, loss: float = 0.002, keys: Sequence[str] = ("ndcg", "recall", "mrr")) -> DataFrame:
+    """The best rule by metrics in turn among those that lose at most ``loss`` of the baseline's mrr; among all if
+    none does (ML-13)."""
+    fair = (F.col("mrr") >= baseline_mrr - loss).cast("int")
+    return trials.orderBy(F.desc(fair), *[F.desc(F.round(k, 9)) for k in keys], "rule").limit(1)
+
+
+# The grid of the adaptive gate.
+ADAPTIVE = {"mode": [0, 1, 2, 3], "direct": [0.0, 1.0, 2.0], "graph": [0.10, 0.20, 0.35, 0.50], "hierarchy": [0.0, 0.25, 0.50], "cluster": [2.0, 4.0, 8.0]}
+
+
+def adaptive_rules(spark: SparkSession) -> DataFrame:
+    """The 432 rules of the adaptive gate (ML-14)."""
+    rows = [(i, *r) for i, r in enumerate(itertools.product(*ADAPTIVE.values()))]
+    return spark.createDataFrame(rows, "rule int, mode int, direct_most double, graph_least double, hierarchy_least double, cluster_least double")
+
+
+def adaptive(stats: DataFrame, rules: DataFrame, far: float = 20.0) -> DataFrame:
+    """Whether each question takes the graph run under each rule (ML-14): stats of few columns meet a bounded grid.
+
+    stats: question_id, direct, graph, hierarchy, cluster (maxima over candidates), mean_rank.
+    """
+    c = F.col
+    rows = stats.withColumn("r", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rules.collect()]))).select(*stats.columns, "r.*")  # 432 rules at most
+    weak, apart = c("direct") <= c("direct_most"), c("mean_rank") >= far
+    strong = (c("graph") >= c("graph_least")) | (c("hierarchy") >= c("hierarchy_least")) | (c("cluster") >= c("cluster_least"))
+    pick = F.when(c("mode") == 0, strong).when(c("mode") == 1, weak & strong).when(c("mode") == 2, (weak | apart) & strong).otherwise(weak | strong | apart)
+    return rows.withColumn("choose_b", pick)
+
+
+def selection_order(mode: str, baseline_mrr: float | None = None) -> list[Column]:
+    """The order of trials under a selection mode; of equal ones the smaller blend is first (ML-06).
+
+    Trials have recall, ndcg, mrr and, for hard_weighted, hard_recall.
+    """
+    c, down = F.col, lambda x: F.desc(F.round(x, 9))
+    keys = {
+        "mrr": [c("mrr"), c("recall"), c("ndcg")], "recall": [c("recall"), c("mrr"), c("ndcg")], "ndcg": [c("ndcg"), c("mrr"), c("recall")],
+        "composite": [c("recall") + 0.5 * c("ndcg") + 0.2 * c("mrr"), c("recall"), c("ndcg"), c("mrr")], "hyperpath": [0.55 * c("ndcg") + 0.30 * c("mrr") + 0.15 * c("recall")],
+    }
+    if mode == "constrained_recall":
+        if baseline_mrr is None:
+            raise ValueError("constrained_recall needs the baseline's mrr")
+        fair = c("mrr") >= baseline_mrr
+        keys[mode] = [fair.cast("double"), F.when(fair, c("recall")).otherwise(c("mrr")), c("mrr"), c("ndcg")]
+    if mode == "hard_weighted":
+        keys[mode] = [c("hard_weighted"), c("hard_recall"), c("recall"), c("mrr")]
+    return [*map(down, keys[mode]), F.asc("blend")]
+
+
+def slate_weights() -> list[tuple[float, float, float, float]]:
+    """(alpha, beta, gamma, delta) of the slate's grid; all 0 stands for no slate (ML-17)."""
+    return list(itertools.product([0.0, 0.05, 0.10], [0.0, 0.05, 0.10], [0.0, 0.03, 0.06], [0.0, 0.03, 0.06]))
+
+
+def slate_or_base(trials: DataFrame, base_ndcg: float, gain: float = 0.005) -> DataFrame:
+    """The best weight set by nDCG and then mrr, or none where it gains less than ``gain`` on the base (ML-17)."""
+    best = trials.orderBy(F.desc(F.round("ndcg", 9)), F.desc(F.round("mrr", 9)), "trial").limit(1)
+    return best.withColumn("enabled", F.col("ndcg") >= base_ndcg + gain)
+
+
+def with_fallback(rows: DataFrame, flat: DataFrame) -> DataFrame:
+    """The gate's base score: the flat model's blended score, else the row's own (ML-18)."""
+    return rows.join(flat.select("question_id", "passage_id", F.col("new_score").alias("_f")), ["question_id", "passage_id"], "left").withColumn("base", F.coalesce("_f", "base")).drop("_f")
+
+
+def path_diagnostics(rows: DataFrame, qrels: DataFrame, base: DataFrame) -> DataFrame:
+    """Gold rescued by the path score, questions whose gold lies at 11 to 100 of the base, and mean path scores of gold
+    and others (ML-21).  rows: question_id, passage_id, new_rank, score, rescued."""
+    gold = grouped_qrels(qrels).select("question_id", "passage_id", F.lit(True).alias("gold"))
+    far = base.where(F.col("rank").between(11, 100)).join(small(gold), ["question_id", "passage_id"]).agg(F.countDistinct("question_id").alias("reservoir"))
+    got = rows.join(small(gold), ["question_id", "passage_id"], "left").fillna(False, ["gold"]).agg(
+        F.count_if(F.col("gold") & F.col("rescued") & (F.col("new_rank") <= 10)).alias("rescued_gold"), F.coalesce(F.avg(F.when(F.col("gold"), F.col("score"))), F.lit(0.0)).alias("gold_mean"), F.coalesce(F.avg(F.when(~F.col("gold"), F.col("score"))), F.lit(0.0)).alias("other_mean")
+    )
+    return got.join(far)
+
+
 def best_trials(trials: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:
     """The best trials by several metrics in turn (TOP-17, ML-06)."""
     return trials.orderBy(*[F.desc(F.round(c, 9)) for c in keys], "trial").limit(k)

@@ -120,7 +120,7 @@ def _gates(spark, d):
 def gate_decisions(spark, d):
     """Every rule of the grid on every question, counted by outcome."""
     rules = spark.createDataFrame([(i, *r) for i, r in enumerate(rerank.gate_rules())], "rule int, least double, most_noise double, easy double, high double")
-    got = rerank.gated(_gates(spark, d).crossJoin(F.broadcast(rules)), F.col("least"), F.col("most_noise"), F.col("easy"), F.col("high"))
+    got = rerank.gated(_gates(spark, d).crossJoin(F.broadcast(rules)), F.col("least"), F.col("most_noise"), F.col("easy_top3_supported_low_intervention"), F.col("high"))
     return got.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 6).alias("strength"))
 
 
@@ -252,8 +252,8 @@ _GATE = f"""{_PARTS}, gs AS (SELECT question_id, coalesce(max(mesh_specificity)
 
 
 def _decide(least: str, noise: str, easy: str, high: str) -> str:
-    tests = [("edges <= 0", "0.0", "sparse"), (f"top100_signal < {least}", "0.0", "weak"), (f"noise > {noise} AND top3_direct <= 0", "0.0", "noisy"), ("top3_direct >= 0.25 AND agreement >= 0.25 AND signal_rank <= 3", easy, "easy"), (f"top10_signal < {least} AND top100_signal >= {least} + 0.15 AND signal_rank > 10", high, "strong")]
-    return "CASE " + " ".join(f"WHEN {t} THEN {s}" for t, s, _ in tests) + " ELSE 0.5 END AS strength, CASE " + " ".join(f"WHEN {t} THEN '{n}'" for t, _, n in tests) + " ELSE 'medium' END AS reason"
+    tests = [("edges <= 0", "0.0", "fallback_sparse_hypergraph"), (f"top100_signal < {least}", "0.0", "fallback_weak_query_anchored_signal"), (f"noise > {noise} AND top3_direct <= 0", "0.0", "fallback_noisy_broad_concepts"), ("top3_direct >= 0.25 AND agreement >= 0.25 AND signal_rank <= 3", easy, "easy_top3_supported_low_intervention"), (f"top10_signal < {least} AND top100_signal >= {least} + 0.15 AND signal_rank > 10", high, "strong_query_anchored_candidate_beyond_top10")]
+    return "CASE " + " ".join(f"WHEN {t} THEN {s}" for t, s, _ in tests) + " ELSE 0.5 END AS strength, CASE " + " ".join(f"WHEN {t} THEN '{n}'" for t, _, n in tests) + " ELSE 'moderate_query_anchored_intervention' END AS reason"
 
 
 _RULES = ", ".join(f"({i}, {', '.join(map(str, r))})" for i, r in enumerate(rerank.gate_rules()))

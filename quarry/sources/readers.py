@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import prepare
 from quarry.operators.frames import top
 
 CORPUS = "passage_id STRING, title STRING, text STRING, metadata MAP<STRING, STRING>"
@@ -31,6 +32,34 @@ def splits(spark: SparkSession, paths: Mapping[str, str], schema: str) -> DataFr
     return out
 
 
+def dataset(spark: SparkSession, root: str, config: str, split: str | None = None, names: Sequence[str] = ("train", "test", "validation", "dev")) -> DataFrame:
+    """One split of one configuration of a dataset kept as Parquet, root/config/split (SRC-05, SRC-06, SRC-08)."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(f"{root}/{config}").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    have = [n for n in names if fs.exists(fs_path(f"{root}/{config}/{n}"))]
+    if not have:
+        raise FileNotFoundError(f"{root}/{config} has none of {list(names)}")
+    return spark.read.parquet(f"{root}/{config}/{choose_split(have, split)}")
+
+
+def question_answers(spark: SparkSession, root: str, split: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corpus, questions, qrels) of a dataset with the configurations ``text-corpus`` (id, passage) and
+    ``question-answer-passages`` (id, question, answer, relevant_passage_ids) (SRC-05)."""
+    corpus = prepare.normalized_corpus(dataset(spark, root, "text-corpus").withColumn("_o", F.col("id").cast("long")), "_o", ["id"], ["passage"])
+    raw = dataset(spark, root, "question-answer-passages", split).withColumn("_o", F.col("id").cast("long"))
+    q, gold = prepare.normalized_questions(raw, "_o", corpus, ["id"], ["question"], ["relevant_passage_ids"])
+    return corpus, q, gold
+
+
+def labelled_abstracts(spark: SparkSession, root: str, split: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages, questions, answer labels) of a dataset ``pqa_labeled`` (pubid, question, context, long_answer,
+    final_decision) (SRC-06, PRJ-06)."""
+    raw = dataset(spark, root, "pqa_labeled", split)
+    passages = prepare.sections(raw.select("pubid", "context.contexts", "context.labels"), "pubid")
+    qid = F.concat(F.lit("pubmedqa_"), F.col("pubid").cast("string")).alias("question_id")
+    return passages, raw.select(qid, text.one_spaced(F.col("question")).alias("question")), raw.select(qid, F.lower("final_decision").alias("label"), "long_answer")
+
+
 def choose_split(names: Sequence[str], wanted: str | None = None) -> str:
     """The wanted split, else train, test, validation, dev, else the first (SRC-08)."""
     if wanted is not None:

@@ -48,3 +48,9 @@ def latex(df: DataFrame, places: int = 4) -> str:
     table = str.maketrans({c: "\\" + c for c in "&%$#_{}"})
     line = lambda xs: " & ".join(x.translate(table) for x in xs) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(names)}}}", line(names), r"\hline", *map(line, rows), r"\end{tabular}"]) + "\n"
+
+
+def narrative(df: DataFrame, template: str, places: int = 4) -> str:
+    """A sentence for each row, from a template that names columns in braces (SRC-25)."""
+    names, rows = _cells(df, places)
+    return "".join(template.format(**dict(zip(names, r))) + "\n" for r in rows)
