@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import lexicon as lx
 from quarry.functions import numeric
 from quarry.operators import annotate, answer, expand, graph, lexical, prepare, rerank
 from quarry.operators.frames import ranked
-from quarry.plans import features, sql
+from quarry.plans import features, sql, texts
 from quarry.plans.retrieval import _round
 from quarry.plans.tables import candidates, concept_bags, corpus, passage_entities, qrels, question_concepts, question_entities, questions, table
 
@@ -295,11 +296,9 @@ SELECT question_id, round(1 - count(*) FILTER (WHERE ra <= 3 AND rb <= 3) / grea
     "concept_overview": f"WITH {_BASE}, n AS (SELECT passage_id, count(*) AS n FROM bag GROUP BY 1) SELECT count(*) AS records, round(avg(CASE WHEN n IS NULL THEN 0 ELSE 1 END), 6) AS coverage, round(avg(coalesce(n, 0)), 6) AS mean, max(coalesce(n, 0)) AS most, (SELECT count(DISTINCT concept) FROM bag) AS distinct_items FROM c LEFT JOIN n USING (passage_id)",
     "query_anchored": f"""WITH {_BASE}, o AS (SELECT * FROM bag, nn WHERE df <= greatest(1, floor(0.1 * n)) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY passage_id) <= 400), s AS (SELECT question_id, passage_id, sum(ln(1 + n / df)) AS score, count(*) AS n_reasons FROM o JOIN qc USING (concept) GROUP BY ALL),
 r AS (SELECT question_id, passage_id, score, n_reasons, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, passage_id) AS INTEGER) AS rank FROM s) SELECT question_id, passage_id, round(score, 6) AS score, n_reasons, rank FROM r WHERE rank <= 50""",
-    "contained_terms": None,
     "corpus_ingest": """WITH r AS (SELECT doc_id, 's' || (doc_id % 300) AS id, row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS n, CASE WHEN doc_id % 7 > 0 THEN trim(regexp_replace(text, '[\\s]+', ' ', 'g')) ELSE '' END AS text FROM documents) SELECT CASE WHEN n > 1 THEN id || '_' || doc_id ELSE id END AS passage_id, id AS title, md5(CASE WHEN text = '' THEN id || ' ' || id ELSE text END) AS text_md5 FROM r""",
     "answer_majority": "SELECT l AS label FROM (SELECT CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l, count(*) AS n FROM labels GROUP BY 1) ORDER BY n DESC, list_position(['yes', 'no', 'maybe'], l) LIMIT 1",
 }
-del ORACLE["contained_terms"]
 _X = f"""WITH {_BASE}, {sql.bm25('a', k=10)}, o AS (SELECT * FROM bag, nn WHERE df <= greatest(1, floor(0.2 * n)) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY passage_id) <= 250),
 sd AS (SELECT passage_id, concept FROM bag QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY df, concept) <= 20), an AS (SELECT question_id, concept, 0.42::DOUBLE AS w FROM qc UNION ALL SELECT question_id, concept, sum(0.12::DOUBLE / (60 + rank)) FROM a JOIN sd USING (passage_id) WHERE rank <= 3 GROUP BY ALL),
 u AS (SELECT question_id, passage_id, rank AS base_rank, 1.0::DOUBLE / (60 + rank) AS part, 0 AS reasons FROM a UNION ALL SELECT question_id, passage_id, NULL, w / sqrt(df), 1 FROM an JOIN o USING (concept) WHERE question_id IN (SELECT question_id FROM a)),
@@ -340,3 +339,16 @@ SELECT label, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1v, 6) A
 
 
 ORACLE["answer_report"] = _report_sql()
+
+ORACLE["contained_terms"] = f"""WITH {sql.CORPUS}, t AS (SELECT CAST(n_nationkey AS VARCHAR) AS term_id, lower(n_name) AS normalized FROM nation UNION ALL SELECT 'w:' || w, w FROM (SELECT DISTINCT unnest(ts) AS w FROM c)),
+e AS (SELECT *, string_split(normalized, ' ') AS tt, list_sort(list_transform(string_split(normalized, ' '), lambda x: {{'n': length(x), 't': x}}), 'DESC')[1].t AS block FROM t WHERE normalized <> ''),
+qa AS (SELECT question_id, {texts._concept('question')} AS qn FROM q), qb AS (SELECT *, list_distinct(string_split(qn, ' ')) AS qt FROM qa), n AS (SELECT question_id, qn, qt, unnest(qt) AS block FROM qb),
+h AS (SELECT question_id, term_id, normalized, contains(' ' || qn || ' ', ' ' || normalized || ' ') AS exact, len(tt) BETWEEN 2 AND 5 AND len(list_intersect(list_distinct(tt), qt)) = len(list_distinct(tt)) AS every FROM n JOIN e USING (block)),
+o AS (SELECT * FROM h WHERE exact OR every QUALIFY row_number() OVER (PARTITION BY question_id, term_id ORDER BY NOT exact, length(normalized) DESC, normalized) = 1)
+SELECT question_id, term_id, normalized, CASE WHEN exact THEN 'exact' ELSE 'token_set' END AS match_type, CAST(row_number() OVER (PARTITION BY question_id ORDER BY length(normalized) DESC, term_id) AS INTEGER) AS place FROM o QUALIFY place <= 32"""
+ORACLE["concept_dictionary"] = f"""WITH e AS (SELECT doc_id, regexp_extract_all({texts._greek("coalesce(text, '')")}, '[A-Za-z0-9]+(?:[-\'\'][A-Za-z0-9]+)?') AS e FROM documents),
+g AS (SELECT doc_id, e[i:i + n - 1] AS g FROM (SELECT doc_id, e, n, unnest(range(1, len(e) - n + 2)) AS i FROM e, (VALUES (1), (2), (3), (4), (5)) v(n) WHERE len(e) >= n)),
+s AS (SELECT doc_id, array_to_string(g, ' ') AS surface FROM g WHERE len(list_filter(g, lambda t: length(t) >= 8)) > 0), f AS (SELECT doc_id, surface, {texts._concept('surface')} AS canonical FROM s), c AS (SELECT canonical, count(DISTINCT doc_id) AS df FROM f WHERE canonical <> '' GROUP BY 1),
+k AS (SELECT canonical, df, row_number() OVER (ORDER BY df DESC, canonical) AS i FROM c WHERE df >= 3 AND length(canonical) >= 3 AND NOT list_contains({texts._list(lx.STOPWORDS)}, canonical) QUALIFY i <= 50000),
+u AS (SELECT canonical, surface, row_number() OVER (PARTITION BY canonical ORDER BY count(*) DESC, surface) AS r FROM f WHERE canonical IN (SELECT canonical FROM k) GROUP BY canonical, surface QUALIFY r <= 5), l AS (SELECT canonical, list(surface ORDER BY r) AS sf FROM u GROUP BY 1)
+SELECT printf('E%07d', i - 1) AS entity_id, canonical, array_to_string(sf, '|') AS surface_forms, df AS document_frequency, CASE {" ".join(f"WHEN list_has_any(string_split(canonical, ' '), {texts._list(h)}) THEN '{n}'" for n, h in lx.TYPE_HINTS)} WHEN len(list_filter(sf, lambda t: {texts._GENE})) > 0 THEN 'gene_or_protein' ELSE 'biomedical_concept' END AS entity_type FROM k JOIN l USING (canonical)"""
