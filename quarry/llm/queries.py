@@ -28,17 +28,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+#: Where the tokenizer's model file is, unless the session's setting ``quarry.tokenizer`` names another.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def model_bytes(path: str = TOKENIZER) -> bytes:
+def model_bytes(spark: SparkSession | None = None) -> bytes:
     """A tokenizer model file, read on the driver."""
-    with open(path, "rb") as f:
+    with open(spark.conf.get("quarry.tokenizer", TOKENIZER) if spark else TOKENIZER, "rb") as f:
         return f.read()
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.report(table(spark, sf_dir, "documents"), model_bytes())
+    return pieces.report(table(spark, sf_dir, "documents"), model_bytes(spark))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

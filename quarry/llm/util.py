@@ -2,63 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import store
+from quarry.operators.store import fresh, saved
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder.  One of our own only in local mode (tests), where all is one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = spark.conf.get("quarry.local.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("quarry.local.dir", root)
-    return root
+__all__ = ["bounded", "bucketed", "forget", "free", "only", "saved", "table"]
 
 
-_written: list[tuple[str, str | None]] = []  # path, and table in the catalog
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame under the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((path, None))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_tables: list[str] = []  # in the catalog
 
 
 def bucketed(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
     """saved(), dealt by a column: what is joined to it by that column moves, and it does not."""
     spark = df.sparkSession
     name = f"quarry_{label}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    _written.append((path, name))
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _tables.append(name)
+    df.write.bucketBy(buckets, column).option("path", fresh(spark, name)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
 def forget(spark: SparkSession) -> int:
     """Remove all that saved() and bucketed() wrote in this process; frames that still read it can no longer be
     computed.  How many tables went."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
-    while _written:
-        path, name = _written.pop()
-        if name:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return n
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    return store.forget(spark)
 
 
 def only(df: DataFrame, **columns) -> DataFrame:

@@ -70,3 +70,13 @@ def test_columns_are_kept(spark):
     assert got == {1: rows[0], 2: (None, 2, "é  tail", 7, None), 3: rows[2]}
     assert repeats.without_repeats(df.limit(0)).columns == df.columns and repeats.without_repeats(df.limit(0)).count() == 0
     assert repeats.without_repeats(df.select("doc_id", "text")).columns == ["doc_id", "text"]
+
+
+def test_written_tables_go(spark):
+    from quarry.llm import util
+
+    df = spark.createDataFrame([(1, "x" * 80), (2, "x" * 80)], "doc_id long, text string")
+    assert repeats.repeats(df).where("n_removed > 0").count() == 1
+    names = {t.name for t in spark.catalog.listTables()}
+    assert any(n.startswith("quarry_blocks") for n in names) and util.forget(spark) > 0
+    assert not any(t.name.startswith("quarry_") for t in spark.catalog.listTables())
