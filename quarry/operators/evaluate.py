@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import numeric
-from quarry.operators.frames import first_by, ranked
+from quarry.operators.frames import first_by, ranked, running
 from quarry.operators.store import saved
 
 METRICS = ("recall", "precision", "hit", "mrr", "ndcg", "map")
@@ -98,11 +98,10 @@ def paired_bootstrap(base: DataFrame, candidate: DataFrame, metric: str, samples
 def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """Rank-sum AUC with average ranks for ties, null where a class is absent (AGG-17).
 
-    Scores are counted first, so a task sees one row for each distinct score.
+    Scores are counted first and ranked in ranges, so no task sees a whole group.
     """
     counted = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("r", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    placed = running(counted, by, [score], "n", "below").withColumn("r", F.col("below") + (F.col("n") + 1) / 2)
     sums = placed.groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     value = F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")))
     return sums.select(*by, F.col("p").alias("positives"), F.col("q").alias("negatives"), value.alias("auc"))
@@ -113,16 +112,19 @@ def unpivoted(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
 
 
 def separability(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """For each feature: means by class, share above 0 among gold, gold rate of its top tenth, AUC (AGG-18)."""
+    """For each feature: means by class, share above 0 among gold, gold rate of its top tenth (of equal values gold
+    first), AUC (AGG-18)."""
     long = unpivoted(df.select(label, *[F.col(f).cast("double").alias(f) for f in features]), [label], features)
-    n = Window.partitionBy("feature")
-    long = ranked(long, "feature", F.desc("value"), F.desc(label), name="i").withColumn("n", F.count("*").over(n))
     yes = F.col(label) == 1
     got = long.groupBy("feature").agg(
         F.avg(F.when(yes, F.col("value"))).alias("gold_mean"), F.avg(F.when(~yes, F.col("value"))).alias("other_mean"),
-        F.avg(F.when(yes, (F.col("value") > 0).cast("double"))).alias("gold_positive"), F.avg(F.when(F.col("i") <= F.ceil(F.col("n") * 0.1), F.col(label).cast("double"))).alias("top_decile_gold"),
+        F.avg(F.when(yes, (F.col("value") > 0).cast("double"))).alias("gold_positive"), F.ceil(F.count("*") * 0.1).alias("tenth"),
     )
-    return got.join(auc(long, "value", label, "feature").select("feature", "auc"), "feature")
+    counted = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+    above = running(counted, ["feature"], ["value"], "n", "above", down=True).join(F.broadcast(got.select("feature", "tenth")), "feature")  # a row for each feature
+    taken = F.least(F.greatest(F.col("tenth") - F.col("above"), F.lit(0)), F.col("n"))
+    first = above.groupBy("feature").agg((F.sum(F.least("p", taken)) / F.max("tenth")).alias("top_decile_gold"))
+    return got.drop("tenth").join(first, "feature").join(auc(long, "value", label, "feature").select("feature", "auc"), "feature")
 
 
 def first_gold(run: DataFrame, qrels: DataFrame) -> DataFrame:

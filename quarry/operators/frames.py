@@ -61,3 +61,15 @@ def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int
     item = F.struct(*[F.col(c).alias(f"_{c}") for c in order], *[F.col(c) for c in rest])
     got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("rows"))
     return got.withColumn("rows", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in rest])))
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str, name: str, down: bool = False) -> DataFrame:
+    """With the sum of a column over the rows before, inside each group and in an order.  Ranges are summed apart, so a
+    task sees a range's rows, however large a group is."""
+    turn = [F.desc(c) if down else F.asc(c) for c in order]
+    parts = saved(df.repartitionByRange(*by, *turn).withColumn("_part", F.spark_partition_id()), "running")
+    sums = parts.groupBy(*by, "_part").agg(F.sum(column).alias("_s"))  # a row for each range and group in it
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(F.broadcast(starts), [*by, "_part"]).withColumn(name, F.col("_start") + F.coalesce(F.sum(column).over(inside), F.lit(0))).drop("_part", "_start")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import annotate, evaluate, features, graph, learn, lexical, prepare, rerank, store
-from quarry.operators.frames import grouped, numbered
+from quarry.operators.frames import grouped, numbered, running
 from quarry.sources import readers, sinks
 
 
@@ -19,6 +19,14 @@ def test_numbered_spans_ranges(spark):
     assert numbered(df.limit(0), "k").count() == 0
 
 
+def test_running_sums_span_ranges(spark):
+    df = spark.createDataFrame([("a" if i % 10 else "b", (i * 37) % 101, i) for i in range(600)], "g string, o int, v int").groupBy("g", "o").agg(F.sum("v").alias("v"))
+    for down in (False, True):
+        got = {(r["g"], r["o"]): r["s"] for r in running(df.repartition(6), ["g"], ["o"], "v", "s", down).collect()}
+        rows = df.collect()
+        assert got == {(r["g"], r["o"]): sum(x["v"] for x in rows if x["g"] == r["g"] and (x["o"] > r["o"] if down else x["o"] < r["o"])) for r in rows}
+
+
 def test_splits_and_controls_of_empty_and_small_tables(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], f"p{i}") for i in range(5)], "id int, s string, profile string")
     assert prepare.positional_split(df.limit(0), "id").count() == 0
