@@ -205,9 +205,11 @@ def contained_terms(spark, d):
 
 
 def corpus_ingest(spark, d):
-    """documents as raw rows: an id with repeats, the text by candidate names."""
-    raw = table(spark, d, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % 300).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).otherwise(F.lit("  ")).alias("abstract"), F.col("source").alias("title"))
-    got = prepare.normalized_corpus(raw.drop("title").withColumn("title", F.col("id")), "doc_id", ["pid", "id"], ["body", "abstract"])
+    """documents as raw rows: an id with repeats, the text by candidate names; every seventh id comes once more, blank."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % 300).alias("id"), F.coalesce("text", F.lit("")).alias("abstract"))
+    blank = docs.where(F.col("doc_id") % 7 == 0).select((F.col("doc_id") + 10_000_000).alias("doc_id"), "id", F.lit("  ").alias("abstract"))
+    raw = docs.unionByName(blank).withColumn("title", F.col("id"))
+    got = prepare.normalized_corpus(raw, "doc_id", ["pid", "id"], ["body", "abstract"])
     return got.select("passage_id", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -296,7 +298,8 @@ SELECT question_id, round(1 - count(*) FILTER (WHERE ra <= 3 AND rb <= 3) / grea
     "concept_overview": f"WITH {_BASE}, n AS (SELECT passage_id, count(*) AS n FROM bag GROUP BY 1) SELECT count(*) AS records, round(avg(CASE WHEN n IS NULL THEN 0 ELSE 1 END), 6) AS coverage, round(avg(coalesce(n, 0)), 6) AS mean, max(coalesce(n, 0)) AS most, (SELECT count(DISTINCT concept) FROM bag) AS distinct_items FROM c LEFT JOIN n USING (passage_id)",
     "query_anchored": f"""WITH {_BASE}, o AS (SELECT * FROM bag, nn WHERE df <= greatest(1, floor(0.1 * n)) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY passage_id) <= 400), s AS (SELECT question_id, passage_id, sum(ln(1 + n / df)) AS score, count(*) AS n_reasons FROM o JOIN qc USING (concept) GROUP BY ALL),
 r AS (SELECT question_id, passage_id, score, n_reasons, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, passage_id) AS INTEGER) AS rank FROM s) SELECT question_id, passage_id, round(score, 6) AS score, n_reasons, rank FROM r WHERE rank <= 50""",
-    "corpus_ingest": """WITH r AS (SELECT doc_id, 's' || (doc_id % 300) AS id, row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS n, CASE WHEN doc_id % 7 > 0 THEN trim(regexp_replace(text, '[\\s]+', ' ', 'g')) ELSE '' END AS text FROM documents) SELECT CASE WHEN n > 1 THEN id || '_' || doc_id ELSE id END AS passage_id, id AS title, md5(CASE WHEN text = '' THEN id || ' ' || id ELSE text END) AS text_md5 FROM r""",
+    "corpus_ingest": """WITH a AS (SELECT doc_id, 's' || (doc_id % 300) AS id, trim(regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g')) AS text FROM documents UNION ALL SELECT doc_id + 10000000, 's' || (doc_id % 300), '' FROM documents WHERE doc_id % 7 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM a)
+SELECT CASE WHEN n > 1 THEN id || '_' || doc_id ELSE id END AS passage_id, id AS title, md5(CASE WHEN text = '' THEN id || ' ' || id ELSE text END) AS text_md5 FROM r""",
     "answer_majority": "SELECT l AS label FROM (SELECT CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l, count(*) AS n FROM labels GROUP BY 1) ORDER BY n DESC, list_position(['yes', 'no', 'maybe'], l) LIMIT 1",
 }
 _X = f"""WITH {_BASE}, {sql.bm25('a', k=10)}, o AS (SELECT * FROM bag, nn WHERE df <= greatest(1, floor(0.2 * n)) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY passage_id) <= 250),
@@ -352,3 +355,10 @@ s AS (SELECT doc_id, array_to_string(g, ' ') AS surface FROM g WHERE len(list_fi
 k AS (SELECT canonical, df, row_number() OVER (ORDER BY df DESC, canonical) AS i FROM c WHERE df >= 3 AND length(canonical) >= 3 AND NOT list_contains({texts._list(lx.STOPWORDS)}, canonical) QUALIFY i <= 50000),
 u AS (SELECT canonical, surface, row_number() OVER (PARTITION BY canonical ORDER BY count(*) DESC, surface) AS r FROM f WHERE canonical IN (SELECT canonical FROM k) GROUP BY canonical, surface QUALIFY r <= 5), l AS (SELECT canonical, list(surface ORDER BY r) AS sf FROM u GROUP BY 1)
 SELECT printf('E%07d', i - 1) AS entity_id, canonical, array_to_string(sf, '|') AS surface_forms, df AS document_frequency, CASE {" ".join(f"WHEN list_has_any(string_split(canonical, ' '), {texts._list(h)}) THEN '{n}'" for n, h in lx.TYPE_HINTS)} WHEN len(list_filter(sf, lambda t: {texts._GENE})) > 0 THEN 'gene_or_protein' ELSE 'biomedical_concept' END AS entity_type FROM k JOIN l USING (canonical)"""
+
+_TERMS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9-]{{3,}}')), lambda t: NOT list_contains({1}, t))"
+_SAID, _READ = (_TERMS.format(c, texts._list(lx.STOPWORDS)) for c in ("question", "evidence"))
+ORACLE["answer_faithfulness"] = f"""WITH {sql.CORPUS}, {sql.bm25('a', k=5)}, h AS (SELECT DISTINCT question_id FROM a JOIN qrels USING (question_id, passage_id) WHERE rank <= 3), e AS (SELECT question_id, string_agg(concat_ws(' ', title, text), ' ' ORDER BY rank) AS body FROM a JOIN c USING (passage_id) WHERE rank <= 3 GROUP BY 1),
+r AS (SELECT question_id, question, CAST(question_id AS INTEGER) % 3 <> 0 AS right_, question_id IN (SELECT question_id FROM h) AS hit, 'Question: ' || question || ' Evidence: ' || coalesce(body, '') AS evidence FROM q LEFT JOIN e USING (question_id)), s AS (SELECT *, {_SAID} AS st, {_READ} AS et FROM r),
+t AS (SELECT *, CASE WHEN len(st) > 0 AND len(et) > 0 THEN len(list_intersect(st, et)) / len(st) END AS cons FROM s)
+SELECT 'bm25' AS source, count(*) AS n, round(avg(hit::INT), 6) AS citation_support, round(avg(right_::INT), 6) AS accuracy, round(avg((hit AND right_)::INT), 6) AS answer_supported, round(avg(cons), 6) AS consistency, count(cons) AS evaluable, round(1 - avg((hit AND right_)::INT), 6) AS unsupported FROM t"""

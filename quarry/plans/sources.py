@@ -10,7 +10,7 @@ from quarry.operators.store import fresh, saved
 from quarry.plans import sql
 from quarry.plans.retrieval import _DENSE, _round
 from quarry.plans.tables import candidates, corpus, questions, table, vector_queries, vectors
-from quarry.plans.texts import _concept, _spaced
+from quarry.plans.texts import _concept, _light, _q, _spaced
 from quarry.sources import readers, sinks
 from quarry.streaming import incremental
 
@@ -235,3 +235,5 @@ SELECT normalized, cui, term, sab, code FROM n WHERE length(normalized) >= 3 AND
     "pair_scored": f"""WITH {sql.CORPUS}, {sql.bm25('a', k=20)}, w AS (SELECT question_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS qw FROM q), v AS (SELECT passage_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, text)), '[a-z0-9]+')) AS pw FROM c WHERE text IS NOT NULL),
 s AS (SELECT question_id, passage_id, rank, coalesce(len(list_intersect(qw, pw)) / greatest(len(qw), 1), score) AS ns FROM a LEFT JOIN w USING (question_id) LEFT JOIN v USING (passage_id)) SELECT question_id, passage_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(ns, 9) DESC, rank, passage_id) AS INTEGER) AS new_rank, round(CAST(ns AS DOUBLE), 6) AS new_score FROM s""",
 }
+ORACLE["abbreviation_texts"] = f"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN ' magnetic resonance imaging (MRI) and x Signal Unit (SU)' ELSE '' END AS t FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(t, {_q(text.ABBREVIATION)}, 2)) AS s, unnest(regexp_extract_all(t, {_q(text.ABBREVIATION)}, 1)) AS l FROM t),
+k AS (SELECT doc_id, count(DISTINCT s) AS n, string_agg(DISTINCT s, '|' ORDER BY s) AS shorts FROM (SELECT doc_id, {_light('s')} AS s, {_light('l')} AS l FROM p) WHERE s <> '' AND l <> '' GROUP BY 1) SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(shorts, '') AS shorts FROM t LEFT JOIN k USING (doc_id)"""
