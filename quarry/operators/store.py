@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir.  A folder of our own only in local mode (tests), where all is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("quarry.local.dir", None)
     if not root:
