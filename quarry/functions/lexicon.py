@@ -1,24 +1,29 @@
 """Word lists that typing, validity and answer rules are defined by, in natural order."""
 
-STOPWORDS = (
-    "a about after all also an and are as at be been between by but can could during for from has have how in into is it its list may more not of on or other patients "
-    "reported several should show such than that the their these this to using was were what when where which with without"
-).split()
-DOMAIN_TERMS = (
-    "acid activation allele antibody antigen assay blood bone cancer carcinoma cell clinical deficiency disease dna dose drug enzyme expression factor gene genetic genome "
-    "growth human immune infection inhibitor kinase ligand mutation neuron pathway protein receptor response rna serum signaling syndrome therapy transcription treatment tumor virus"
-).split()
-DOMAIN_SUFFIXES = "ase itis emia oma opathy osis genic globin kinase protein receptor syndrome".split()
-LOW_INFORMATION = (
-    "acid activation assay background biological blood case cell clinical conclusion conclusions data decrease disease diagnosis dose drug enzyme expression factor fast gene "
-    "genetic growth human immune increase involves infection method methods mutation new objective one pathway patients phase protein procedure receptor results response na serum "
-    "signaling syndrome therapy treatment tumor ii iii"
-).split()
+STOPWORDS = [
+    "a", "about", "after", "all", "also", "an", "and", "are", "as", "at", "be", "been", "between", "by", "but", "can", "could", "during", "for",
+    "from", "has", "have", "how", "in", "into", "is", "it", "its", "list", "may", "more", "not", "of", "on", "or", "other", "patients", "reported",
+    "several", "should", "show", "such", "than", "that", "the", "their", "these", "this", "to", "using", "was", "were", "what", "when", "where",
+    "which", "with", "without",
+]
+DOMAIN_TERMS = [
+    "acid", "activation", "allele", "antibody", "antigen", "assay", "blood", "bone", "cancer", "carcinoma", "cell", "clinical", "deficiency",
+    "disease", "dna", "dose", "drug", "enzyme", "expression", "factor", "gene", "genetic", "genome", "growth", "human", "immune", "infection",
+    "inhibitor", "kinase", "ligand", "mutation", "neuron", "pathway", "protein", "receptor", "response", "rna", "serum", "signaling", "syndrome",
+    "therapy", "transcription", "treatment", "tumor", "virus",
+]
+DOMAIN_SUFFIXES = ["ase", "itis", "emia", "oma", "opathy", "osis", "genic", "globin", "kinase", "protein", "receptor", "syndrome"]
+LOW_INFORMATION = [
+    "acid", "activation", "assay", "background", "biological", "blood", "case", "cell", "clinical", "conclusion", "conclusions", "data", "decrease",
+    "disease", "diagnosis", "dose", "drug", "enzyme", "expression", "factor", "fast", "gene", "genetic", "growth", "human", "immune", "increase",
+    "involves", "infection", "method", "methods", "mutation", "new", "objective", "one", "pathway", "patients", "phase", "protein", "procedure",
+    "receptor", "results", "response", "na", "serum", "signaling", "syndrome", "therapy", "treatment", "tumor", "ii", "iii",
+]
 TYPE_HINTS = [
-    ("disease", "cancer carcinoma deficiency disease disorder infection syndrome tumor".split()),
-    ("drug_or_therapy", "agonist antagonist antibiotic antibody drug inhibitor therapy treatment".split()),
-    ("gene_or_genetic", "allele dna gene genetic genome mutation rna".split()),
-    ("protein_or_pathway", "enzyme factor kinase ligand protein receptor".split()),
+    ("disease", ["cancer", "carcinoma", "deficiency", "disease", "disorder", "infection", "syndrome", "tumor"]),
+    ("drug_or_therapy", ["agonist", "antagonist", "antibiotic", "antibody", "drug", "inhibitor", "therapy", "treatment"]),
+    ("gene_or_genetic", ["allele", "dna", "gene", "genetic", "genome", "mutation", "rna"]),
+    ("protein_or_pathway", ["enzyme", "factor", "kinase", "ligand", "protein", "receptor"]),
 ]
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "κ": "kappa", "λ": "lambda", "μ": "mu"}
 NEGATIVE = [
