@@ -18,6 +18,13 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in as many partitions as there are cores, if it has fewer files: a file of one row group is one task
+    however many cores wait.  A table of many files is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
+
+
 def ranked(df: DataFrame, by: str | Sequence[str], *order: Column | str, name: str = "rank") -> DataFrame:
     """Rows numbered from 1 inside each group (WIN-01)."""
     keys = [by] if isinstance(by, str) else list(by)
