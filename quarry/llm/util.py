@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import store
+from quarry.operators.frames import spread
 from quarry.operators.store import fresh, saved
 
 __all__ = ["bounded", "bucketed", "forget", "free", "only", "saved", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan  # their rows are expensive
 
 
 _tables: list[str] = []  # in the catalog
