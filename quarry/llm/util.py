@@ -27,7 +27,7 @@ def bucketed(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
     spark = df.sparkSession
     name = f"quarry_{label}_{uuid.uuid4().hex}"
     _tables.append(name)
-    df.write.bucketBy(buckets, column).option("path", fresh(spark, name)).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(buckets, column).option("path", fresh(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
