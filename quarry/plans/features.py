@@ -56,9 +56,14 @@ def _meaning(spark, d) -> DataFrame:
     return candidates(spark, d).select(*IDS).join(q, "passage_id")
 
 
+def _inputs(spark, d) -> list[DataFrame]:
+    """Candidates, entities and descriptors of both sides, each computed once: they are counted and joined many times."""
+    return [saved(f(spark, d), f.__name__) for f in (candidates, question_entities, passage_entities, question_mesh, passage_mesh)]
+
+
 def parts(spark, d) -> DataFrame:
     """The parts of the precision score of every candidate, written."""
-    return saved(features.precision_parts(candidates(spark, d), question_entities(spark, d), passage_entities(spark, d), question_mesh(spark, d), passage_mesh(spark, d), part_relations(spark, d), _meaning(spark, d)), "parts")
+    return saved(features.precision_parts(*_inputs(spark, d), part_relations(spark, d), _meaning(spark, d)), "parts")
 
 
 _PART_NAMES = ["rare", "mesh_specificity", "hierarchy", "seed", "direct", "relation", "semantic", "broad", "hierarchy_only", "high_df", "n_edges"]
@@ -74,13 +79,14 @@ def precision_scores(spark, d):
     return _round(got.select(*IDS, *names), *names)
 
 
-def _edges(spark, d) -> DataFrame:
+def _edges(spark, d, inputs: list[DataFrame]) -> DataFrame:
+    c, qe, pe, qm, pm = inputs
     pairs = part_relations(spark, d).where(F.col("source").cast("long") < F.col("target").cast("long")).select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("next").alias("relation"))
-    return saved(graph.build(candidates(spark, d), question_entities(spark, d), passage_entities(spark, d), question_mesh=question_mesh(spark, d), passage_mesh=passage_mesh(spark, d), relations=pairs), "edges")
+    return saved(graph.build(c, qe, pe, question_mesh=qm, passage_mesh=pm, relations=pairs), "edges")
 
 
 def knowledge_edges(spark, d):
-    return _edges(spark, d).groupBy("question_id", "edge_type").agg(F.count("*").alias("n_edges"), F.sum(F.size("nodes")).alias("n_nodes"), F.round(F.sum("weight"), 6).alias("weight"))
+    return _edges(spark, d, _inputs(spark, d)).groupBy("question_id", "edge_type").agg(F.count("*").alias("n_edges"), F.sum(F.size("nodes")).alias("n_nodes"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 _LOCAL = [
@@ -90,7 +96,8 @@ _LOCAL = [
 
 
 def local_features(spark, d):
-    got = features.local_features(_edges(spark, d), candidates(spark, d), question_entities(spark, d), passage_entities(spark, d), question_mesh(spark, d), passage_mesh(spark, d), part_relations(spark, d), 3)
+    inputs = _inputs(spark, d)
+    got = features.local_features(_edges(spark, d, inputs), *inputs, part_relations(spark, d), 3)
     return _round(got.select(*IDS, *_LOCAL), *_LOCAL)
 
 
@@ -103,7 +110,8 @@ def _typed(entities: DataFrame, spark, d) -> DataFrame:
 def _evidence(spark, d):
     kind = F.when(F.col("o_orderstatus") == "O", "a systematic review").when(F.col("o_orderstatus") == "F", "Cohort of cases").otherwise("x")
     said = table(spark, d, "orders").select(F.col("o_orderkey").cast(_S).alias("passage_id"), text.evidence_type(kind)["score"].alias("evidence_type"))
-    rows, units = features.evidence_parts(candidates(spark, d), _typed(question_entities(spark, d), spark, d), _typed(passage_entities(spark, d), spark, d), question_mesh(spark, d), passage_mesh(spark, d), said)
+    c, qe, pe, qm, pm = _inputs(spark, d)
+    rows, units = features.evidence_parts(c, saved(_typed(qe, spark, d), "typed"), saved(_typed(pe, spark, d), "typed"), qm, pm, said)
     return saved(rows, "evidence"), saved(units, "units")
 
 
