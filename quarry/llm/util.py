@@ -52,7 +52,7 @@ def free(columns: list[str], *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """The frame (already written: it is counted), marked for broadcast if it has few enough rows.  Meant for rows of
-    ids, digests and numbers (at most about 100 bytes each), so that a broadcast stays under about 10 MB."""
+    ids, digests and numbers (at most about 100 bytes each), so that a broadcast stays under about 50 MB."""
     return F.broadcast(df) if df.count() <= rows else df
