@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.util import bounded, free, saved
-from quarry.llm.words import lowered, mix, release, texts_in, utf8, words
+from quarry.llm.words import WORD, lowered, mix, release, texts_in, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,10 +49,10 @@ _POISSON = np.cumsum([np.exp(-1.0) / np.prod(range(1, i + 1)) for i in range(20)
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
-def shingles(raws: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each shingle and the index of its document."""
+def shingles(raws: list[bytes], size: int = SHINGLE, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each shingle and the index of its document; ``inside``: the bytes that words are made of."""
     ends = np.cumsum([len(r) + 1 for r in raws])
-    first, _, h = words(lowered(b"\n".join(raws) + b"\n"))
+    first, _, h = words(lowered(b"\n".join(raws) + b"\n"), inside)
     doc = np.searchsorted(ends, first, side="right")
     n = np.bincount(doc, minlength=len(raws))
     out, start = h.copy(), np.cumsum(n) - n
@@ -184,7 +184,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots), "components")
 
 
-def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: only the components that the links join are walked again."""
     if comps is None:
         return components(links)
@@ -248,7 +248,7 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) ->
     known = known.unionByName(found.join(bounded(known.select("a", "b")), ["a", "b"], "left_anti"))
 
     true = known.where(F.col("similarity") >= similarity)
-    return known, None if true.isEmpty() else _merged(comps, true)
+    return known, None if true.isEmpty() else merged(comps, true)
 
 
 def _near(similarity: float, a: str, b: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import audit, chat, decontaminate, licences, neardup, pieces, quality, repeats, sharding, sweep, topk, warc
+from quarry.llm import audit, chat, decontaminate, licences, neardup, ngrams, pieces, quality, repeats, sharding, sweep, topk, warc
 from quarry.llm.util import table
 
 
@@ -66,6 +66,10 @@ def op12_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.sales_load(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clients"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.similar(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +79,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc, "op2_neardup": op2_neardup, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding,
     "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_licences": op9_licences, "op10_repeats": op10_repeats,
-    "op11_audit": op11_audit, "op12_sweep": op12_sweep, "pipeline": pipeline,
+    "op11_audit": op11_audit, "op12_sweep": op12_sweep, "op13_ngram_join": op13_ngram_join, "pipeline": pipeline,
 }
 ORACLE = {
     "op3_chat": chat.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE, "op9_licences": licences.ORACLE,
-    "op11_audit": audit.ORACLE, "op12_sweep": sweep.ORACLE,
+    "op11_audit": audit.ORACLE, "op12_sweep": sweep.ORACLE, "op13_ngram_join": ngrams.ORACLE,
 }

@@ -27,23 +27,25 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.suffixes import grouping
-from quarry.llm.util import bucketed, saved
+from quarry.llm.util import bucketed, free, saved
 from quarry.llm.words import mix, prefix_sums, release, stretch, utf8
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM  # bytes of a window beside its anchor
 BLOCK = 1 << 20
 PART = 100_000  # anchors dealt together, about
-_NONE = np.iinfo(np.int64).max
+NO_ID = np.iinfo(np.int64).max
 _C = np.uint64(0xA0761D6478BD642F)
 _IDS = "block long, part long"
 
@@ -98,13 +100,17 @@ def _unpack6(raw: bytes) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-def _parts(key: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each ascending 47-bit key, and where parts begin."""
-    of = ((key >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(31)
+def range_parts(key: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each ascending key of so many bits, and where parts begin."""
+    of = (key * np.uint64(parts)) >> np.uint64(bits)
     cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
     return of[cut].astype(np.int64), np.append(cut, len(of))
 
 
+def _parts(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    return range_parts(key >> np.uint64(16), 31, parts)
+
+
 class Block:
     """A block's anchors and what it knows of them so far."""
 
@@ -120,16 +126,16 @@ class Block:
         self.of = np.empty(len(by), np.int64)
         self.of[by] = np.repeat(np.arange(len(start)), np.diff(start, append=len(by)))
 
-    def rows(self, cut: np.ndarray, part: np.ndarray, **columns: Callable) -> pd.DataFrame:
-        spans = list(zip(cut[:-1], cut[1:]))
-        return pd.DataFrame({"block": np.full(len(part), self.id), "part": part, **{c: [f(a, b) for a, b in spans] for c, f in columns.items()}})
+    def rows(self, cut: np.ndarray, part: np.ndarray, **columns: Callable) -> pa.RecordBatch:
+        packed = [pa.array([f(a, b) for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for f in columns.values()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), self.id)), pa.array(part), *packed], names=["block", "part", *columns])
 
     def know_repeated(self, answers) -> None:
         """Step 1's answer: entries are distinct fragments of anchors that stand in two documents."""
         part, cut = _parts(self.key, self.parts)
         where = {int(p): (a, b) for p, a, b in zip(part, cut[:-1], cut[1:])}
         flag = np.zeros(len(self.key), bool)
-        for r in answers if answers is not None else ():
+        for r in answers:
             a, b = where[r["part"]]
             flag[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a)
         a = self.anchors
@@ -146,7 +152,7 @@ class Block:
         """Step 2's answer: the smallest doc_id of each entry's fragment, and whether its bytes are asked for."""
         where = {int(p): (a, b) for p, a, b in zip(self.entry_part, self.entry_cut[:-1], self.entry_cut[1:])}
         self.least, self.asked = self.entry_doc.copy(), np.zeros(len(self.entry_doc), bool)
-        for r in answers if answers is not None else ():
+        for r in answers:
             a, b = where[r["part"]]
             self.least[a:b] = np.frombuffer(r["least"], np.int64)
             self.asked[a:b] = np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=b - a)
@@ -157,7 +163,7 @@ class Block:
         """Step 3's answer: the windows (bit a: a bytes before the anchor) that a smaller document holds too."""
         where = {int(p): (a, b) for p, a, b in zip(self.ask_part, self.ask_cut[:-1], self.ask_cut[1:])}
         self.mask = np.zeros(len(self.entry_doc), np.uint32)
-        for r in answers if answers is not None else ():
+        for r in answers:
             a, b = where[r["part"]]
             self.mask[self.ask[a:b]] = np.frombuffer(r["masks"], np.uint32)
 
@@ -177,7 +183,7 @@ class Block:
         return np.cumsum(change[:-1]) > 0
 
 
-def _blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
+def blocks_of_text(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     """The table as written blocks, bucketed by block, and its bytes of text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     text = F.col("text").cast("string")
@@ -201,7 +207,7 @@ def _blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
             other, from_ = batch.select(rest) if rest else None, 0
             for i, (d, t) in enumerate(zip(doc, texts)):
                 raw = utf8([t])[0]
-                ids.append(_NONE if d is None else d)
+                ids.append(NO_ID if d is None else d)
                 raws.append(raw)
                 absent.append(t is None)
                 held += len(raw) + 16
@@ -221,29 +227,30 @@ def _blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     return bucketed(packed, "block", min(buckets, 100_000), "blocks"), size
 
 
-def _each(blocks: DataFrame, parts: int, answers: list[DataFrame], step: Callable[[Block, object], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Run a step on every block that has learnt what was answered so far.  Only answers are shuffled."""
+def _each(blocks: DataFrame, parts: int, answers: list[DataFrame], step: Callable[[Block, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run a step on every block that has learnt what was answered so far.  Only answers are shuffled.  Blocks stay in
+    Arrow but for the one at work."""
     rows = blocks
     for k, a in enumerate(answers):
         names = [c for c in a.columns if c != "block"]
         rows = rows.join(a.groupBy("block").agg(F.collect_list(F.struct(*names)).alias(f"answer{k}")).hint("shuffle_hash"), "block", "left")
     known, learn = len(answers), ("know_repeated", "know_least", "know_masks")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = SimpleNamespace(**batch.slice(i, 1).to_pylist()[0])
                 block = Block(row, parts)
                 for k in range(known):
-                    got = getattr(row, f"answer{k}")
-                    getattr(block, learn[k])([] if got is None or isinstance(got, float) else got)
+                    getattr(block, learn[k])(getattr(row, f"answer{k}") or ())
                 yield from step(block, row)
-                del block
-            release()
+                del block, row
+                release()
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _first(block: Block, _row) -> Iterator[pd.DataFrame]:
+def _first(block: Block, _row) -> Iterator[pa.RecordBatch]:
     part, cut = _parts(block.key, block.parts)
     flagged = (block.key << np.uint64(1)) | block.shared.astype(np.uint64)
     yield block.rows(cut, part, keys=lambda a, b: _pack6(flagged[a:b]))
@@ -260,7 +267,7 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"][keep], "part": pdf["part"][keep], "bits": [np.packbits(h).tobytes() for h, k in zip(hit, keep) if k]})
 
 
-def _second(block: Block, _row) -> Iterator[pd.DataFrame]:
+def _second(block: Block, _row) -> Iterator[pa.RecordBatch]:
     b_ = block
     yield b_.rows(b_.entry_cut, b_.entry_part, keys=lambda a, b: _pack6(b_.entry_key[a:b]), fragments=lambda a, b: b_.entry_fragment[a:b].tobytes(), docs=lambda a, b: b_.entry_doc[a:b].tobytes())
 
@@ -284,7 +291,7 @@ def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "least": [x.tobytes() for x in np.split(least, cuts)], "ask": [np.packbits(x).tobytes() for x in np.split(ask, cuts)]})
 
 
-def _third(block: Block, _row) -> Iterator[pd.DataFrame]:
+def _third(block: Block, _row) -> Iterator[pa.RecordBatch]:
     a, ask = block.anchors, block.ask
     at = block.lead[ask]
     low, high, place = a.low[at], a.high[at], a.at[at]
@@ -401,7 +408,7 @@ def _masks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _marked(docs: DataFrame, finish: Callable, schema: str, block: int, part: int) -> DataFrame:
-    blocks, size = _blocks(docs, block)
+    blocks, size = blocks_of_text(docs, block)
     parts = max(1, math.ceil(size * 2 / (SIDE + 2) / part))
 
     def dealt(answers: list[DataFrame], step: Callable, columns: str, answer: Callable, out: str, label: str) -> DataFrame:
@@ -414,7 +421,7 @@ def _marked(docs: DataFrame, finish: Callable, schema: str, block: int, part: in
     return _each(blocks, parts, known, finish, schema)
 
 
-def _report(block: Block, _row) -> Iterator[pd.DataFrame]:
+def _report(block: Block, _row) -> Iterator[pa.RecordBatch]:
     gone = block.covered()
     begin = block.ends - np.diff(block.ends, prepend=0)
     out = []
@@ -422,8 +429,9 @@ def _report(block: Block, _row) -> Iterator[pd.DataFrame]:
         m = gone[a:b]
         removed = int(m.sum())
         spans = int(m[0]) + int((m[1:] & ~m[:-1]).sum()) if removed else 0
-        out.append((None if d == _NONE else int(d), int(b - a), removed, spans, hashlib.sha256(block.text[a:b][~m].tobytes()).hexdigest()))
-    yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+        out.append((None if d == NO_ID else int(d), int(b - a), removed, spans, hashlib.sha256(block.text[a:b][~m].tobytes()).hexdigest()))
+    columns = list(zip(*out)) if out else [()] * 5
+    yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns[:4]), pa.array(list(columns[4]), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeats(docs: DataFrame, block: int = BLOCK, part: int = PART) -> DataFrame:
@@ -436,17 +444,19 @@ def without_repeats(docs: DataFrame, block: int = BLOCK, part: int = PART) -> Da
     is dropped with it; n_chars, where there is one, is counted anew."""
     columns = docs.columns
 
-    def finish(block: Block, row) -> Iterator[pd.DataFrame]:
+    def finish(block: Block, row) -> Iterator[pa.RecordBatch]:
         gone, absent = block.covered(), np.frombuffer(row.absent, bool)
         begin = block.ends - np.diff(block.ends, prepend=0)
         with pa.ipc.open_stream(row.rest) as stream:
-            pdf = stream.read_pandas()
+            rest = stream.read_all().combine_chunks()
+        found = {c: rest.column(c) for c in rest.column_names}
         texts = [None if no else block.text[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for no, a, b in zip(absent, begin, block.ends)]
-        pdf["doc_id"] = pd.array([None if d == _NONE else int(d) for d in block.ids], "Int64")
-        pdf["text"] = texts
-        if "n_chars" in pdf:
-            cut = np.array([gone[a:b].any() for a, b in zip(begin, block.ends)], bool)
-            pdf["n_chars"] = pdf["n_chars"].where(~cut, [len(t or "") for t in texts])
-        yield pdf[columns]
-
-    return _marked(docs if len(columns) > 2 else docs.withColumn("_", F.lit(0)), finish, docs.schema.simpleString()[7:-1], block, part)
+        found["doc_id"] = pa.array([None if d == NO_ID else int(d) for d in block.ids], pa.int64())
+        found["text"] = pa.array(texts, pa.string())
+        if "n_chars" in found:
+            cut = pa.array([bool(gone[a:b].any()) for a, b in zip(begin, block.ends)], pa.bool_())
+            found["n_chars"] = pc.if_else(cut, pa.array([len(t or "") for t in texts]).cast(found["n_chars"].type), found["n_chars"])
+        yield from pa.table({c: found[c] for c in columns}).combine_chunks().to_batches()
+
+    kept = docs.withColumns({c: F.col(c).cast(t) for c, t in (("doc_id", "long"), ("text", "string")) if dict(docs.dtypes)[c] != ("bigint" if t == "long" else t)})
+    return _marked(kept if len(columns) > 2 else kept.withColumn(free(columns, "rest")[0], F.lit(0)), finish, kept.schema, block, part)
