@@ -47,7 +47,7 @@ FRAGMENTS = 8
 ROUNDS = 3
 FEW, SIDE = 16, 256  # members of a group asked pair by pair, and members of a block
 BLOCK = 1 << 20
-PART = 100_000  # shingles counted together, about
+PART = 1_000_000  # shingles counted together, about: 4 MB
 _KEYS = "block long, part long, keys binary"
 
 
@@ -221,7 +221,10 @@ def joined(nodes: DataFrame, similarity: int = SIMILARITY, fragments: int = FRAG
 
 
 def _products(large: DataFrame, nodes: DataFrame, similarity: int, side: int) -> DataFrame:
-    """Links between components inside large groups, by products of blocks of members."""
+    """Links between components inside large groups, by products of blocks of members.  Groups of one hub are one, as a
+    set stands in a group for every shingle of its prefix."""
+    hub = large.groupBy("token").agg(F.min(F.struct(-F.col("fame"), "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
+    large = saved(large.join(hub, "token").select(F.col("hub").alias("token"), "node", "n", "comp").distinct(), "large")
     sizes = saved(large.groupBy("token").agg(F.ceil(F.count("*") / side).cast("int").alias("blocks")), "blocks")
     dealt = large.select("token", "node", "n", "comp").join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(nodes.select("node", "tokens"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
