@@ -9,8 +9,8 @@ inside such a run, so nothing is lost); runs are set apart by a separator.  The
 transform held in a wavelet matrix.  All windows are searched backwards together, occurrences are located
 through sampled suffix positions, and the words they cover are merged into spans.
 
-Items travel to the executors in blocks of at most ``BLOCK`` bytes of text; a larger benchmark takes more than
-one pass over the rows, without a shuffle.  Words are looked up by 64-bit hashes, and those that are indexed are
+Items travel to the executors in blocks of at most ``BLOCK`` bytes of text (arrays of about four times that size); a
+larger benchmark takes more than one pass over the rows.  Words are looked up by 64-bit hashes, and those that are indexed are
 confirmed on their bytes.
 
 Defined results: a null text has no words; an empty table gives no rows; an empty benchmark leaves every document
@@ -23,14 +23,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import batches_of, lowered, release, utf8, words
+from quarry.llm.words import lowered, texts_in, utf8, words
 
 WINDOW = 10
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 STRETCH = 2 << 20
 SAMPLE = 8
 
@@ -38,47 +39,68 @@ SAMPLE = 8
 class Phrases:
     """The windows of a block of items, over the block's own vocabulary (word k is symbol k + 1).
 
-    Words of one hash are one class (class k is number k + 1); pairs and singles, by which text is chosen for the
-    index, are of classes, the windows of words.
+    All is in flat arrays, about four times the bytes of the items' text: the items' symbols end to end, and each
+    distinct window as a place in them, with the items that hold it (equal items of fewer words than a window may be
+    there more than once).  Words of one hash are one class (class k is number
+    k + 1); pairs and singles, by which text is chosen for the index, are of classes, the windows of words.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
-        self.ids = [i for i, _ in items]
-        self.names: dict[bytes, int] = {}
+        self.ids = sorted({i for i, _ in items})
+        number = {x: k for k, x in enumerate(self.ids)}
+        names: dict[bytes, int] = {}
         hashes, texts = [np.uint64(0)], []
         for raw in utf8(t for _, t in items):
             text = lowered(raw)
             first, end, h = words(text)
-            low, symbols = text.tobytes(), []
-            for a, b, x in zip(first.tolist(), end.tolist(), h):
-                symbol = self.names.setdefault(low[a:b], len(self.names) + 1)
+            low, symbols = text.tobytes(), np.empty(len(first), np.int32)
+            for k, (a, b) in enumerate(zip(first.tolist(), end.tolist())):
+                symbols[k] = symbol = names.setdefault(low[a:b], len(names) + 1)
                 if symbol == len(hashes):
-                    hashes.append(x)
-                symbols.append(symbol)
-            texts.append(np.array(symbols, np.int64))
+                    hashes.append(h[k])
+            texts.append(symbols)
         self.classes, of = np.unique(np.array(hashes[1:], np.uint64), return_inverse=True)
-        self.class_of = np.concatenate([[0], of + 1]).astype(np.int64)
-        self.lead = np.zeros(len(self.classes) + 1, np.int64)  # a word of each class
-        self.lead[self.class_of[::-1]] = np.arange(len(self.class_of))[::-1]
-        self.blob = np.frombuffer(b"".join(self.names), np.uint8)
-        self.size = np.array([0, *map(len, self.names)], np.int64)
+        self.class_of = np.concatenate([[0], of + 1]).astype(np.int32)
+        self.lead = np.zeros(len(self.classes) + 1, np.int32)  # a word of each class
+        self.lead[self.class_of[::-1]] = np.arange(len(self.class_of), dtype=np.int32)[::-1]
+        self.others = {w: k for w, k in names.items() if self.lead[self.class_of[k]] != k}  # further words of a class
+        self.blob = np.frombuffer(b"".join(names), np.uint8)
+        self.size = np.array([0, *map(len, names)], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-        for item, s in enumerate(texts):
-            for at in range(max(1, len(s) - window + 1) if len(s) else 0):
-                w = s[at : at + window]
-                found.setdefault(w.tobytes(), (w, set()))[1].add(item)
-        lists = list(found.values())
-        self.length = np.array([len(w) for w, _ in lists], np.int64)
-        self.least = int(self.length.min()) if lists else 0
-        self.symbols = np.zeros((len(lists), window), np.int64)  # right-aligned
-        for k, (w, _) in enumerate(lists):
-            self.symbols[k, window - len(w) :] = w
-        self.items_of = [np.array(sorted(i), np.int64) for _, i in lists]
+        n = np.array([len(s) for s in texts], np.int64)
+        self.text = np.concatenate([*texts, np.zeros(0, np.int32)])
+        item = np.repeat(np.array([number[i] for i, _ in items], np.int64), n)
+        left = np.repeat(np.cumsum(n), n) - np.arange(len(self.text))  # words from here to the item's end
+        starts = np.flatnonzero((left >= window) | (left == np.repeat(n, n)))
+        length = np.minimum(left[starts], window)
+        key = self._ranks(window)[starts] * (window + 1) + length
+        _, lead, same = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.length = starts[lead], length[lead]
+        self.least = int(length.min(initial=window)) if len(lead) else 0
+        held = np.unique(np.stack([same.astype(np.int64), item[starts]], 1), axis=0) if len(lead) else np.zeros((0, 2), np.int64)
+        self.items, self.first_item = held[:, 1].astype(np.int32), np.searchsorted(held[:, 0], np.arange(len(lead) + 1))
         self.base = len(self.classes) + 1
-        self.singles = np.unique(self.class_of[self.symbols[self.length == 1, -1]]) if lists else np.zeros(0, np.int64)
-        pairs = [self.class_of[w[:-1]] * self.base + self.class_of[w[1:]] for w, _ in lists]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        classes = self.class_of[self.text].astype(np.int64)
+        self.singles = np.unique(classes[self.start[self.length == 1]])
+        self.pairs = np.unique(classes[:-1][left[:-1] > 1] * self.base + classes[1:][left[:-1] > 1])
+
+    def _ranks(self, window: int) -> np.ndarray:
+        """A number for each place of the text, equal where ``window`` words from there on are (0s behind the end of the
+        text): ranks of runs of 1, 2, 4, ... words, put together as the bits of ``window`` say."""
+        rank, out, done, size = self.text.astype(np.int64), np.zeros(len(self.text), np.int64), 0, 1
+        shifted = lambda x, by: np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
+        join = lambda a, b: np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1] + 1
+        while size <= window:
+            if window & size:
+                out, done = join(out, shifted(rank, done)), done + size
+            rank, size = join(rank, shifted(rank, size)), 2 * size
+        return out
+
+    def items_of(self, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of each phrase, end to end, and how many each has."""
+        n = self.first_item[phrase + 1] - self.first_item[phrase]
+        at = np.repeat(self.first_item[phrase] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.items[at], n
 
     def exact(self, text: np.ndarray, first: np.ndarray, end: np.ndarray, of: np.ndarray) -> np.ndarray:
         """The symbol of each word first:end of class ``of``, confirmed on its bytes; 0 for a word of no item."""
@@ -92,7 +114,7 @@ class Phrases:
             differ = text[np.repeat(first[on] - start, n) + step] != self.blob[np.repeat(self.begin[symbol[on]] - start, n) + step]
             symbol[on[np.logical_or.reduceat(differ, start)]] = -1
         for i in np.flatnonzero(symbol < 0):
-            symbol[i] = self.names.get(text[first[i] : end[i]].tobytes(), 0)
+            symbol[i] = self.others.get(text[first[i] : end[i]].tobytes(), 0)
         return symbol
 
 
@@ -166,15 +188,14 @@ class FMIndex:
         self.kept = np.concatenate([[0], np.cumsum(kept)])
         self.sampled = order[kept]
 
-    def search(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row interval of each right-aligned phrase, by backward search."""
-        low, high = np.zeros(len(symbols), np.int64), np.full(len(symbols), self.size, np.int64)
-        width = symbols.shape[1]
-        for step in range(1, width + 1):
+    def search(self, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row interval of each phrase (a stretch of ``text``), by backward search."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.size, np.int64)
+        for step in range(1, int(length.max(initial=0)) + 1):
             on = np.flatnonzero((length >= step) & (low < high))
             if not len(on):
                 continue
-            c = symbols[on, width - step] + 1
+            c = text[start[on] + length[on] - step].astype(np.int64) + 1
             known = c < len(self.before) - 1
             at = self.before[np.where(known, c, 0)]
             low[on] = np.where(known, at + self.tree.rank(c, low[on]), 0)
@@ -227,7 +248,7 @@ def hits(text: np.ndarray, words_: tuple[np.ndarray, np.ndarray, np.ndarray], do
     symbol = np.zeros(len(place), np.int64)
     symbol[place >= 0] = phrases.exact(text, begin[inside], stop[inside], of[inside])
     index = FMIndex(symbol)
-    low, high = index.search(phrases.symbols, phrases.length)
+    low, high = index.search(phrases.text, phrases.start, phrases.length)
     many = high - low
     phrase = np.repeat(np.arange(len(many)), many)
     rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -237,8 +258,8 @@ def hits(text: np.ndarray, words_: tuple[np.ndarray, np.ndarray, np.ndarray], do
     np.add.at(change, at + phrases.length[phrase], -1)
     mask = np.cumsum(change[:-1]) > 0
     found = np.unique(np.stack([doc[at], phrase], 1), axis=0) if len(at) else nothing
-    each = np.array([len(phrases.items_of[p]) for p in found[:, 1]], np.int64)
-    pairs = np.stack([np.repeat(found[:, 0], each), np.concatenate([phrases.items_of[p] for p in found[:, 1]])], 1) if len(found) else nothing
+    items, each = phrases.items_of(found[:, 1])
+    pairs = np.stack([np.repeat(found[:, 0], each), items], 1)
     return mask, np.unique(pairs, axis=0)
 
 
@@ -277,6 +298,7 @@ def _shard(raws: list[bytes], phrases: Phrases, prior: list | None) -> list[tupl
 
 
 _FOUND = {"n_words": "long", "n_hit": "long", "items": "array<string>", "word_runs": "array<long>", "byte_spans": "array<long>"}
+_ARROW = {"long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
 
 
 def _free(columns: list[str]) -> dict[str, str]:
@@ -304,22 +326,21 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
 def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> tuple[DataFrame, dict[str, str]]:
     """The rows with n_words, n_hit, items (sorted ids), word_runs and byte_spans (flat lists of from, to), and the
     names that these five columns have, as the table may have such columns of its own."""
-    sc, out, name = docs.sparkSession.sparkContext, docs, _free(docs.columns)
+    sc, out, name, columns = docs.sparkSession.sparkContext, docs, _free(docs.columns), docs.columns
     for turn, items in enumerate(_blocks(benchmark, block)):
-        sent = sc.broadcast(Phrases(items))  # at most ``block`` bytes of text
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent, turn=turn) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                raws = utf8(pdf["text"])
-                found = []
-                for a, b in batches_of(raws, stretch):
-                    prior = list(zip(pdf[name["items"]][a:b], pdf[name["word_runs"]][a:b])) if turn else None
-                    found += _shard(raws[a:b], sent.value, prior)
-                yield pdf.assign(**{name[c]: [f[k] for f in found] for k, c in enumerate(_FOUND)})
-                release()
+        sent = sc.broadcast(Phrases(items))  # about four times ``block`` bytes
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.select(columns)
+                for a, b, raws in texts_in(own.column("text"), stretch, 1 << 20):
+                    prior = list(zip(*(batch.column(name[c]).slice(a, b - a).to_pylist() for c in ("items", "word_runs")))) if turn else None
+                    found = _shard(raws, sent.value, prior)
+                    more = [pa.array([f[k] for f in found], _ARROW[t]) for k, t in enumerate(_FOUND.values())]
+                    yield pa.RecordBatch.from_arrays([*own.slice(a, b - a).columns, *more], names=[*columns, *(name[c] for c in _FOUND)])
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInPandas(run, f"{types}, " + ", ".join(f"{name[c]} {t}" for c, t in _FOUND.items()))
+        out = out.mapInArrow(run, f"{types}, " + ", ".join(f"{name[c]} {t}" for c, t in _FOUND.items()))
     return out, name
 
 
@@ -335,27 +356,28 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, block: int = B
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents without their benchmark passages; n_chars, where there is one, is counted anew."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     columns = docs.columns
     found, name = find(docs, benchmark, block)
     at_spans = name["byte_spans"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for k, spans in enumerate(pdf[at_spans]):
-                if len(spans):
-                    raw, at, kept = utf8(texts[k : k + 1])[0], 0, []
-                    for a, b in zip(spans[::2], spans[1::2]):
-                        kept.append(raw[at:a])
-                        at = b
-                    texts[k] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
-            pdf = pdf.assign(text=texts)
-            if "n_chars" in pdf:
-                touched = pdf[at_spans].map(len) > 0
-                pdf["n_chars"] = pdf["n_chars"].where(~touched, pdf["text"].map(lambda t: len(t) if isinstance(t, str) else 0))
-            yield pdf[columns]
-
-    return found.mapInPandas(cut, docs.schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {c: batch.column(c) for c in columns}
+            spans, texts = batch.column(at_spans), own["text"].to_pylist()
+            touched = pc.greater(pc.list_value_length(spans), 0)
+            for k in np.flatnonzero(touched.to_numpy(zero_copy_only=False)):
+                raw, at, kept, runs = utf8(texts[k : k + 1])[0], 0, [], spans[k].as_py()
+                for a, b in zip(runs[::2], runs[1::2]):
+                    kept.append(raw[at:a])
+                    at = b
+                texts[k] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
+            own["text"] = pa.array(texts, own["text"].type)
+            if "n_chars" in own:
+                own["n_chars"] = pc.if_else(touched, pa.array([len(t or "") for t in texts]).cast(own["n_chars"].type), own["n_chars"])
+            yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
+
+    return found.mapInArrow(cut, docs.schema)
 
 
 ORACLE = r"""

@@ -31,7 +31,7 @@ def test_fm_index_finds_every_occurrence():
     index = dc.FMIndex(s)
     for n in (1, 2, 3, 5):
         p = rng.integers(1, 4, (50, n))
-        low, high = index.search(p, np.full(50, n))
+        low, high = index.search(p.ravel(), np.arange(50) * n, np.full(50, n))
         for k in range(50):
             want = [i for i in range(len(s) - n + 1) if (s[i : i + n] == p[k]).all()]
             assert sorted(index.locate(np.arange(low[k], high[k]))) == want
