@@ -19,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +54,19 @@ def unescape(text: str) -> str:
     return text
 
 
-def _segments(batches: Iterator[pd.DataFrame], template: dict) -> Iterator[pd.DataFrame]:
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows as Python values, whole numbers as such beside nulls too."""
+    return zip(*(batch.column(c).to_pylist() for c in names))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], template: dict) -> Iterator[pa.RecordBatch]:
     none, roles, other = object(), template["roles"], template["other"]
     conv, state, seq, valid, out = none, "", 0, True, []
 
@@ -68,9 +80,8 @@ def _segments(batches: Iterator[pd.DataFrame], template: dict) -> Iterator[pd.Da
         valid = valid and state in template["final"]
         emit(template["end"])
 
-    for pdf in batches:
-        for key, role, text in zip(pdf["conv_id"].astype(object).where(pdf["conv_id"].notna(), None), pdf["role"], pdf["text"]):
-            key = None if key is None else int(key)
+    for batch in batches:
+        for key, role, text in _rows(batch, "conv_id", "role", "text"):
             if key != conv:
                 if conv is not none:
                     finish()
@@ -88,11 +99,11 @@ def _segments(batches: Iterator[pd.DataFrame], template: dict) -> Iterator[pd.Da
                 emit(other["close"])
             state = role
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "seq", "text", "loss", "valid"]).astype({"conv_id": "Int64"})
+            yield _batch(out, SEGMENTS)
             out = []
     if conv is not none:
         finish()
-        yield pd.DataFrame(out, columns=["conv_id", "seq", "text", "loss", "valid"]).astype({"conv_id": "Int64"})
+        yield _batch(out, SEGMENTS)
 
 
 def format_conversations(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
@@ -100,7 +111,7 @@ def format_conversations(turns: DataFrame, template: dict = TEMPLATE) -> DataFra
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInPandas(lambda it: _segments(it, template), SEGMENTS)
+    return rows.mapInArrow(lambda it: _segments(it, template), SEGMENTS)
 
 
 class _Reader:
@@ -149,23 +160,21 @@ class _Reader:
         return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, bool(self.valid)
 
 
-def _digests(batches: Iterator[pd.DataFrame], template: dict) -> Iterator[pd.DataFrame]:
+def _digests(batches: Iterator[pa.RecordBatch], template: dict) -> Iterator[pa.RecordBatch]:
     none = object()
     conv, reader, out = none, _Reader(template), []
-    columns = [c.split()[0] for c in DIGESTS.split(", ")]
-    for pdf in batches:
-        for key, text, loss, valid in zip(pdf["conv_id"].astype(object).where(pdf["conv_id"].notna(), None), pdf["text"], pdf["loss"], pdf["valid"]):
-            key = None if key is None else int(key)
+    for batch in batches:
+        for key, text, loss, valid in _rows(batch, "conv_id", "text", "loss", "valid"):
             if key != conv:
                 if conv is not none:
                     out.append(reader.row(conv))
                 conv, reader = key, _Reader(template)
             reader.feed(text, loss, valid)
         if out:
-            yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
+            yield _batch(out, DIGESTS)
             out = []
     if conv is not none:
-        yield pd.DataFrame([reader.row(conv)], columns=columns).astype({"conv_id": "Int64"})
+        yield _batch([reader.row(conv)], DIGESTS)
 
 
 def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
@@ -173,7 +182,7 @@ def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 
     ``segments`` must come straight from format_conversations, whose partitions hold whole conversations in order.
     """
-    return segments.mapInPandas(lambda it: _digests(it, template), DIGESTS)
+    return segments.mapInArrow(lambda it: _digests(it, template), DIGESTS)
 
 
 def chat_digests(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
