@@ -22,7 +22,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +102,7 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n + 4
 
 
+PAGES = 256  # held as Python objects at a time
 _OUT = "warc_type string, record_id string, refers_to string, target_uri string, source_payload_digest string, source_http string, title string, n_links long, content_type string, content_length long, block_digest string, block string, record binary"
 
 
@@ -109,11 +110,12 @@ def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def _derive(batches: Iterator[pd.DataFrame], keep: list[str]) -> Iterator[pd.DataFrame]:
-    columns = [*keep, *(c.split()[0] for c in _OUT.split(", "))]
-    for pdf in batches:
+def _derive(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    made = {c: kinds[t] for c, t in (x.split() for x in _OUT.split(", "))}
+    for batch in (whole.slice(a, PAGES) for whole in batches for a in range(0, whole.num_rows, PAGES)):
         out = []
-        for r in pdf.to_dict("records"):
+        for r in batch.to_pylist():
             uri, date, http = _text(r["target_uri"]), _text(r["date"]), _text(r["http"])
             payload = bytes(r["payload"]) if r["payload"] is not None else b""
             source = _text(r["record_id"]) or urn("response", uri, date, http, hashlib.md5(payload).hexdigest())
@@ -133,7 +135,8 @@ def _derive(batches: Iterator[pd.DataFrame], keep: list[str]) -> Iterator[pd.Dat
                 raw = block.encode("utf-8", "surrogatepass")
                 head = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", uri), *came, *more, *kept, ("WARC-Block-Digest", digest(raw)), ("Content-Type", mime)]
                 out.append((*(r[c] for c in keep), kind, ids[kind], source, uri, _text(r["payload_digest"]), http, title, len(links), mime, len(raw), digest(raw), block, record(head, raw)[1]))
-        yield pd.DataFrame(out, columns=columns)
+        types = {**{c: batch.schema.field(c).type for c in keep}, **made}
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types.values())], names=list(types))
 
 
 def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -141,7 +144,7 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     needed = {"record_id": "string", "date": "string", "target_uri": "string", "http": "string", "payload": "binary", "payload_digest": "string", "block_digest": "string"}
     rows = responses.select(*[F.col(f"`{c}`") for c in keep], *[F.col(c).cast(t).alias(c) for c, t in needed.items()])
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)])
-    return rows.mapInPandas(lambda it: _derive(it, list(keep)), types + _OUT)
+    return rows.mapInArrow(lambda it: _derive(it, list(keep)), types + _OUT)
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
