@@ -18,11 +18,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Splits of a table that spread() still deals out: some GB at Spark's size of a split.
+SPREAD_SPLITS = 32
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan in as many partitions as there are cores, if it has fewer files: a file of one row group is one task
-    however many cores wait.  A table of many files is left as it is."""
+    """A plain scan of few splits in as many partitions as there are cores: a file of one row group is one task however
+    many cores wait.  A table of more splits, or of as many as there are cores, is left as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, SPREAD_SPLITS) else scan
 
 
 def ranked(df: DataFrame, by: str | Sequence[str], *order: Column | str, name: str = "rank") -> DataFrame:

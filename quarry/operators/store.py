@@ -36,10 +36,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Remove all that was written in this process; frames that still read it can no longer be computed."""
-    n = len(_written)
-    while _written:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def count() -> int:
+    """How many tables this process has written and not removed."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> list[str]:
+    """Remove the tables written in this process from the ``since``-th on, but for the last ``keep``; frames that still
+    read them can no longer be computed.  The paths that went."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return n
+    return gone
