@@ -146,20 +146,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), node, pa.array(total.astype(np.float64)), held], names=["doc_id", "node", "weight", "bands"])
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out, last = [], {}
-        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: dict[bytes, tuple] = {}
+    for batch in (whole.slice(a, 64) for whole in batches for a in range(0, whole.num_rows, 64)):
+        out = []
+        for r in batch.to_pylist():
             sets = []
-            for node, text in ((a, ta), (b, tb)):
+            for side in "ab":
+                node = r[side]
                 if node not in last:
                     if len(last) > 64:
                         last.clear()
-                    last[node] = weighted(utf8([text]))[:2]
+                    last[node] = weighted(utf8([r[f"text_{side}"]]))[:2]
                 sets.append(last[node])
             out.append(jaccard(*sets))
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
-        release()
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+    release()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -262,7 +264,7 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return saved(both.mapInPandas(_verify, "a binary, b binary, similarity double"), "verified")
+    return saved(both.mapInArrow(_verify, "a binary, b binary, similarity double"), "verified")
 
 
 def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:

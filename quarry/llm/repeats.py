@@ -2,7 +2,7 @@
 
 Every 50-byte window holds an anchor: the least-hashed of its 27 stretches of 24 bytes.  Equal windows hold equal
 anchors at equal places, so windows can be compared anchor by anchor, and only where an anchor stands in two
-documents.  The steps (a block is about 1 MB of whole documents; partial results are packed, one row for each
+documents.  The steps (a block is about 512 kB of whole documents; partial results are packed, one row for each
 block and part of the anchor hashes, merged within a block before they are dealt):
 
 1. blocks send the hashes of their anchors; parts answer which stand in two documents;
@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.suffixes import grouping
 from quarry.llm.util import bucketed, free, saved
-from quarry.llm.words import mix, prefix_sums, release, stretch, utf8
+from quarry.llm.words import mix, prefix_sums, release, stretch, texts_in
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM  # bytes of a window beside its anchor
-BLOCK = 1 << 20
-PART = 100_000  # anchors dealt together, about
+BLOCK = 1 << 19
+PART = 250_000  # anchors dealt together, about
 NO_ID = np.iinfo(np.int64).max
 _C = np.uint64(0xA0761D6478BD642F)
 _IDS = "block long, part long"
@@ -190,36 +190,19 @@ def blocks_of_text(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     size = int(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, ids, raws, others, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-
-        def row() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            if rest:
-                table = pa.Table.from_batches(others).combine_chunks()
-                with pa.ipc.new_stream(sink, table.schema) as out:
-                    out.write_table(table)
-            values = [(task << 32) | seq, np.array(ids, np.int64).tobytes(), np.cumsum([len(r) for r in raws], dtype=np.int64).tobytes(), b"".join(raws), np.array(absent, bool).tobytes(), sink.getvalue().to_pybytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 5])], names=["block", "ids", "ends", "text", "absent", "rest"])
-
-        absent: list[bool] = []
+        task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            doc, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            other, from_ = batch.select(rest) if rest else None, 0
-            for i, (d, t) in enumerate(zip(doc, texts)):
-                raw = utf8([t])[0]
-                ids.append(NO_ID if d is None else d)
-                raws.append(raw)
-                absent.append(t is None)
-                held += len(raw) + 16
-                if held >= block:
-                    if rest:
-                        others.append(other.slice(from_, i + 1 - from_))
-                    yield row()
-                    seq, ids, raws, absent, others, held, from_ = seq + 1, [], [], [], [], 0, i + 1
-            if rest and from_ < len(doc):
-                others.append(other.slice(from_))
-        if ids:
-            yield row()
+            ids = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy()
+            absent = pc.is_null(batch.column("text")).to_numpy(zero_copy_only=False)
+            for a, b, raws in texts_in(batch.column("text"), block, 1 << 20):  # a stretch of texts is a block
+                sink = pa.BufferOutputStream()
+                if rest:
+                    other = pa.Table.from_batches([batch.select(rest).slice(a, b - a)]).combine_chunks()
+                    with pa.ipc.new_stream(sink, other.schema) as out:
+                        out.write_table(other)
+                values = [(task << 32) | seq, ids[a:b].tobytes(), np.cumsum([len(r) for r in raws], dtype=np.int64).tobytes(), b"".join(raws), absent[a:b].tobytes(), sink.getvalue().to_pybytes()]
+                seq += 1
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 5])], names=["block", "ids", "ends", "text", "absent", "rest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(f"`{c}`") for c in rest])
     packed = rows.mapInArrow(pack, "block long, ids binary, ends binary, text binary, absent binary, rest binary")

@@ -31,12 +31,14 @@ def bucketed(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
     return spark.table(name)
 
 
-def forget(spark: SparkSession) -> int:
-    """Remove all that saved() and bucketed() wrote in this process; frames that still read it can no longer be
-    computed.  How many tables went."""
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    return store.forget(spark)
+def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Remove what saved() and bucketed() wrote in this process (from the ``since``-th table on, see store.count(), but
+    for the last ``keep``); frames that still read it can no longer be computed.  How many tables went."""
+    gone = store.forget(spark, since, keep)
+    for name in [t for t in _tables if any(p.rpartition("/")[2].startswith(t) for p in gone)]:
+        _tables.remove(name)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(gone)
 
 
 def only(df: DataFrame, **columns) -> DataFrame:
@@ -52,7 +54,14 @@ def free(columns: list[str], *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """The frame (already written: it is counted), marked for broadcast if it has few enough rows.  Meant for rows of
-    ids, digests and numbers (at most about 100 bytes each), so that a broadcast stays under about 50 MB."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes up to which a side may be broadcast, and what a row takes besides its values.
+BROADCAST_BYTES, _ROW_BYTES = 32 << 20, 40
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame (already written: it is measured), marked for broadcast if its rows take few enough bytes in memory."""
+    size = F.lit(_ROW_BYTES)
+    for f in df.schema.fields:
+        wide = f.dataType.typeName() in ("binary", "string")
+        size = size + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if wide else F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
