@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarry.functions import text, tree
+from quarry.operators.lambdamart import LambdaMART
 from quarry.operators import annotate, answer, dense, evaluate, expand, fusion, graph, learn, lexical, prepare, rerank
 from quarry.sources import config, readers, sinks
 
@@ -146,7 +147,7 @@ def test_learning(spark):
     data = learn.weighted(learn.labelled(df.drop("relevance"), qrels, ["a", "b"]))
     run = rerank.blend(learn.scored(learn.pointwise(data, ["a", "b"]), data), 0.0).withColumn("rank", F.col("new_rank"))
     assert evaluate.metrics(run, qrels, [1]).first()["mrr"] == 1.0
-    lists = learn.ListwiseTrees(["a", "b"], rounds=2, least=1).fit(data).transform(data)
+    lists = LambdaMART(["a", "b"], trees=4, rate=0.3, least=1).fit(data).transform(data)
     assert evaluate.metrics(rerank.blend(lists, 0.0).withColumn("rank", F.col("new_rank")), qrels, [1]).first()["mrr"] == 1.0
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators.lambdamart import LambdaMART
 from quarry.operators import annotate, evaluate, features, graph, learn, lexical, prepare, rerank, store
 from quarry.operators.frames import grouped, numbered, running
 from quarry.sources import readers, sinks
@@ -72,7 +73,7 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
 def test_listwise_trees_learn_from_rows_behind_rank_fifty(spark):
     rows = [("q%d" % (i % 4), f"p{i}", i // 4 + 1, float(i // 4 > 55 and i % 8 < 4), float(i % 8 < 4 and i // 4 > 55)) for i in range(320)]
     df = spark.createDataFrame(rows, "question_id string, passage_id string, rank int, label double, x double")
-    got = learn.ListwiseTrees(["x"], rounds=1, least=1).fit(df).transform(df).groupBy("x").agg(F.avg("model_score").alias("m")).collect()
+    got = LambdaMART(["x"], trees=2, rate=0.3, least=1).fit(df).transform(df).groupBy("x").agg(F.avg("model_score").alias("m")).collect()
     score = {r["x"]: r["m"] for r in got}
     assert score[1.0] > score[0.0]
 
