@@ -247,6 +247,7 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     twice = np.unique(np.concatenate([s[1:][s[1:] == s[:-1]], key[flag == 1]]))
     hit = np.split(np.isin(key, twice), np.cumsum([len(x) for x in each])[:-1])
     keep = [h.any() for h in hit]
+    release()
     return pd.DataFrame({"block": pdf["block"][keep], "part": pdf["part"][keep], "bits": [np.packbits(h).tobytes() for h, k in zip(hit, keep) if k]})
 
 
@@ -271,6 +272,8 @@ def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     ask[by] = many[of_key] > 1
     ask &= doc == least
     cuts = np.cumsum([len(x) for x in each])[:-1]
+    del by, k, f, of_key
+    release()
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "least": [x.tobytes() for x in np.split(least, cuts)], "ask": [np.packbits(x).tobytes() for x in np.split(ask, cuts)]})
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import store
 from quarry.operators.frames import spread
-from quarry.operators.store import fresh, saved
+from quarry.operators.store import fresh
 
 __all__ = ["bounded", "bucketed", "forget", "free", "only", "saved", "table"]
 
@@ -19,6 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(scan) if name in ("documents", "pages") else scan  # their rows are expensive
 
 
+#: Rows of an Arrow batch while tables are written here: rows are texts, or blocks of them.
+ARROW_ROWS = 1000
+_ROWS_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ARROW_ROWS rows for what is run inside; the session's setting comes back after it."""
+    own = spark.conf.get(_ROWS_OF_A_BATCH)
+    spark.conf.set(_ROWS_OF_A_BATCH, str(min(ARROW_ROWS, int(own)) if int(own) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_OF_A_BATCH, own)
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """store.saved(), in short Arrow batches."""
+    with short_batches(df.sparkSession):
+        return store.saved(df, label)
+
+
 _tables: list[str] = []  # in the catalog
 
 
@@ -27,7 +51,8 @@ def bucketed(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
     spark = df.sparkSession
     name = f"quarry_{label}_{uuid.uuid4().hex}"
     _tables.append(name)
-    df.write.bucketBy(buckets, column).option("path", fresh(spark, name)).saveAsTable(name)
+    with short_batches(spark):
+        df.write.bucketBy(buckets, column).option("path", fresh(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
