@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions import text
+from quarry.operators import automaton
 from quarry.operators.frames import ranked, small, top
 
 
@@ -56,6 +57,15 @@ def greedy(found: DataFrame, key: str, most: int = 128, once: bool = False) -> D
     return kept.select(key, "m.entity_id", "m.canonical", "m.entity_type", F.col("m.start").alias("start_token"), (-F.col("m.e")).alias("end_token"))
 
 
+def matches(corpus: DataFrame, dictionary: DataFrame, key: str = "passage_id", most: int = 128, once: bool = False) -> DataFrame:
+    """greedy() over spans(): by an automaton in one pass over the texts, unless the dictionary has too many entries to
+    be sent to the tasks; then by the join (JN-13, JN-14)."""
+    if dictionary.limit(automaton.ENTRIES + 1).count() > automaton.ENTRIES:
+        return greedy(spans(corpus, dictionary, key), key, most, once)
+    rows = corpus.select(key, F.transform(text.entity_tokens(F.col("text")), lambda t: F.lower(t)).alias("ts"))
+    return automaton.matched(rows, dictionary, key, most, once)
+
+
 def contained_terms(questions: DataFrame, terms: DataFrame, most: int = 32) -> DataFrame:
     """Terms (term_id, normalized) that a question contains, as a phrase or with all of its two to five tokens.
 

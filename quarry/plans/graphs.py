@@ -13,6 +13,7 @@ from quarry.functions import lexicon as lx
 from quarry.functions import numeric
 from quarry.operators import annotate, answer, expand, graph, lexical, prepare, rerank
 from quarry.operators.frames import ranked
+from quarry.operators.store import saved
 from quarry.plans import features, sql, texts
 from quarry.plans.retrieval import _round
 from quarry.plans.tables import candidates, concept_bags, corpus, passage_entities, qrels, question_concepts, question_entities, questions, table
@@ -195,7 +196,7 @@ def concept_dictionary(spark, d):
 
 def dictionary_matches(spark, d):
     c = corpus(spark, d)
-    return annotate.greedy(annotate.spans(c, _dictionary(c)), "passage_id")
+    return annotate.matches(c, saved(_dictionary(c), "dictionary"))
 
 
 def contained_terms(spark, d):
