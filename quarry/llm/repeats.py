@@ -44,7 +44,8 @@ from quarry.llm.words import mix, prefix_sums, release, stretch, texts_in
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM  # bytes of a window beside its anchor
 BLOCK = 1 << 19
-PART = 250_000  # anchors dealt together, about
+PART = 150_000  # anchors dealt together, about
+TOGETHER = 16_000  # fragments of whole anchors in one suffix array, about
 NO_ID = np.iinfo(np.int64).max
 _C = np.uint64(0xA0761D6478BD642F)
 _IDS = "block long, part long"
@@ -387,7 +388,19 @@ def equal_windows(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.
 def _masks(pdf: pd.DataFrame) -> pd.DataFrame:
     each = [_unpack6(x) for x in pdf["keys"]]
     numbers = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    mask = equal_windows(np.concatenate(each), numbers("docs", np.int64), numbers("left", np.uint8).astype(np.int64), numbers("right", np.uint8).astype(np.int64), numbers("sides", np.uint8))
+    key, doc, left, right, sides = np.concatenate(each), numbers("docs", np.int64), numbers("left", np.uint8).astype(np.int64), numbers("right", np.uint8).astype(np.int64), numbers("sides", np.uint8)
+    mask, size = np.zeros(len(key), np.uint32), left + right
+    begin = np.cumsum(size) - size
+    by = np.argsort(key, kind="stable")
+    bound = np.append(np.flatnonzero(np.diff(key[by])) + 1, len(key))  # where anchors end
+    at = 0
+    while at < len(key):  # anchors are apart from each other: some at a time
+        to = int(bound[min(np.searchsorted(bound, at + TOGETHER), len(bound) - 1)])
+        on = by[at:to]
+        n = size[on]
+        bytes_of = sides[np.repeat(begin[on] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        mask[on] = equal_windows(key[on], doc[on], left[on], right[on], bytes_of)
+        at = to
     cuts = np.cumsum([len(x) for x in each])[:-1]
     release()
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "masks": [x.tobytes() for x in np.split(mask, cuts)]})
