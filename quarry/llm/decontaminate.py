@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import lowered, texts_in, utf8, words
+from quarry.llm.words import lowered, release, texts_in, utf8, words
 
 WINDOW = 10
 BLOCK = 8 << 20
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 SAMPLE = 8
 
 
@@ -362,7 +362,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK)
     at_spans = name["byte_spans"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
             own = {c: batch.column(c) for c in columns}
             spans, texts = batch.column(at_spans), own["text"].to_pylist()
             touched = pc.greater(pc.list_value_length(spans), 0)
@@ -376,6 +376,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK)
             if "n_chars" in own:
                 own["n_chars"] = pc.if_else(touched, pa.array([len(t or "") for t in texts]).cast(own["n_chars"].type), own["n_chars"])
             yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
+        release()
 
     return found.mapInArrow(cut, docs.schema)
 

@@ -3,7 +3,9 @@
 Per stretch of documents (about ``STRETCH`` characters): the distinct words are exploded into substrings of bounded
 length, the substrings are equi-joined to the piece table, and the matching edges are grouped by word.  Each
 group is then folded with Spark's higher-order ``aggregate``, and the words' pieces are put back in the documents'
-order.  A stretch travels as one row, so nothing is shuffled and a word is folded once in a stretch.
+order.  Exploding, joining and grouping are done on column arrays inside Arrow batches, not on rows of tables (both
+forms with rows were built and measured, see README).  A stretch travels as one row, so nothing is shuffled and a word
+is folded once in a stretch.
 
 What the fold does depends on the model.  A unigram model takes the path of the highest sum of scores (Viterbi,
 viterbi()).  For a BPE model that path is not the model's encoding; its edges are folded in the order of the
@@ -402,7 +404,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def report(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
+def report(docs: DataFrame, model: bytes, with_ids: bool = False, stretch: int = STRETCH) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_chars, round_trip of every row, and,
     if asked for, ids."""
     kinds = {"n_pieces": pa.int64(), "ids_sha256": pa.string(), "decoded_chars": pa.int64(), "round_trip": pa.bool_()}
@@ -415,4 +417,4 @@ def report(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
             out.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), len(text), hashlib.md5(text.encode()).digest() == md5.as_py()))
         return pa.RecordBatch.from_arrays([doc, *[pa.array(v, t) for v, t in zip(zip(*out), kinds.values())], *([lists] if with_ids else [])], names=["doc_id", *kinds, *(["ids"] if with_ids else [])])
 
-    return _encoded(docs, model, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids, finish)
+    return _encoded(docs, model, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids, finish, stretch)
