@@ -32,7 +32,7 @@ from quarry.llm.words import lowered, release, texts_in, utf8, words
 
 WINDOW = 10
 BLOCK = 8 << 20
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 SAMPLE = 8
 
 
@@ -338,6 +338,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int
                     found = _shard(raws, sent.value, prior)
                     more = [pa.array([f[k] for f in found], _ARROW[t]) for k, t in enumerate(_FOUND.values())]
                     yield pa.RecordBatch.from_arrays([*own.slice(a, b - a).columns, *more], names=[*columns, *(name[c] for c in _FOUND)])
+                    release()
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         out = out.mapInArrow(run, f"{types}, " + ", ".join(f"{name[c]} {t}" for c, t in _FOUND.items()))
