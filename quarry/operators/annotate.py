@@ -9,25 +9,57 @@ from quarry.functions import lexicon as lx
 from quarry.functions import text
 from quarry.operators import automaton
 from quarry.operators.frames import ranked, small, top
+from quarry.operators.store import saved
+
+
+STRETCH = 1024  # tokens in whose n-grams a row looks at a time
+
+
+def _stretches(corpus: DataFrame, key: str, longest: int) -> DataFrame:
+    """key, w (tokens of a stretch and, behind it, what its last n-grams need), n (tokens that n-grams start at),
+    whole (whether it is the only stretch of its text)."""
+    held = corpus.select(key, text.entity_tokens(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    cut = held.select(key, "ts", F.explode(F.sequence(F.lit(1), F.size("ts"), F.lit(STRETCH))).alias("i"))
+    return cut.select(key, F.slice("ts", F.col("i"), STRETCH + longest - 1).alias("w"), F.least(F.size("ts") - F.col("i") + 1, F.lit(STRETCH)).alias("n"), (F.size("ts") <= STRETCH).alias("whole"))
+
+
+def _grams(longest: int, valid) -> Column:
+    """All valid n-grams that start in a stretch."""
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda k: F.slice(F.col("w"), i, k))
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.col("n")), at)), lambda g: valid(g))
+
+
+def _document_counts(stretches: DataFrame, key: str, longest: int, valid) -> DataFrame:
+    """canonical, df: in how many texts a name stands.  Of a text in one stretch the distinct names are taken where it
+    lies; only names of longer texts are made distinct by a shuffle."""
+    names = F.array_distinct(F.transform(_grams(longest, valid), lambda g: text.concept_name(F.array_join(g, " "))))
+    short = stretches.where("whole").select(F.explode(names).alias("canonical"))
+    long = stretches.where("NOT whole").select(key, F.explode(names).alias("canonical")).distinct().select("canonical")
+    return short.unionByName(long).where("canonical <> ''").groupBy("canonical").agg(F.count("*").alias("df"))
 
 
 def build_dictionary(corpus: DataFrame, key: str = "passage_id", least: int = 3, most: int = 50_000, longest: int = 5, required: DataFrame | None = None, valid=text.valid_phrase) -> DataFrame:
-    """entity_id, canonical, surface_forms (5 at most), document_frequency, entity_type (AGG-08)."""
-    held = corpus.select(key, text.entity_tokens(F.col("text")).alias("ts"))
-    pieces = held.select(key, "ts", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ts"), F.lit(1)))).alias("i"), F.size("ts").alias("n"))
-    pieces = pieces.select(key, F.slice("ts", F.col("i"), longest).alias("w")).where(F.size("w") > 0)  # a window at each place
-    grams = pieces.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.slice(F.col("w"), 1, k))).alias("g")).where(valid(F.col("g")))
-    found = grams.select(key, F.array_join("g", " ").alias("surface")).withColumn("canonical", text.concept_name(F.col("surface"))).where("canonical <> ''")
-    counts = found.groupBy("canonical").agg(F.countDistinct(key).alias("df")).withColumn("req", F.lit(False))
-    surfaces = found.groupBy("canonical", "surface").agg(F.count("*").alias("n"))
+    """entity_id, canonical, surface_forms (5 at most), document_frequency, entity_type (AGG-08).  ``key`` names a row.
+
+    Names are counted first, one for each text they stand in: a text's repeats go before anything is shuffled, and tasks
+    hand on sums.  Spellings are counted in a second pass, of the names that are kept only.
+    """
+    extra = None
     if required is not None:
         extra = required.select(text.concept_name(F.col("term")).alias("canonical"), F.col("term").alias("surface")).where("canonical <> ''")
-        surfaces = surfaces.unionByName(extra.withColumn("n", F.lit(1).cast("long"))).groupBy("canonical", "surface").agg(F.sum("n").alias("n"))
+    counts = _document_counts(_stretches(corpus, key, longest), key, longest, valid).withColumn("req", F.lit(False))
+    if extra is not None:
         counts = counts.unionByName(extra.select("canonical", F.lit(least).cast("long").alias("df"), F.lit(True).alias("req"))).groupBy("canonical").agg(F.max("df").alias("df"), F.max("req").alias("req"))
     kept = counts.where(F.col("req") | ((F.col("df") >= least) & (F.length("canonical") >= 3) & ~F.col("canonical").isin(lx.STOPWORDS)))
-    best = kept.orderBy(F.desc("req"), F.desc("df"), "canonical").limit(most)  # the dictionary is bounded by ``most``
+    best = saved(kept.orderBy(F.desc("req"), F.desc("df"), "canonical").limit(most), "dictionary-names")  # bounded by ``most``
+    grams = _stretches(corpus, key, longest).select(F.explode(_grams(longest, valid)).alias("g"))
+    found = grams.select(F.array_join("g", " ").alias("surface")).withColumn("canonical", text.concept_name(F.col("surface")))
+    surfaces = found.join(small(best.select("canonical")), "canonical", "left_semi").groupBy("canonical", "surface").agg(F.count("*").alias("n"))
+    if extra is not None:
+        wanted = extra.join(small(best.select("canonical")), "canonical", "left_semi")
+        surfaces = surfaces.unionByName(wanted.withColumn("n", F.lit(1).cast("long"))).groupBy("canonical", "surface").agg(F.sum("n").alias("n"))
     numbered = ranked(best.withColumn("_s", F.lit(0)), "_s", F.desc("df"), "canonical", name="i")
-    forms = top(surfaces.join(small(best.select("canonical")), "canonical", "left_semi"), "canonical", 5, F.desc("n"), "surface", name="r")
+    forms = top(surfaces, "canonical", 5, F.desc("n"), "surface", name="r")
     forms = forms.groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "surface"))), lambda x: x["surface"]).alias("surface_forms"))
     rows = numbered.join(forms, "canonical", "left").withColumn("surface_forms", F.coalesce("surface_forms", F.array().cast("array<string>")))
     return rows.select(F.format_string("E%07d", F.col("i") - 1).alias("entity_id"), "canonical", "surface_forms", F.col("df").alias("document_frequency"), text.concept_type(F.col("canonical"), F.col("surface_forms")).alias("entity_type"))

@@ -1,4 +1,4 @@
-"""Dense retrieval: exact inner products in Arrow batches against blocks of queries."""
+"""Dense retrieval: exact inner products of blocks of passages and blocks of queries."""
 
 from __future__ import annotations
 
@@ -6,52 +6,81 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.frames import small, top
+from quarry.operators.store import saved
+
+BLOCK = 1024  # vectors in a block of queries
+PASSAGES = 2048  # vectors in a block of passages
+SENT = 32 << 20  # bytes of packed queries that may be broadcast
+_PACKED = "lane int, ids array<string>, vectors binary"
+
+
+def packed(rows: DataFrame, key: str, block: int, lanes: int = 1) -> DataFrame:
+    """lane, ids, vectors: a partition's rows (key, embedding) as blocks of at most ``block`` vectors of doubles, row by
+    row.  Nothing is shuffled.  Rows without a vector go; vectors of different lengths are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                ids, e = batch.column(0).slice(at, block), batch.column(1).slice(at, block)
+                values = e.flatten()
+                if len(set(np.diff(e.offsets.to_numpy()).tolist())) > 1:
+                    raise ValueError("the vectors differ in length")
+                row = [[lane % lanes], [ids.to_pylist()], [values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.list_(pa.string())), pa.array(row[2], pa.binary())], ["lane", "ids", "vectors"])
+                lane += 1
+
+    kept = rows.select(F.col(key).cast("string"), F.col("embedding").cast("array<double>").alias("e")).where("e IS NOT NULL")
+    return kept.mapInArrow(run, _PACKED)
+
+
+def _best(k: int, skip_same: bool):
+    """The k best passages of each query in every pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, q, ps, p in zip(*(batch.column(i) for i in range(4))):
+                qids, pids = np.array(qs.as_py(), dtype=object), np.array(ps.as_py(), dtype=object)
+                if not len(qids) or not len(pids):
+                    continue
+                order = np.argsort(pids, kind="stable")
+                pids = pids[order]
+                vectors = np.frombuffer(p.as_buffer(), np.float64).reshape(len(pids), -1)[order]
+                scores = np.round(np.frombuffer(q.as_buffer(), np.float64).reshape(len(qids), -1) @ vectors.T, 9)
+                if skip_same:
+                    scores = np.where(pids == qids[:, None], -np.inf, scores)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, best, 1).ravel()
+                ok = found > -np.inf
+                columns = [pa.array(np.repeat(qids, best.shape[1])[ok], pa.string()), pa.array(pids[best].ravel()[ok], pa.string()), pa.array(found[ok])]
+                yield pa.RecordBatch.from_arrays(columns, ["question_id", "passage_id", "score"])
 
-BLOCK = 4096  # queries held by an executor at a time
+    return run
 
 
-def search(passages: DataFrame, queries: DataFrame, k: int = 100, block: int = BLOCK, retriever: str = "dense", skip_same: bool = False) -> DataFrame:
+def search(passages: DataFrame, queries: DataFrame, k: int = 100, block: int = BLOCK, retriever: str = "dense", skip_same: bool = False, sent: int = SENT) -> DataFrame:
     """Run of the k best passages (passage_id, embedding) of each query (question_id, embedding) (JN-02, TOP-02).
 
-    Queries are taken in blocks, each a broadcast of at most ``block`` vectors; a batch of passages hands on its k
-    best for each query.  Scores are sums of doubles, rounded to 9 places for ranking; ties go to the smaller id.
+    Both sides are packed into blocks of vectors where they lie and meet by an equi-join on a lane; every pair of blocks
+    hands on the k best of each query.  Queries are written once.  Up to ``sent`` bytes of them are broadcast in one
+    lane, so the passages are read once and not shuffled.  More queries are dealt to as many lanes as there are shuffle
+    partitions: a lane holds its share of the passages' blocks and all blocks of queries, streamed.  Scores are sums of
+    doubles, rounded to 9 places for ranking; ties go to the smaller id.
     """
     spark = passages.sparkSession
-    rows = passages.select(F.col("passage_id").cast("string").alias("passage_id"), F.col("embedding").cast("array<double>").alias("e")).where("e IS NOT NULL")
-    asked = queries.select(F.col("question_id").cast("string").alias("question_id"), F.col("embedding").cast("array<double>").alias("e")).where("e IS NOT NULL")
-    held, out = [], None
-
-    def near(ids: list[str], matrix: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids, dtype=object), matrix))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qs, q = sent.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                pids = pdf["passage_id"].to_numpy()
-                order = np.argsort(pids, kind="stable")
-                pids, scores = pids[order], np.round(q @ np.stack(pdf["e"].to_numpy()).T, 9)[:, order]
-                if skip_same:
-                    scores = np.where(pids == qs[:, None], -np.inf, scores)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                found = pd.DataFrame({"question_id": np.repeat(qs, best.shape[1]), "passage_id": pids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
-                yield found[found["score"] > -np.inf]
-
-        return rows.mapInPandas(run, "question_id string, passage_id string, score double")
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            part = near([h[0] for h in held], np.array([h[1] for h in held]))
-            out, held = part if out is None else out.unionByName(part), []
-    if held or out is None:
-        part = near([h[0] for h in held], np.array([h[1] for h in held]).reshape(len(held), -1)) if held else spark.createDataFrame([], "question_id string, passage_id string, score double")
-        out = part if out is None else out.unionByName(part)
+    asked = saved(packed(queries, "question_id", block), "queries").select("lane", F.col("ids").alias("question_ids"), F.col("vectors").alias("asked"))
+    if (asked.agg(F.sum(F.length("asked"))).first()[0] or 0) <= sent:
+        pairs = packed(passages, "passage_id", PASSAGES).join(F.broadcast(asked), "lane")
+    else:
+        lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        held = saved(packed(passages, "passage_id", PASSAGES, lanes), "passages")
+        pairs = held.join(asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), "lane")
+    out = pairs.select("question_ids", "asked", "ids", "vectors").mapInArrow(_best(k, skip_same), "question_id string, passage_id string, score double")
     best = top(out, "question_id", k, F.desc("score"), "passage_id")
     return best.select("question_id", "passage_id", "rank", "score", F.lit(retriever).alias("retriever"))
 

@@ -136,9 +136,23 @@ def first_gold(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def rank_diagnostics(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Candidate hit rate, mean gold candidates, upper median of first gold positions (AGG-19)."""
-    rows = first_gold(run, qrels)
-    firsts = F.array_sort(F.collect_list("first"))
-    return rows.agg(F.count("*").alias("n_questions"), F.avg(F.col("first").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce("found", F.lit(0)).cast("double")).alias("mean_gold"), F.get(firsts, F.floor(F.size(firsts) / 2).cast("int")).alias("median_first"))
+    rows = saved(first_gold(run, qrels), "first-gold")
+    found = F.coalesce("found", F.lit(0)).cast("double")
+    got = rows.agg(F.count("*").alias("n_questions"), F.avg(F.col("first").isNotNull().cast("double")).alias("hit_rate"), F.avg(found).alias("mean_gold"))
+    return got.crossJoin(order_statistic(rows, "first", 0.5, "median_first"))  # one row each
+
+
+def order_statistic(rows: DataFrame, column: str, share: float, name: str) -> DataFrame:
+    """One row: the non-null value at place floor(share * n), from 0, in ascending order; null if there is none.
+
+    Exact: equal values are counted first, and sums run over the counted values range by range (``running``), so no task
+    or array holds all rows.  ``share`` is 0 or more and below 1.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    before = running(counted, [], ["value"], "n", "before")
+    place = F.floor(F.lit(share) * F.col("total"))
+    held = before.crossJoin(F.broadcast(rows.agg(F.count(column).alias("total"))))  # one row
+    return held.agg(F.min(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("value"))).alias(name))
 
 
 def rank_bucket(rank: Column) -> Column:
