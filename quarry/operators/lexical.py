@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import numeric, text
@@ -72,22 +72,59 @@ def score(hits: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame, k:
     return best.select("question_id", "passage_id", "rank", "score", F.lit(retriever).alias("retriever"))
 
 
+def _bucket(term, buckets: int):
+    return F.pmod(F.hash(term), F.lit(buckets))
+
+
+def _impact(tf, dl, avgdl: float, k1: float, b: float):
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest(dl, F.lit(1)) / avgdl))
+
+
 def build_index(corpus: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write the index as Parquet tables, postings spread by term (SRC-18)."""
-    rows = postings(corpus)
-    rows.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    spark = corpus.sparkSession
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-    corpus_statistics(corpus).write.mode("overwrite").parquet(f"{path}/statistics")
+    """Write the index as Parquet tables (SRC-18): ``postings`` and ``terms`` in a folder for each bucket of terms, and
+    ``statistics``.  A term's row has its df and, for bounds under any k1 and b, its largest tf and shortest passage.
+    Spark cuts a bucket that a common term fills into files of its usual size."""
+    rows = postings(corpus).withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket")
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    held = corpus.sparkSession.read.parquet(f"{path}/postings")
+    terms = held.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("dl").alias("shortest"))
+    terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    corpus_statistics(corpus).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def indexed(spark: SparkSession, path: str, name: str, terms: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``postings`` or ``terms`` of the given terms: files of other buckets are not read."""
+    wanted = terms.select("term").distinct()
+    among = [r[0] for r in wanted.select(_bucket("term", buckets)).distinct().collect()]  # at most ``buckets``
+    return spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(among)).drop("bucket").join(small(wanted), "term", "left_semi")
 
 
 def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int = 100, k1: float = K1, b: float = B) -> DataFrame:
-    """search() from a written index; only the postings of asked terms are kept."""
-    terms = question_terms(questions)
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    wanted = small(terms.select("term").distinct())
-    hits = read("postings").join(wanted, "term", "left_semi").repartition("passage_id")
-    return score(hits, read("df").join(wanted, "term", "left_semi"), read("statistics"), terms, k, k1, b)
+    """search() from a written index, with bounds (maxscore).
+
+    A question's bar is the largest k-th best contribution of one of its terms: k passages reach it.  Its terms of the
+    lowest ceilings whose ceilings together stay below the bar cannot lift a passage into the first k alone, so
+    candidates come from the other terms' postings, and of those terms only the candidates' postings are summed.
+    """
+    n, avgdl, buckets = spark.read.parquet(f"{path}/statistics").select("n", "avgdl", "buckets").first()
+    avgdl = avgdl or 1.0
+    terms = saved(question_terms(questions), "question-terms")
+    known = terms.join(indexed(spark, path, "terms", terms, buckets), "term").withColumn("w", F.col("qtf") * numeric.bm25_idf(F.col("df"), F.lit(n)))
+    asked = saved(known.select("question_id", "term", "w", (F.col("w") * _impact(F.col("most"), F.col("shortest"), avgdl, k1, b)).alias("ceiling")), "asked")
+    hits = indexed(spark, path, "postings", asked, buckets)
+    part = (F.col("w") * _impact(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("part")
+    kth = top(hits.join(small(asked.select("question_id", "term", "w")), "term").select("question_id", "term", part), ["question_id", "term"], k, F.desc("part")).where(F.col("rank") == k)
+    bars = kth.groupBy("question_id").agg(F.max("part").alias("bar"))
+    low = Window.partitionBy("question_id").orderBy("ceiling", "term").rowsBetween(Window.unboundedPreceding, 0)
+    # scores are ranked to 9 places, so a term just below the bar still counts as above
+    above = F.col("bar").isNull() | (F.sum("ceiling").over(low) + 1e-6 >= F.col("bar"))
+    marked = saved(asked.join(bars, "question_id", "left").withColumn("essential", above).select("question_id", "term", "w", "essential"), "marked")
+    parts = lambda essential: hits.join(small(marked.where(F.col("essential") == essential)), "term").select("question_id", "passage_id", part)
+    first = saved(parts(True), "essential")
+    rest = parts(False).join(small(first.select("question_id", "passage_id").distinct()), ["question_id", "passage_id"], "left_semi")
+    scored = first.unionByName(rest).groupBy("question_id", "passage_id").agg(F.sum("part").alias("score"))
+    best = top(scored, "question_id", k, F.desc(F.round("score", 9)), "passage_id")
+    return best.select("question_id", "passage_id", "rank", "score", F.lit("bm25").alias("retriever"))
 
 
 def fielded(corpus: DataFrame, title_weight: int = 3, concept_weight: int = 2, major_weight: int = 4, most_concepts: int = 24) -> DataFrame:
