@@ -82,16 +82,19 @@ def text_answers(spark, d):
 
 
 def answer_parsing(spark, d):
-    replies = [
-        (1, '<think>{"answer": "no"}</think> {"answer": " Yes ", "citations": ["P1", " P12 ", "x"], "rationale": " because "}'),
-        (2, 'I say NO. {"citations": "P3 and P4"}'),
-        (3, "maybe"),
-        (4, '{"answer": "perhaps", "rationale": "yes it is"}'),
-        (5, ""),
-    ]
+    """Replies that hold the assistants' texts in five shapes, parsed (FN-32)."""
+    said, shape = F.coalesce("text", F.lit("")), (F.col("conv_id") + F.col("turn")) % 5
+    cited = F.array(F.lit("P1"), F.concat(F.lit(" P"), F.col("turn")), F.lit("x")).alias("citations")
+    reply = (
+        F.when(shape == 0, F.concat(F.lit('<think>{"answer": "no"}</think> '), F.to_json(F.struct(F.lit(" Yes ").alias("answer"), cited, said.alias("rationale")))))
+        .when(shape == 1, F.concat(F.lit('I say NO. {"citations": "P3 and P'), F.col("turn"), F.lit('"}')))
+        .when(shape == 2, said)
+        .when(shape == 3, F.to_json(F.struct(F.lit("perhaps").alias("answer"), said.alias("rationale"))))
+        .otherwise(F.lit(""))
+    )
+    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", reply.alias("reply"))
     a = text.parsed_answer(F.col("reply"))
-    rows = spark.createDataFrame(replies, "id int, reply string")
-    return rows.select("id", a["answer"].alias("answer"), F.array_join(a["citations"], "|").alias("citations"), a["rationale"].alias("rationale"), F.round(text.consistency(F.col("reply"), F.lit("because yes it is the answer")), 6).alias("consistency"))
+    return rows.select("conv_id", "turn", a["answer"].alias("answer"), F.array_join(a["citations"], "|").alias("citations"), a["rationale"].alias("rationale"))
 
 
 def number_functions(spark, d):
@@ -163,6 +166,13 @@ v AS (SELECT id, array_to_string(g, ' ') AS surface FROM g WHERE CASE WHEN len(g
 a AS (SELECT {_concept('surface')} AS canonical, count(DISTINCT id) AS n_records, count(*) AS n_mentions, list_sort(list(DISTINCT surface)) AS s FROM v GROUP BY 1)
 SELECT canonical, n_records, n_mentions, array_to_string(s, '|') AS surfaces, CASE {" ".join(f"WHEN list_has_any(string_split(canonical, ' '), {_list(h)}) THEN '{n}'" for n, h in lx.TYPE_HINTS)}
  WHEN len(list_filter(s, lambda t: {_GENE})) > 0 THEN 'gene_or_protein' ELSE 'biomedical_concept' END AS entity_type FROM a""",
+    "answer_parsing": r"""WITH r AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN concat('<think>{"answer": "no"}</think> ', CAST(to_json({'answer': ' Yes ', 'citations': ['P1', concat(' P', turn), 'x'], 'rationale': coalesce(text, '')}) AS VARCHAR))
+WHEN 1 THEN concat('I say NO. {"citations": "P3 and P', turn, '"}') WHEN 2 THEN coalesce(text, '') WHEN 3 THEN CAST(to_json({'answer': 'perhaps', 'rationale': coalesce(text, '')}) AS VARCHAR) ELSE '' END AS reply FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, trim(regexp_replace(reply, '(?is)<think>.*?</think>', '', 'g')) AS clean FROM r), b AS (SELECT *, regexp_extract(clean, '(?s)\{.*\}') AS body FROM c),
+f AS (SELECT *, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.answer') END AS a, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.citations') END AS l, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.rationale') END AS w,
+regexp_extract(lower(clean), '(?:^|[^\pL\pN_])(yes|no|maybe)(?:$|[^\pL\pN_])', 1) AS found FROM b)
+SELECT conv_id, turn, CASE WHEN lower(trim(coalesce(a, ''))) IN ('yes', 'no', 'maybe') THEN lower(trim(a)) WHEN found <> '' THEN found ELSE 'maybe' END AS answer,
+array_to_string(CASE WHEN l LIKE '[%' THEN [trim(x) for x in from_json(l, '["VARCHAR"]') if regexp_full_match(trim(x), 'P[0-9]+')] ELSE regexp_extract_all(coalesce(l, ''), 'P[0-9]+') END, '|') AS citations, trim(coalesce(w, '')) AS rationale FROM f""",
     "text_abbreviations": f"""WITH {_MICRO}, p AS (SELECT id, unnest(regexp_extract_all(text, {_q(text.ABBREVIATION)}, 2)) AS s, unnest(regexp_extract_all(text, {_q(text.ABBREVIATION)}, 1)) AS l FROM m) SELECT id, {_light('s')} AS short, {_light('l')} AS long FROM p""",
     "text_splits": """WITH b AS (SELECT doc_id, source, doc_id % 5 AS n, (list_sum(list_transform(string_split('q' || doc_id || 'x', ''), lambda ch: ascii(ch))) % 5)::BIGINT AS t, (list_sum(list_transform(string_split('q' || doc_id, ''), lambda ch: ascii(ch))) % 5)::BIGINT AS o FROM documents)
 SELECT doc_id, n AS numeric_bucket, t AS text_bucket, CASE n WHEN 3 THEN 'validation' WHEN 4 THEN 'test' ELSE 'train' END AS split, CASE WHEN o = 0 THEN 'validation' WHEN o IN (1, 2) THEN 'test' ELSE 'train' END AS other_split, 'PMQA_MESH_' || sha1(source)[1:12] AS source_id FROM b""",
