@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -69,17 +69,31 @@ def choose_split(names: Sequence[str], wanted: str | None = None) -> str:
     return next((n for n in ("train", "test", "validation", "dev") if n in names), names[0])
 
 
+#: One citation of PubMed XML, as far as it is read.
+_TOPIC = "STRUCT<_UI: STRING, _MajorTopicYN: STRING, _VALUE: STRING>"
+ARTICLE = (
+    "MedlineCitation: STRUCT<PMID: STRUCT<_VALUE: STRING, _Version: STRING>, Article: STRUCT<ArticleTitle: STRING>, "
+    f"MeshHeadingList: STRUCT<MeshHeading: ARRAY<STRUCT<DescriptorName: {_TOPIC}, QualifierName: ARRAY<{_TOPIC}>>>>>"
+)
+
+
+def article(citation: Column) -> Column:
+    """pmid, title, mesh_terms of a citation as a struct."""
+    yes = lambda x: F.coalesce(x["_MajorTopicYN"] == "Y", F.lit(False)).alias("major_topic")
+    qualifier = lambda q: F.struct(q["_UI"].alias("ui"), q["_VALUE"].alias("name"), yes(q))
+    heading = lambda h: F.struct(
+        h["DescriptorName"]["_UI"].alias("descriptor_ui"), h["DescriptorName"]["_VALUE"].alias("descriptor_name"), yes(h["DescriptorName"]),
+        F.transform(F.coalesce(h["QualifierName"], F.array()), qualifier).alias("qualifiers"),
+    )
+    terms = F.transform(F.coalesce(citation["MeshHeadingList"]["MeshHeading"], F.array()), heading)
+    title = F.coalesce(citation["Article"]["ArticleTitle"], F.lit(""))
+    return F.struct(citation["PMID"]["_VALUE"].alias("pmid"), title.alias("title"), terms.alias("mesh_terms"))
+
+
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """pmid, title, terms of PubMed XML (SRC-10)."""
-    term = "DescriptorName STRUCT<_UI: STRING, _MajorTopicYN: STRING, _VALUE: STRING>, QualifierName ARRAY<STRUCT<_UI: STRING, _MajorTopicYN: STRING, _VALUE: STRING>>"
-    schema = f"MedlineCitation STRUCT<PMID: STRUCT<_VALUE: STRING, _Version: STRING>, Article: STRUCT<ArticleTitle: STRING>, MeshHeadingList: STRUCT<MeshHeading: ARRAY<STRUCT<{term.replace('DescriptorName ', 'DescriptorName: ').replace(', QualifierName ', ', QualifierName: ')}>>>>"
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path)
-    c = F.col("MedlineCitation")
-    terms = F.transform(F.coalesce(c["MeshHeadingList"]["MeshHeading"], F.array()), lambda h: F.struct(
-        h["DescriptorName"]["_UI"].alias("descriptor_ui"), h["DescriptorName"]["_VALUE"].alias("descriptor_name"), F.coalesce(h["DescriptorName"]["_MajorTopicYN"] == "Y", F.lit(False)).alias("major_topic"),
-        F.transform(F.coalesce(h["QualifierName"], F.array()), lambda q: F.struct(q["_UI"].alias("ui"), q["_VALUE"].alias("name"), F.coalesce(q["_MajorTopicYN"] == "Y", F.lit(False)).alias("major_topic"))).alias("qualifiers"),
-    ))
-    return rows.select(c["PMID"]["_VALUE"].alias("pmid"), F.coalesce(c["Article"]["ArticleTitle"], F.lit("")).alias("title"), terms.alias("mesh_terms"))
+    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE.replace("MedlineCitation:", "MedlineCitation", 1)).load(path)
+    return rows.select(article(F.col("MedlineCitation")).alias("a")).select("a.*")
 
 
 def descriptors(spark: SparkSession, path: str) -> DataFrame:
