@@ -51,8 +51,10 @@ def text_phrases(spark, d):
 
 
 def text_abbreviations(spark, d):
-    got = _micro(spark).select("id", F.explode(text.abbreviations(F.col("text"))).alias("short", "long"))
-    return got
+    """Short and long forms in all documents and the micro texts (their ids negative)."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = rows.unionByName(_micro(spark).select((-F.col("id")).cast("long").alias("id"), "text"))
+    return rows.select("id", F.explode(text.abbreviations(F.col("text"))).alias("short", "long"))
 
 
 def text_splits(spark, d):
@@ -173,7 +175,7 @@ f AS (SELECT *, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.ans
 regexp_extract(lower(clean), '(?:^|[^\pL\pN_])(yes|no|maybe)(?:$|[^\pL\pN_])', 1) AS found FROM b)
 SELECT conv_id, turn, CASE WHEN lower(trim(coalesce(a, ''))) IN ('yes', 'no', 'maybe') THEN lower(trim(a)) WHEN found <> '' THEN found ELSE 'maybe' END AS answer,
 array_to_string(CASE WHEN l LIKE '[%' THEN [trim(x) for x in from_json(l, '["VARCHAR"]') if regexp_full_match(trim(x), 'P[0-9]+')] ELSE regexp_extract_all(coalesce(l, ''), 'P[0-9]+') END, '|') AS citations, trim(coalesce(w, '')) AS rationale FROM f""",
-    "text_abbreviations": f"""WITH {_MICRO}, p AS (SELECT id, unnest(regexp_extract_all(text, {_q(text.ABBREVIATION)}, 2)) AS s, unnest(regexp_extract_all(text, {_q(text.ABBREVIATION)}, 1)) AS l FROM m) SELECT id, {_light('s')} AS short, {_light('l')} AS long FROM p""",
+    "text_abbreviations": f"""WITH {_MICRO}, r AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -id, text FROM m), p AS (SELECT id, unnest(regexp_extract_all(text, {_q(text.ABBREVIATION)}, 2)) AS s, unnest(regexp_extract_all(text, {_q(text.ABBREVIATION)}, 1)) AS l FROM r) SELECT id, {_light('s')} AS short, {_light('l')} AS long FROM p""",
     "text_splits": """WITH b AS (SELECT doc_id, source, doc_id % 5 AS n, (list_sum(list_transform(string_split('q' || doc_id || 'x', ''), lambda ch: ascii(ch))) % 5)::BIGINT AS t, (list_sum(list_transform(string_split('q' || doc_id, ''), lambda ch: ascii(ch))) % 5)::BIGINT AS o FROM documents)
 SELECT doc_id, n AS numeric_bucket, t AS text_bucket, CASE n WHEN 3 THEN 'validation' WHEN 4 THEN 'test' ELSE 'train' END AS split, CASE WHEN o = 0 THEN 'validation' WHEN o IN (1, 2) THEN 'test' ELSE 'train' END AS other_split, 'PMQA_MESH_' || sha1(source)[1:12] AS source_id FROM b""",
     "tree_algebra": """WITH p AS (SELECT doc_id, [upper(lang), lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0'), CAST(doc_id % 7 AS VARCHAR)] AS p, other, string_split(other, '.') AS o FROM documents, (VALUES ('EN.05'), ('EN.05.3'), ('C')) v(other)),
