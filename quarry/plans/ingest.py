@@ -261,10 +261,16 @@ def fallback_scores(spark, d):
 
 
 def setting_grid(spark, d):
-    """The expansion settings and the slate's weights, as tables."""
-    rows = [(s["name"], s["direct"], s["shared"], ",".join(s["types"] or ()), s["share"], s["seeds"], s["filtered"]) for s in expand.expansion_settings()]
+    """The expansion settings with what each admits of the tables: candidates that seed, concepts that are rare enough."""
+    settings = expand.expansion_settings()
+    rows = [(s["name"], s["direct"], s["shared"], ",".join(s["types"] or ()), s["share"], s["seeds"], s["filtered"]) for s in settings]
     got = spark.createDataFrame(rows, "name string, direct boolean, shared boolean, types string, share double, seeds int, filtered boolean")
-    return got.withColumn("slates", F.lit(len(rerank.slate_weights())))
+    each = lambda key, kind, name, values, test: F.explode(F.array(*[F.struct(F.lit(v).cast(kind).alias(key), F.count_if(test(v)).alias(name)) for v in values])).alias("s")
+    seeds = candidates(spark, d).select(each("seeds", "int", "n_seeds", sorted({s["seeds"] for s in settings}), lambda v: F.col("rank") <= v)).select("s.*")
+    held = passage_entities(spark, d)
+    df = held.groupBy("entity").agg(F.countDistinct("passage_id").alias("df")).crossJoin(F.broadcast(held.agg(F.countDistinct("passage_id").alias("n"))))  # one row
+    rare = df.select(each("share", "double", "n_concepts", sorted({s["share"] for s in settings}), lambda v: F.col("df") <= F.greatest(F.lit(1), F.floor(v * F.col("n"))))).select("s.*")
+    return got.join(seeds, "seeds").join(rare, "share").withColumn("slates", F.lit(len(rerank.slate_weights())))
 
 
 def topic_weights(spark, d):
@@ -334,6 +340,8 @@ SELECT CAST(rule AS INTEGER) AS rule, count(*) FILTER (WHERE CASE mode WHEN 0 TH
     "path_diagnostics": f"""WITH {sql.CANDIDATES}, {_GRADED}, {_OVER}, er AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, round(coverage, 9) DESC, round(jaccard, 9) DESC, rank, passage_id) AS er FROM ov), rr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + er), 9) DESC, er, rank, passage_id) AS nr FROM er), x AS (SELECT rr.*, relevance = 2 AS gold FROM rr JOIN gr USING (question_id, passage_id))
 SELECT count(*) FILTER (WHERE gold AND rank > 10 AND nr <= 10) AS rescued_gold, round(CAST(coalesce(avg(jaccard) FILTER (WHERE gold), 0) AS DOUBLE), 6) AS gold_mean, round(CAST(coalesce(avg(jaccard) FILTER (WHERE NOT gold), 0) AS DOUBLE), 6) AS other_mean, count(DISTINCT question_id) FILTER (WHERE gold AND rank BETWEEN 11 AND 100) AS reservoir FROM x""",
     "fallback_scores": f"WITH {sql.CANDIDATES}, {_OVER}, f AS (SELECT question_id, passage_id, rank, 0.5::DOUBLE * {sql.minmax('(1.0::DOUBLE / (60 + rank))')} + 0.5::DOUBLE * {sql.minmax('jaccard')} AS ns FROM ov) SELECT question_id, passage_id, round(CASE WHEN rank > 2 THEN ns ELSE 1.0::DOUBLE / (60 + rank) END, 6) AS base FROM f",
-    "setting_grid": f"SELECT *, CAST(81 AS INTEGER) AS slates FROM (VALUES {_ROWS}) s(name, direct, shared, types, share, seeds, filtered)",
+    "setting_grid": f"""WITH {sql.CANDIDATES}, s(name, direct, shared, types, share, seeds, filtered) AS (VALUES {_ROWS}),
+f AS (SELECT entity, count(DISTINCT passage_id) AS df FROM pe GROUP BY entity)
+SELECT *, CAST(81 AS INTEGER) AS slates, (SELECT count(*) FROM cand WHERE rank <= s.seeds) AS n_seeds, (SELECT count(*) FROM f WHERE df <= greatest(1, floor(s.share * (SELECT count(DISTINCT passage_id) FROM pe)))) AS n_concepts FROM s""",
     "topic_weights": f"WITH {features.DEEP} SELECT mesh, round(CAST(sum(CASE WHEN major THEN 1.25 ELSE 1 END) AS DOUBLE), 6) AS weight FROM dp GROUP BY 1",
 }
