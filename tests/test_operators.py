@@ -124,3 +124,11 @@ def test_written_tables_are_removed(spark):
     assert store.forget(spark) >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_weight_grid_and_lookup_of_scores(spark):
+    grid = rerank.weight_grid(["a", "b", "c"], 0.25)
+    assert len(grid) == 15 and all(math.isclose(sum(g.values()), 1) for g in grid) and {"a": 0.25, "b": 0.5, "c": 0.25} in grid
+    rows = [("q", "p", 1, 0.9), ("q", "p", 3, 0.2), ("q", "r", 2, 0.5), ("s", "p", 1, None)]
+    got = evaluate.keyed(spark.createDataFrame(rows, "question_id string, passage_id string, rank int, score double")).collect()
+    assert {tuple(r) for r in got} == {("q", "p", 0.2), ("q", "r", 0.5), ("s", "p", None)}
