@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions import text
-from quarry.operators import automaton
+from quarry.operators import automaton, phrases
 from quarry.operators.frames import ranked, small, top
 from quarry.operators.store import saved
 
@@ -38,23 +38,29 @@ def _document_counts(stretches: DataFrame, key: str, longest: int, valid) -> Dat
     return short.unionByName(long).where("canonical <> ''").groupBy("canonical").agg(F.count("*").alias("df"))
 
 
-def build_dictionary(corpus: DataFrame, key: str = "passage_id", least: int = 3, most: int = 50_000, longest: int = 5, required: DataFrame | None = None, valid=text.valid_phrase) -> DataFrame:
+def build_dictionary(corpus: DataFrame, key: str = "passage_id", least: int = 3, most: int = 50_000, longest: int = 5, required: DataFrame | None = None, valid=text.valid_phrase, marks: phrases.Marks | None = None) -> DataFrame:
     """entity_id, canonical, surface_forms (5 at most), document_frequency, entity_type (AGG-08).  ``key`` names a row.
 
     Names are counted first, one for each text they stand in: a text's repeats go before anything is shuffled, and tasks
-    hand on sums.  Spellings are counted in a second pass, of the names that are kept only.
+    hand on sums.  Spellings are counted in a second pass, of the names that are kept only.  ``marks`` in the place of
+    ``valid`` says of each token what it makes of an n-gram; names are then counted by numbers (see phrases).
     """
     extra = None
     if required is not None:
         extra = required.select(text.concept_name(F.col("term")).alias("canonical"), F.col("term").alias("surface")).where("canonical <> ''")
-    counts = _document_counts(_stretches(corpus, key, longest), key, longest, valid).withColumn("req", F.lit(False))
+    if marks is not None:
+        counts, spelled = phrases.counted(corpus, marks, least, most, longest, None if extra is None else extra.select("canonical").distinct())
+    else:
+        counts = _document_counts(_stretches(corpus, key, longest), key, longest, valid)
+    counts = counts.withColumn("req", F.lit(False))
     if extra is not None:
         counts = counts.unionByName(extra.select("canonical", F.lit(least).cast("long").alias("df"), F.lit(True).alias("req"))).groupBy("canonical").agg(F.max("df").alias("df"), F.max("req").alias("req"))
     kept = counts.where(F.col("req") | ((F.col("df") >= least) & (F.length("canonical") >= 3) & ~F.col("canonical").isin(lx.STOPWORDS)))
     best = saved(kept.orderBy(F.desc("req"), F.desc("df"), "canonical").limit(most), "dictionary-names")  # bounded by ``most``
-    grams = _stretches(corpus, key, longest).select(F.explode(_grams(longest, valid)).alias("g"))
-    found = grams.select(F.array_join("g", " ").alias("surface")).withColumn("canonical", text.concept_name(F.col("surface")))
-    surfaces = found.join(small(best.select("canonical")), "canonical", "left_semi").groupBy("canonical", "surface").agg(F.count("*").alias("n"))
+    if marks is None:
+        grams = _stretches(corpus, key, longest).select(F.explode(_grams(longest, valid)).alias("g"))
+        spelled = grams.select(F.array_join("g", " ").alias("surface"), F.lit(1).cast("long").alias("n")).withColumn("canonical", text.concept_name(F.col("surface")))
+    surfaces = spelled.join(small(best.select("canonical")), "canonical", "left_semi").groupBy("canonical", "surface").agg(F.sum("n").alias("n"))
     if extra is not None:
         wanted = extra.join(small(best.select("canonical")), "canonical", "left_semi")
         surfaces = surfaces.unionByName(wanted.withColumn("n", F.lit(1).cast("long"))).groupBy("canonical", "surface").agg(F.sum("n").alias("n"))
