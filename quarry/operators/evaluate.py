@@ -31,6 +31,18 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
     """question_id, k and the six metrics of every judged question; without predictions they are 0 (AGG-13)."""
     gold = grouped_qrels(qrels)
     rows = positioned(run).where(F.col("position") <= max(ks)).join(gold, ["question_id", "passage_id"], "left")
+    return _per_query(rows, gold.groupBy("question_id", "relevance").agg(F.count("*").alias("n")), ks)
+
+
+def graded_per_query(run: DataFrame, counts: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """per_query() of a run whose rows hold their relevance (null: no gold), where gold is known by its counts
+    (question_id, relevance, n) only, as judged pairs may be many more than the run's."""
+    judged = run.select(F.col("question_id").cast("string").alias("question_id"), F.col("passage_id").cast("string").alias("passage_id"), F.col("relevance").cast("double").alias("relevance"), F.col("rank").cast("long").alias("_r"))
+    rows = ranked(judged, "question_id", F.asc_nulls_last("_r"), "passage_id", name="position").where(F.col("position") <= max(ks))
+    return _per_query(rows, counts, ks)
+
+
+def _per_query(rows: DataFrame, counts: DataFrame, ks: Sequence[int]) -> DataFrame:
     hit = F.col("relevance").isNotNull()
     so_far = Window.partitionBy("question_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("hits", F.sum(hit.cast("int")).over(so_far))  # WIN-06
@@ -43,9 +55,13 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
             F.sum(F.when(on & hit, numeric.gain(F.col("relevance"), F.col("position")))).alias(f"d{k}"),
             F.sum(F.when(on & hit, F.col("hits") / F.col("position"))).alias(f"p{k}"),
         ]
-        ideal.append(F.sum(F.when(F.col("i") <= k, numeric.gain(F.col("relevance"), F.col("i")))).alias(f"i{k}"))
+        places = F.when(F.col("before") < k, F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k))))
+        gains = F.transform(places, lambda i: numeric.gain(F.col("relevance"), i))
+        ideal.append(F.sum(F.aggregate(gains, F.lit(0.0), lambda a, x: a + x)).alias(f"i{k}"))
     found = rows.groupBy("question_id").agg(*aggs)
-    best = ranked(gold, "question_id", F.desc("relevance"), "passage_id", name="i").groupBy("question_id").agg(F.count("*").alias("gold"), *ideal)
+    # a row for each grade of a question: the places of the ideal order are known from how many stand before
+    higher = Window.partitionBy("question_id").orderBy(F.desc("relevance")).rowsBetween(Window.unboundedPreceding, -1)
+    best = counts.withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0).cast("long"))).groupBy("question_id").agg(F.sum("n").alias("gold"), *ideal)
     both = best.join(found, "question_id", "left")
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     each = [
@@ -60,7 +76,12 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 def metrics(run: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Macro averages over judged questions, one row for each k (AGG-12; evidence_coverage is recall: AGG-14)."""
-    mean = per_query(run, qrels, ks).groupBy("k").agg(F.count("*").alias("n_questions"), *[F.avg(m).alias(m) for m in METRICS])
+    return averaged(per_query(run, qrels, ks))
+
+
+def averaged(per: DataFrame) -> DataFrame:
+    """Macro averages of per_query() or graded_per_query()."""
+    mean = per.groupBy("k").agg(F.count("*").alias("n_questions"), *[F.avg(m).alias(m) for m in METRICS])
     return mean.withColumn("evidence_coverage", F.col("recall"))
 
 
