@@ -320,6 +320,21 @@ class _Side:
         """The segment that the byte at a distance (from 1) lies in."""
         return np.bitwise_count(self.cut & np.uint32((1 << distance) - 2)).astype(np.int64)
 
+    def cut_short(self, salt: np.ndarray) -> None:
+        """Set symbols apart by anchor, and ``reach``: how many segments from the anchor on stand in two fragments."""
+        self.reach = self.count.copy()
+        rows, at = np.nonzero(np.arange(SIDE) < self.count[:, None])
+        self.symbol[rows, at] = value = mix(self.symbol[rows, at] + salt[rows])
+        by = np.argsort(value)
+        s = value[by]
+        other = np.concatenate([[True], s[1:] != s[:-1], [True]])
+        alone = by[other[:-1] & other[1:]]
+        np.minimum.at(self.reach, rows[alone], at[alone])
+
+    def reached(self) -> np.ndarray:
+        """The distance that these segments take in."""
+        return sum((self.segment(d) < self.reach).astype(np.int64) for d in range(1, SIDE + 1))
+
 
 def prefix_rows(context: np.ndarray) -> np.ndarray:
     power = np.cumprod(np.full(SIDE, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
@@ -341,18 +356,23 @@ def equal_windows(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.
     before, after = (_Side(c, group) for c in contexts)
 
     # Each fragment as a text: its segments from the outermost left one on, the anchor, segments to the right, an end.
-    size = before.count + after.count + 2
+    # A segment that no other fragment holds ends its side: no other fragment holds a window that spans it.
+    salt = mix(group.astype(np.uint64) * _C + np.uint64(1))
+    for side in (before, after):
+        side.cut_short(salt)
+    held = np.minimum(left, before.reached()) + np.minimum(right, after.reached()) >= SIDE  # there is such a window
+    before.reach[~held] = after.reach[~held] = 0
+    size = np.where(held, before.reach + after.reach + 2, 0)
     end = np.cumsum(size)
-    anchor = end - size + before.count
+    anchor = end - size + before.reach
     value = np.zeros(int(end[-1]) if n else 0, np.uint64)
-    salt = mix(group.astype(np.uint64) * _C + np.uint64(1))
-    value[anchor] = salt
-    for j in range(SIDE):
-        for side, place in ((before, anchor - 1 - j), (after, anchor + 1 + j)):
-            on = side.count > j
-            value[place[on]] = mix(side.symbol[on, j] + salt[on])
+    value[anchor[held]] = salt[held]
+    for side, step in ((before, -1), (after, 1)):
+        for j in range(int(side.reach.max(initial=0))):
+            on = np.flatnonzero(side.reach > j)
+            value[anchor[on] + step * (1 + j)] = side.symbol[on, j]
     text = np.unique(value, return_inverse=True)[1] + 1
-    text[end - 1] = 0
+    text[end[held] - 1] = 0
     order = grouping(text)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -364,12 +384,13 @@ def equal_windows(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.
     prior = None
     for a in range(SIDE + 1):
         lead = before.segment(a) + 1 if a else np.zeros(n, np.int64)
-        symbols = lead + 1 + (after.segment(SIDE - a) + 1 if a < SIDE else 0)  # that the window spans
+        trail = after.segment(SIDE - a) + 1 if a < SIDE else np.zeros(n, np.int64)
+        symbols = lead + 1 + trail  # that the window spans
         fresh = np.ones(n, bool) if prior is None else cut_off[group] | (lead != prior[0]) | (symbols != prior[1])
         prior = lead, symbols
         if a:
             mask[~fresh] |= ((mask[~fresh] >> np.uint32(a - 1)) & np.uint32(1)) << np.uint32(a)
-        on = np.flatnonzero(fresh & (left >= a) & (right >= SIDE - a))
+        on = np.flatnonzero(fresh & (left >= a) & (right >= SIDE - a) & (lead <= before.reach) & (trail <= after.reach))
         if not len(on):
             continue
         start = anchor - lead

@@ -24,7 +24,9 @@ def grouping(text: np.ndarray) -> np.ndarray:
     size = n + 1
     members: list[list[int]] = [[n]]
     order = np.argsort(first, kind="stable")
-    members += [m.tolist() for m in np.split(order, np.cumsum(np.bincount(first))[:-1])]
+    ends = np.cumsum(np.bincount(first)).tolist()
+    order = order.tolist()
+    members += [order[a:b] for a, b in zip([0, *ends], ends)]
     below = list(range(-1, len(codes)))  # the next lower group of each group
     above = [*range(1, len(codes) + 1), -1]
     pointer = [-2] * size  # previous smaller suffix; -2: not known yet

@@ -80,3 +80,20 @@ def test_written_tables_go(spark):
     names = {t.name for t in spark.catalog.listTables()}
     assert any(n.startswith("quarry_blocks") for n in names) and util.forget(spark) > 0
     assert not any(t.name.startswith("quarry_") for t in spark.catalog.listTables())
+
+
+def test_fragments_without_a_shared_window_stay_out(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(repeats, "grouping", lambda text: sizes.append(len(text)) or grouping(text))
+    rng = np.random.default_rng(4)
+    sides = rng.integers(0, 250, (60, 2 * repeats.SIDE), np.uint8)  # left side and right side of each anchor
+    sides[41] = sides[40]
+    sides[43, 5:40] = sides[42, 5:40]
+    full = np.full(60, repeats.SIDE, np.int64)
+    mask = repeats.equal_windows(np.zeros(60, np.int64), np.arange(60), full, full, sides.ravel())
+    want = np.zeros(60, np.uint32)
+    want[41] = (1 << repeats.SIDE + 1) - 1
+    for a in range(repeats.SIDE + 1):  # bytes 26 - a to 52 - a of the sides
+        want[43] |= np.uint32((repeats.SIDE - a >= 5 and 2 * repeats.SIDE - a <= 40) << a)
+    assert want[43] and mask.tolist() == want.tolist()
+    assert sizes[0] < 4 * (2 * repeats.SIDE + 2)  # the other 56 stay out
