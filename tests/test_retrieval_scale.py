@@ -85,6 +85,16 @@ def test_index_equals_search_and_reads_asked_buckets(spark, tmp_path):
     assert 0 < files[0] < files[1] / 3
 
 
+def test_index_has_no_row_for_each_posting_and_question(spark, tmp_path):
+    corpus = _index(spark, str(tmp_path / "i"))
+    questions = spark.createDataFrame([(str(i), f"the w1 w{i % 3}") for i in range(300)], "question_id string, question string")
+    got = lexical.search_index(spark, str(tmp_path / "i"), questions, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.index("MapInArrow") < plan.index("Join")  # questions meet blocks of passages, behind all joins
+    told = lambda df: {(r["question_id"], r["rank"]): (r["passage_id"], round(r["score"], 8)) for r in df.collect()}
+    assert told(got) == told(lexical.search(corpus, questions, 3)) and got.count() == 900
+
+
 def test_dictionary_names_of_long_and_short_texts(spark, monkeypatch):
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice(["Alpha-beta", "alpha", "beta", "gamma's", "Delta"]) for _ in range(n)) for n in (0, 1, 7, 8, 9, 40, 40)] + [None]
