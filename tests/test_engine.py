@@ -140,6 +140,26 @@ def test_slate_and_protected(spark):
     assert [r["new_rank"] for r in kept] == list(range(1, 13)) and sum(r["rescued"] for r in kept) == 1
 
 
+def test_slates_choose_together(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(f"q{q}", f"p{i:02d}", i + 1, rnd.randint(0, 4) / 4, rnd.random(), rnd.random(), 3.0, rnd.sample("abcdef", rnd.randint(0, 4))) for q in range(40) for i in range(q)]
+    items = spark.createDataFrame(rows, "question_id string, passage_id string, rank int, score double, gain double, noise double, n_anchors double, concepts array<string>")
+    monkeypatch.setattr(rerank, "SLATES", 7)
+    got = rerank.slates(items, 0.05, 0.1, 0.03, 0.03, 10, 30)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no call for each question
+    want = []
+    for q in range(40):
+        left, seen = sorted((r for r in rows if r[0] == f"q{q}"), key=lambda r: (-round(r[3], 9), r[2]))[:30], set()
+        for place in range(1, min(10, len(left)) + 1):
+            worth = [r[3] + 0.05 * r[4] + 0.1 * len(set(r[7]) - seen) / 3.0 - 0.03 * len(set(r[7]) & seen) / max(len(r[7]), 1) - 0.03 * r[5] for r in left]
+            i = max(range(len(left)), key=lambda j: (round(worth[j], 9), -j))
+            want.append((f"q{q}", left[i][1], place, round(worth[i], 9)))
+            seen |= set(left.pop(i)[7])
+    assert sorted((r["question_id"], r["passage_id"], r["new_rank"], round(r["utility"], 9)) for r in got.collect()) == sorted(want)
+
+
 def test_learning(spark):
     rows = [(f"q{i // 8}", f"p{i}", i % 8 + 1, float((i * 7) % 5), float(i % 3), 1.0 if i % 3 == 2 else 0.0) for i in range(160)]
     df = spark.createDataFrame(rows, "question_id string, passage_id string, rank int, a double, b double, relevance double")
