@@ -20,7 +20,7 @@ further columns are ignored by decontamination_report() and kept by remove_bench
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -323,25 +323,31 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
     yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> tuple[DataFrame, dict[str, str]]:
+def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, stretch: int = STRETCH, finish: Callable[[pa.RecordBatch, list[bytes], list[list[int]]], pa.RecordBatch] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The rows with n_words, n_hit, items (sorted ids), word_runs and byte_spans (flat lists of from, to), and the
-    names that these five columns have, as the table may have such columns of its own."""
+    names that these five columns have, as the table may have such columns of its own.  Or, of the table's columns,
+    what ``finish(rows, bytes of their texts, byte_spans)`` makes of them, in the same Python workers: another step
+    behind this one would need as many workers again."""
     sc, out, name, columns = docs.sparkSession.sparkContext, docs, _free(docs.columns), docs.columns
-    for turn, items in enumerate(_blocks(benchmark, block)):
-        sent = sc.broadcast(Phrases(items))  # about four times ``block`` bytes
+    shards = [sc.broadcast(Phrases(items)) for items in _blocks(benchmark, block)]  # each about four times ``block`` bytes
+    for turn, sent in enumerate(shards):
+        end = finish if turn == len(shards) - 1 else None
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn, end=end) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = batch.select(columns)
                 for a, b, raws in texts_in(own.column("text"), stretch, 1 << 20):
                     prior = list(zip(*(batch.column(name[c]).slice(a, b - a).to_pylist() for c in ("items", "word_runs")))) if turn else None
                     found = _shard(raws, sent.value, prior)
-                    more = [pa.array([f[k] for f in found], _ARROW[t]) for k, t in enumerate(_FOUND.values())]
-                    yield pa.RecordBatch.from_arrays([*own.slice(a, b - a).columns, *more], names=[*columns, *(name[c] for c in _FOUND)])
+                    if end:
+                        yield end(own.slice(a, b - a), raws, [f[4] for f in found])
+                    else:
+                        more = [pa.array([f[k] for f in found], _ARROW[t]) for k, t in enumerate(_FOUND.values())]
+                        yield pa.RecordBatch.from_arrays([*own.slice(a, b - a).columns, *more], names=[*columns, *(name[c] for c in _FOUND)])
                     release()
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInArrow(run, f"{types}, " + ", ".join(f"{name[c]} {t}" for c, t in _FOUND.items()))
+        out = out.mapInArrow(run, docs.schema if end else f"{types}, " + ", ".join(f"{name[c]} {t}" for c, t in _FOUND.items()))
     return out, name
 
 
@@ -359,27 +365,23 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK)
     """The documents without their benchmark passages; n_chars, where there is one, is counted anew."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     columns = docs.columns
-    found, name = find(docs, benchmark, block)
-    at_spans = name["byte_spans"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
-            own = {c: batch.column(c) for c in columns}
-            spans, texts = batch.column(at_spans), own["text"].to_pylist()
-            touched = pc.greater(pc.list_value_length(spans), 0)
-            for k in np.flatnonzero(touched.to_numpy(zero_copy_only=False)):
-                raw, at, kept, runs = utf8(texts[k : k + 1])[0], 0, [], spans[k].as_py()
-                for a, b in zip(runs[::2], runs[1::2]):
-                    kept.append(raw[at:a])
-                    at = b
-                texts[k] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
+
+    def cut(batch: pa.RecordBatch, raws: list[bytes], spans: list[list[int]]) -> pa.RecordBatch:
+        own, texts = {c: batch.column(c) for c in columns}, batch.column("text").to_pylist()
+        touched = [k for k, runs in enumerate(spans) if runs]
+        for k in touched:
+            at, kept, runs = 0, [], spans[k]
+            for a, b in zip(runs[::2], runs[1::2]):
+                kept.append(raws[k][at:a])
+                at = b
+            texts[k] = b"".join([*kept, raws[k][at:]]).decode("utf-8", "surrogatepass")
+        if touched:
             own["text"] = pa.array(texts, own["text"].type)
             if "n_chars" in own:
-                own["n_chars"] = pc.if_else(touched, pa.array([len(t or "") for t in texts]).cast(own["n_chars"].type), own["n_chars"])
-            yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
-        release()
+                own["n_chars"] = pc.if_else(pa.array([bool(r) for r in spans]), pa.array([len(t or "") for t in texts]).cast(own["n_chars"].type), own["n_chars"])
+        return pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
 
-    return found.mapInArrow(cut, docs.schema)
+    return find(docs, benchmark, block, finish=cut)[0]
 
 
 ORACLE = r"""

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.util import saved
 from quarry.llm.words import mix, release
 
 STRETCH = 1 << 20
@@ -326,8 +327,9 @@ def _spelled(words: list[str], masks: np.ndarray, table: Pieces) -> tuple[np.nda
     return out, offsets
 
 
-def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int = STRETCH) -> DataFrame:
-    """Rows that ``finish(table, doc ids, lists of ids, md5 of texts)`` makes of each encoded stretch."""
+def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int = STRETCH, apart: bool = False) -> DataFrame:
+    """Rows that ``finish(table, doc ids, lists of ids, md5 of texts)`` makes of each encoded stretch.  ``apart``: what
+    is folded is written before it is spelled, so that a task has one Python worker at a time, not two."""
     table = Pieces(model)
     sent = docs.sparkSession.sparkContext.broadcast(table)  # at most MOST_PIECES pieces
     columns, ddl = _stretch(table.model)
@@ -380,7 +382,7 @@ def _encoded(docs: DataFrame, model: bytes, schema: str, finish, stretch: int =
     grouped = rows.mapInArrow(explode, ddl)
     fold = merge_fold if table.model == 2 else viterbi
     folded = grouped.withColumn("cuts", F.zip_with("full", "edges", fold)).select("doc_id", "source", "unit", "end", "word", "cuts")
-    return folded.mapInArrow(collect, schema)
+    return (saved(folded, "folded") if apart else folded).mapInArrow(collect, schema)
 
 
 def encode(docs: DataFrame, model: bytes, stretch: int = STRETCH) -> DataFrame:
@@ -404,9 +406,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def report(docs: DataFrame, model: bytes, with_ids: bool = False, stretch: int = STRETCH) -> DataFrame:
+def report(docs: DataFrame, model: bytes, with_ids: bool = False, stretch: int = STRETCH, apart: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_chars, round_trip of every row, and,
-    if asked for, ids."""
+    if asked for, ids.  ``apart``: see _encoded()."""
     kinds = {"n_pieces": pa.int64(), "ids_sha256": pa.string(), "decoded_chars": pa.int64(), "round_trip": pa.bool_()}
 
     def finish(table: Pieces, doc: pa.Array, lists: pa.Array, source: pa.Array) -> pa.RecordBatch:
@@ -417,4 +419,4 @@ def report(docs: DataFrame, model: bytes, with_ids: bool = False, stretch: int =
             out.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), len(text), hashlib.md5(text.encode()).digest() == md5.as_py()))
         return pa.RecordBatch.from_arrays([doc, *[pa.array(v, t) for v, t in zip(zip(*out), kinds.values())], *([lists] if with_ids else [])], names=["doc_id", *kinds, *(["ids"] if with_ids else [])])
 
-    return _encoded(docs, model, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids, finish, stretch)
+    return _encoded(docs, model, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids, finish, stretch, apart)

@@ -35,3 +35,10 @@ def test_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, sf), "empty")
     assert docs.count() == 0
+
+
+def test_a_task_has_one_python_worker(spark, sf):
+    """Workers share an executor's memory: Python steps that follow each other in a task would need one each."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (corpus_pipeline.cut_benchmark, corpus_pipeline.encode_pieces):
+        assert stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
