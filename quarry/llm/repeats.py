@@ -5,10 +5,11 @@ anchors at equal places, so windows can be compared anchor by anchor, and only w
 documents.  The steps (a block is about 512 kB of whole documents; partial results are packed, one row for each
 block and part of the anchor hashes, merged within a block before they are dealt):
 
-1. blocks send the hashes of their anchors; parts answer which stand in two documents;
+1. blocks find their anchors and are written with their places, and send the hashes of the anchors; parts answer which stand in two documents;
 2. for those, blocks send a hash of the fragment (the up to 76 bytes that the anchor's windows cover) with the
    smallest doc_id that has it; parts answer the smallest doc_id overall.  A later document with the same fragment
-   loses all of the anchor's windows;
+   loses all of the anchor's windows.  Places travel with the question and come back with the answer, so that no
+   later step looks at the other anchors again;
 3. where an anchor stands in different fragments, the block of each fragment's first document sends its bytes.
    Parts build the suffix array of their fragments (linear grouping, see suffixes.py), with the anchor and every
    stretch in which none of its fragments part as one symbol each: runs of suffixes that share the symbols a window
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.suffixes import grouping
 from quarry.llm.util import bucketed, free, saved
-from quarry.llm.words import mix, prefix_sums, release, stretch, texts_in
+from quarry.llm.words import mix, prefix_sums, release, stretch, stretches, texts_in
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM  # bytes of a window beside its anchor
@@ -60,35 +61,23 @@ def _extreme(x: np.ndarray, width: int, f: Callable) -> np.ndarray:
     return f(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-class Anchors:
-    """Anchors of a block: place, key (47 bits), document, and the fragment around each (low, high)."""
-
-    def __init__(self, text: np.ndarray, ends: np.ndarray) -> None:
-        n = len(text)
-        size = np.diff(ends, prepend=0)
-        if n < LENGTH or not (size >= LENGTH).any():
-            self.at = self.doc = np.zeros(0, np.int64)
-            self.key = self.fragment = np.zeros(0, np.uint64)
-            self.low = self.high = self.at
-            return
-        sums = prefix_sums(text)
-        first = np.arange(n - GRAM + 1)
-        h = stretch(sums, first, first + GRAM)
-        inside = np.zeros(n, bool)  # a gram of a long enough document starts here
-        step = np.zeros(n + 1, np.int8)
-        whole = size >= LENGTH
-        np.add.at(step, ends[whole] - size[whole], 1)
-        np.add.at(step, ends[whole] - GRAM + 1, -1)
-        inside = np.cumsum(step[:-1], dtype=np.int8)[: len(h)] > 0
-        order = np.where(inside, (h >> np.uint64(33)).astype(np.uint32), np.uint32(0xFFFFFFFF))
-        pad = np.full(SIDE, 0xFFFFFFFF, np.uint32)
-        least = _extreme(np.concatenate([pad, order, pad]), SIDE + 1, np.minimum)  # of the windows that hold each gram
-        self.at = np.flatnonzero(inside & (order == _extreme(least, SIDE + 1, np.maximum)))
-        self.doc = np.searchsorted(ends, self.at, side="right")
-        self.key = h[self.at] >> np.uint64(17)
-        self.low = np.maximum(self.at - SIDE, (ends - size)[self.doc])
-        self.high = np.minimum(self.at + LENGTH, ends[self.doc])
-        self.fragment = mix(stretch(sums, self.low, self.high) + (self.at - self.low).astype(np.uint64) * _C)
+def anchor_bits(text: np.ndarray, ends: np.ndarray) -> bytes:
+    """A bit for each byte of a block: whether an anchor starts there."""
+    n = len(text)
+    size = np.diff(ends, prepend=0)
+    whole = size >= LENGTH
+    if not whole.any():
+        return np.packbits(np.zeros(n, bool)).tobytes()
+    step = np.zeros(n + 1, np.int8)  # where grams of long enough documents start
+    np.add.at(step, ends[whole] - size[whole], 1)
+    np.add.at(step, ends[whole] - GRAM + 1, -1)
+    inside = np.cumsum(step[:-1], dtype=np.int8)[: n - GRAM + 1] > 0
+    order = np.where(inside, (stretches(prefix_sums(text), GRAM) >> np.uint64(33)).astype(np.uint32), np.uint32(0xFFFFFFFF))
+    pad = np.full(SIDE, 0xFFFFFFFF, np.uint32)
+    least = _extreme(np.concatenate([pad, order, pad]), SIDE + 1, np.minimum)  # of the windows that hold each gram
+    on = np.zeros(n, bool)
+    on[: len(order)] = inside & (order == _extreme(least, SIDE + 1, np.maximum))
+    return np.packbits(on).tobytes()
 
 
 def _pack6(x: np.ndarray) -> bytes:
@@ -113,79 +102,102 @@ def _parts(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block's anchors and what it knows of them so far."""
+    """A block and what it knows of its anchors so far.  Only the first two steps look at all of them; the rest see
+    those that the parts send back."""
 
     def __init__(self, row, parts: int) -> None:
-        self.id, self.parts = int(row.block), parts
+        self.id, self.parts, self.row = int(row.block), parts, row
         self.text, self.ends, self.ids = np.frombuffer(row.text, np.uint8), np.frombuffer(row.ends, np.int64), np.frombuffer(row.ids, np.int64)
-        self.anchors = a = Anchors(self.text, self.ends)
-        by = np.argsort(a.key, kind="stable")
-        key, doc = a.key[by], a.doc[by]
+
+    def find(self) -> None:
+        """Places, keys (47 bits) and documents of all anchors, and the distinct keys."""
+        self.at = np.flatnonzero(np.unpackbits(np.frombuffer(self.row.anchors, np.uint8), count=len(self.text)))
+        self.sums, self.doc = prefix_sums(self.text), np.searchsorted(self.ends, self.at, side="right")
+        self.key_of = stretch(self.sums, self.at, self.at + GRAM) >> np.uint64(17)
+        by = np.argsort(self.key_of)
+        key, doc = self.key_of[by], self.doc[by]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.key = key[start]  # distinct, ascending
         self.shared = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(start) else np.zeros(0, bool)
         self.of = np.empty(len(by), np.int64)
         self.of[by] = np.repeat(np.arange(len(start)), np.diff(start, append=len(by)))
 
+    def around(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end of the fragments of anchors."""
+        return np.maximum(at - SIDE, np.append(0, self.ends)[doc]), np.minimum(at + LENGTH, self.ends[doc])
+
     def rows(self, cut: np.ndarray, part: np.ndarray, **columns: Callable) -> pa.RecordBatch:
         packed = [pa.array([f(a, b) for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for f in columns.values()]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), self.id)), pa.array(part), *packed], names=["block", "part", *columns])
 
     def know_repeated(self, answers) -> None:
         """Step 1's answer: entries are distinct fragments of anchors that stand in two documents."""
+        self.find()
         part, cut = _parts(self.key, self.parts)
         where = {int(p): (a, b) for p, a, b in zip(part, cut[:-1], cut[1:])}
         flag = np.zeros(len(self.key), bool)
         for r in answers:
             a, b = where[r["part"]]
             flag[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a)
-        a = self.anchors
         on = np.flatnonzero(flag[self.of])
-        by = on[np.lexsort((self.ids[a.doc[on]], a.fragment[on], a.key[on]))]
-        key, fragment = a.key[by], a.fragment[by]
+        at, doc, key = self.at[on], self.doc[on], self.key_of[on]
+        low, high = self.around(at, doc)
+        fragment = mix(stretch(self.sums, low, high) + (at - low).astype(np.uint64) * _C)
+        by = np.lexsort((self.ids[doc], fragment, key))
+        key, fragment = key[by], fragment[by]
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fragment[1:] != fragment[:-1])])) if len(by) else np.zeros(0, np.int64)
-        self.occurrence, self.entry = by, np.repeat(np.arange(len(start)), np.diff(start, append=len(by)))
-        self.lead = by[start]  # the occurrence with the smallest doc_id
-        self.entry_key, self.entry_fragment, self.entry_doc = key[start], fragment[start], self.ids[a.doc[self.lead]]
+        self.place, self.begin = at[by].astype("<u4"), np.append(start, len(by))  # an entry's first place is that with the smallest doc_id
+        self.entry_key, self.entry_fragment, self.entry_doc = key[start], fragment[start], self.ids[doc[by[start]]]
         self.entry_part, self.entry_cut = _parts(self.entry_key, self.parts)
 
     def know_least(self, answers) -> None:
-        """Step 2's answer: the smallest doc_id of each entry's fragment, and whether its bytes are asked for."""
-        where = {int(p): (a, b) for p, a, b in zip(self.entry_part, self.entry_cut[:-1], self.entry_cut[1:])}
-        self.least, self.asked = self.entry_doc.copy(), np.zeros(len(self.entry_doc), bool)
-        for r in answers:
-            a, b = where[r["part"]]
-            self.least[a:b] = np.frombuffer(r["least"], np.int64)
-            self.asked[a:b] = np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=b - a)
-        self.ask = np.flatnonzero(self.asked)
-        self.ask_part, self.ask_cut = _parts(self.entry_key[self.ask], self.parts)
+        """Step 2's answer: each entry's places, the smallest doc_id of its fragment, and whether its bytes are asked
+        for (then its key comes too)."""
+        answers = sorted(answers, key=lambda r: r["part"])
+        together = lambda c, t: np.frombuffer(b"".join(r[c] for r in answers), t)
+        many = together("counts", "<u4").astype(np.int64)
+        self.at, self.entry, self.least = together("places", "<u4").astype(np.int64), np.repeat(np.arange(len(many)), many), together("least", np.int64)
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
+        self.low, self.high = self.around(self.at, self.doc)
+        asked = [np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=len(r["counts"]) // 4) for r in answers]
+        self.ask = np.flatnonzero(np.concatenate(asked)) if asked else np.zeros(0, np.int64)
+        self.lead = (np.cumsum(many) - many)[self.ask]
+        self.ask_key = _unpack6(b"".join(r["asked"] for r in answers))
+        self.ask_part, self.ask_cut = _parts(self.ask_key, self.parts)
 
     def know_masks(self, answers) -> None:
         """Step 3's answer: the windows (bit a: a bytes before the anchor) that a smaller document holds too."""
         where = {int(p): (a, b) for p, a, b in zip(self.ask_part, self.ask_cut[:-1], self.ask_cut[1:])}
-        self.mask = np.zeros(len(self.entry_doc), np.uint32)
+        self.mask = np.zeros(len(self.least), np.uint32)
         for r in answers:
             a, b = where[r["part"]]
             self.mask[self.ask[a:b]] = np.frombuffer(r["masks"], np.uint32)
 
     def covered(self) -> np.ndarray:
         """Which bytes go."""
-        a, change = self.anchors, np.zeros(len(self.text) + 1, np.int64)
-        doc, least, mask = self.ids[a.doc[self.occurrence]], self.least[self.entry], self.mask[self.entry]
-        at, low, high = a.at[self.occurrence], a.low[self.occurrence], a.high[self.occurrence]
+        doc, least, mask = self.ids[self.doc], self.least[self.entry], self.mask[self.entry]
         later = np.flatnonzero(doc > least)
-        first, last = low[later], high[later]  # all windows of the fragment
-        np.add.at(change, first, 1)
-        np.add.at(change, last, -1)
+        first, last = [self.low[later]], [self.high[later]]  # all windows of the fragment
+        some = np.flatnonzero((mask != 0) & (doc == least))
+        at, mask = self.at[some], mask[some]
         for k in range(SIDE + 1):
-            on = np.flatnonzero((mask >> np.uint32(k) & np.uint32(1)).astype(bool) & (doc == least))
-            np.add.at(change, at[on] - k, 1)
-            np.add.at(change, at[on] - k + LENGTH, -1)
-        return np.cumsum(change[:-1]) > 0
-
-
-def blocks_of_text(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """The table as written blocks, bucketed by block, and its bytes of text."""
+            on = at[(mask >> np.uint32(k) & np.uint32(1)).astype(bool)] - k
+            first.append(on)
+            last.append(on + LENGTH)
+        first, last = np.concatenate(first), np.concatenate(last)
+        by = np.argsort(first)
+        first, reach = first[by], np.maximum.accumulate(last[by])
+        step = np.zeros(len(self.text) + 1, np.int8)
+        if len(by):
+            gap = np.flatnonzero(first[1:] > reach[:-1])
+            step[first[np.append(0, gap + 1)]] = 1
+            step[reach[np.append(gap, len(by) - 1)]] = -1
+        return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+
+def blocks_of_text(docs: DataFrame, block: int, anchors: bool = False) -> tuple[DataFrame, int]:
+    """The table as written blocks, bucketed by block, and its bytes of text.  Where anchors start is written with
+    the blocks if it is asked for, so that it is found once."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     text = F.col("text").cast("string")
     size = int(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
@@ -201,40 +213,42 @@ def blocks_of_text(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
                     other = pa.Table.from_batches([batch.select(rest).slice(a, b - a)]).combine_chunks()
                     with pa.ipc.new_stream(sink, other.schema) as out:
                         out.write_table(other)
-                values = [(task << 32) | seq, ids[a:b].tobytes(), np.cumsum([len(r) for r in raws], dtype=np.int64).tobytes(), b"".join(raws), absent[a:b].tobytes(), sink.getvalue().to_pybytes()]
+                whole, ends = b"".join(raws), np.cumsum([len(r) for r in raws], dtype=np.int64)
+                starts = anchor_bits(np.frombuffer(whole, np.uint8), ends) if anchors else None
+                values = [(task << 32) | seq, ids[a:b].tobytes(), ends.tobytes(), whole, starts, absent[a:b].tobytes(), sink.getvalue().to_pybytes()]
                 seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 5])], names=["block", "ids", "ends", "text", "absent", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 6])], names=["block", "ids", "ends", "text", "anchors", "absent", "rest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(f"`{c}`") for c in rest])
-    packed = rows.mapInArrow(pack, "block long, ids binary, ends binary, text binary, absent binary, rest binary")
+    packed = rows.mapInArrow(pack, "block long, ids binary, ends binary, text binary, anchors binary, absent binary, rest binary")
     buckets = max(8, math.ceil(size / (8 * block)))
     return bucketed(packed, "block", min(buckets, 100_000), "blocks"), size
 
 
-def _each(blocks: DataFrame, parts: int, answers: list[DataFrame], step: Callable[[Block, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run a step on every block that has learnt what was answered so far.  Only answers are shuffled.  Blocks stay in
-    Arrow but for the one at work."""
-    rows = blocks
-    for k, a in enumerate(answers):
+def _each(blocks: DataFrame, parts: int, columns: tuple[str, ...], answers: dict[str, DataFrame], step: Callable[[Block, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run a step on these columns of every block that has learnt what was answered (by the method that takes it).
+    Only answers are shuffled.  Blocks stay in Arrow but for the one at work."""
+    rows, learn = blocks.select("block", "ids", "ends", "text", *columns), list(answers)
+    for k, a in answers.items():
         names = [c for c in a.columns if c != "block"]
-        rows = rows.join(a.groupBy("block").agg(F.collect_list(F.struct(*names)).alias(f"answer{k}")).hint("shuffle_hash"), "block", "left")
-    known, learn = len(answers), ("know_repeated", "know_least", "know_masks")
+        rows = rows.join(a.groupBy("block").agg(F.collect_list(F.struct(*names)).alias(k)).hint("shuffle_hash"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = SimpleNamespace(**batch.slice(i, 1).to_pylist()[0])
                 block = Block(row, parts)
-                for k in range(known):
-                    getattr(block, learn[k])(getattr(row, f"answer{k}") or ())
+                for k in learn:
+                    getattr(block, k)(getattr(row, k) or ())
                 yield from step(block, row)
                 del block, row
-                release()
+            release()  # once for a batch: what is handed back after each block is asked for again by the next
 
     return rows.mapInArrow(run, schema)
 
 
 def _first(block: Block, _row) -> Iterator[pa.RecordBatch]:
+    block.find()
     part, cut = _parts(block.key, block.parts)
     flagged = (block.key << np.uint64(1)) | block.shared.astype(np.uint64)
     yield block.rows(cut, part, keys=lambda a, b: _pack6(flagged[a:b]))
@@ -253,8 +267,14 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _second(block: Block, _row) -> Iterator[pa.RecordBatch]:
-    b_ = block
-    yield b_.rows(b_.entry_cut, b_.entry_part, keys=lambda a, b: _pack6(b_.entry_key[a:b]), fragments=lambda a, b: b_.entry_fragment[a:b].tobytes(), docs=lambda a, b: b_.entry_doc[a:b].tobytes())
+    b, place = block, block.begin[block.entry_cut]
+    of = dict(zip(b.entry_cut.tolist(), place.tolist()))  # where a part's places begin
+    counts = np.diff(b.begin).astype("<u4")
+    yield b.rows(
+        b.entry_cut, b.entry_part,
+        keys=lambda x, y: _pack6(b.entry_key[x:y]), fragments=lambda x, y: b.entry_fragment[x:y].tobytes(), docs=lambda x, y: b.entry_doc[x:y].tobytes(),
+        counts=lambda x, y: counts[x:y].tobytes(), places=lambda x, y: b.place[of[x] : of[y]].tobytes(),
+    )
 
 
 def _least(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,19 +295,21 @@ def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     cuts = np.cumsum([len(x) for x in each])[:-1]
     del by, k, f, of_key
     release()
-    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "least": [x.tobytes() for x in np.split(least, cuts)], "ask": [np.packbits(x).tobytes() for x in np.split(ask, cuts)]})
+    asks = np.split(ask, cuts)
+    asked = [np.frombuffer(x, np.uint8).reshape(-1, 6)[a].tobytes() for x, a in zip(pdf["keys"], asks)]
+    return pdf[["block", "part", "counts", "places"]].assign(least=[x.tobytes() for x in np.split(least, cuts)], ask=[np.packbits(a).tobytes() for a in asks], asked=asked)
 
 
 def _third(block: Block, _row) -> Iterator[pa.RecordBatch]:
-    a, ask = block.anchors, block.ask
-    at = block.lead[ask]
-    low, high, place = a.low[at], a.high[at], a.at[at]
+    b, at = block, block.lead
+    low, high, place = b.low[at], b.high[at], b.at[at]
+    doc = b.ids[b.doc[at]]
     left, right = (place - low).astype(np.uint8), (high - place - GRAM).astype(np.uint8)
-    raw = block.text.tobytes()
+    raw = b.row.text
     sides = [raw[lo:p] + raw[p + GRAM : hi] for lo, p, hi in zip(low.tolist(), place.tolist(), high.tolist())]
-    yield block.rows(
-        block.ask_cut, block.ask_part,
-        keys=lambda x, y: _pack6(block.entry_key[ask[x:y]]), docs=lambda x, y: block.entry_doc[ask[x:y]].tobytes(),
+    yield b.rows(
+        b.ask_cut, b.ask_part,
+        keys=lambda x, y: _pack6(b.ask_key[x:y]), docs=lambda x, y: doc[x:y].tobytes(),
         left=lambda x, y: left[x:y].tobytes(), right=lambda x, y: right[x:y].tobytes(), sides=lambda x, y: b"".join(sides[x:y]),
     )
 
@@ -428,28 +450,30 @@ def _masks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _marked(docs: DataFrame, finish: Callable, schema: str, block: int, part: int) -> DataFrame:
-    blocks, size = blocks_of_text(docs, block)
+    blocks, size = blocks_of_text(docs, block, anchors=True)
     parts = max(1, math.ceil(size * 2 / (SIDE + 2) / part))
 
-    def dealt(answers: list[DataFrame], step: Callable, columns: str, answer: Callable, out: str, label: str) -> DataFrame:
-        sent = _each(blocks, parts, answers, step, f"{_IDS}, {columns}")
+    def dealt(answers: dict[str, DataFrame], step: Callable, columns: str, answer: Callable, out: str, label: str) -> DataFrame:
+        sent = _each(blocks, parts, ("anchors",) if label != "masks" else (), answers, step, f"{_IDS}, {columns}")
         return saved(sent.groupBy("part").applyInPandas(answer, f"{_IDS}, {out}"), label)
 
-    known = [dealt([], _first, "keys binary", _repeated, "bits binary", "repeated")]
-    known.append(dealt(known, _second, "keys binary, fragments binary, docs binary", _least, "least binary, ask binary", "least"))
-    known.append(dealt(known, _third, "keys binary, docs binary, left binary, right binary, sides binary", _masks, "masks binary", "masks"))
-    return _each(blocks, parts, known, finish, schema)
+    repeated = dealt({}, _first, "keys binary", _repeated, "bits binary", "repeated")
+    least = dealt({"know_repeated": repeated}, _second, "keys binary, fragments binary, docs binary, counts binary, places binary", _least, "counts binary, places binary, least binary, ask binary, asked binary", "least")
+    masks = dealt({"know_least": least}, _third, "keys binary, docs binary, left binary, right binary, sides binary", _masks, "masks binary", "masks")
+    return _each(blocks, parts, ("absent", "rest"), {"know_least": least, "know_masks": masks}, finish, schema)
 
 
 def _report(block: Block, _row) -> Iterator[pa.RecordBatch]:
     gone = block.covered()
     begin = block.ends - np.diff(block.ends, prepend=0)
+    touched = np.zeros(len(block.ends), bool)
+    touched[np.searchsorted(block.ends, np.flatnonzero(gone), side="right")] = True
     out = []
-    for d, a, b in zip(block.ids, begin, block.ends):
-        m = gone[a:b]
-        removed = int(m.sum())
-        spans = int(m[0]) + int((m[1:] & ~m[:-1]).sum()) if removed else 0
-        out.append((None if d == NO_ID else int(d), int(b - a), removed, spans, hashlib.sha256(block.text[a:b][~m].tobytes()).hexdigest()))
+    for d, a, b, some in zip(block.ids.tolist(), begin.tolist(), block.ends.tolist(), touched.tolist()):
+        m, kept, removed, spans = gone[a:b], block.row.text[a:b], 0, 0
+        if some:
+            removed, spans, kept = int(m.sum()), int(m[0]) + int((m[1:] & ~m[:-1]).sum()), block.text[a:b][~m].tobytes()
+        out.append((None if d == NO_ID else d, b - a, removed, spans, hashlib.sha256(kept).hexdigest()))
     columns = list(zip(*out)) if out else [()] * 5
     yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns[:4]), pa.array(list(columns[4]), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

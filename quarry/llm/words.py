@@ -42,16 +42,20 @@ def _table(base: int, n: int) -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish 64-bit hashes (the splitmix64 finaliser)."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
     """Sums modulo 2**64 from which the hash of any stretch follows, see stretch()."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _table(_K, len(raw))[: len(raw)], out=out[1:])
+    terms = raw.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _table(_K, len(raw))[: len(raw)]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -60,6 +64,13 @@ def stretch(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[first]) * _table(_INVERSE, len(sums))[first])
 
 
+def stretches(sums: np.ndarray, width: int) -> np.ndarray:
+    """stretch() of all stretches of ``width`` bytes, in their order."""
+    h = sums[width:] - sums[:-width]
+    h *= _table(_INVERSE, len(sums))[: len(h)]
+    return mix(h)
+
+
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and end of each run of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))

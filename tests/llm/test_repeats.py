@@ -97,3 +97,32 @@ def test_fragments_without_a_shared_window_stay_out(monkeypatch):
         want[43] |= np.uint32((repeats.SIDE - a >= 5 and 2 * repeats.SIDE - a <= 40) << a)
     assert want[43] and mask.tolist() == want.tolist()
     assert sizes[0] < 4 * (2 * repeats.SIDE + 2)  # the other 56 stay out
+
+
+def test_texts_are_hashed_three_times(monkeypatch):
+    """To find anchors, to send their keys and to send their fragments; later steps see what came back."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    hashed, real = [], repeats.prefix_sums
+    monkeypatch.setattr(repeats, "prefix_sums", lambda raw: hashed.append(len(raw)) or real(raw))
+    rows = list(enumerate(_corpus()))
+    raws = [(t or "").encode() for _, t in rows]
+    text, ends = b"".join(raws), np.cumsum([len(r) for r in raws])
+    row = SimpleNamespace(block=0, text=text, ends=ends.tobytes(), ids=np.arange(len(raws)).tobytes(), anchors=repeats.anchor_bits(np.frombuffer(text, np.uint8), ends))
+
+    def ask(step, part, known):
+        block = repeats.Block(row, 7)
+        for name, answers in known.items():
+            getattr(block, name)(answers)
+        sent = pd.concat(b.to_pandas() for b in step(block, row))
+        return sent if part is None else [a for _, g in sent.groupby("part") for a in part(g.reset_index(drop=True)).to_dict("records")]
+
+    repeated = ask(repeats._first, repeats._repeated, {})
+    least = ask(repeats._second, repeats._least, {"know_repeated": repeated})
+    row.anchors = None
+    masks = ask(repeats._third, repeats._masks, {"know_least": least})
+    got = ask(repeats._report, None, {"know_least": least, "know_masks": masks})
+    assert sorted(got.itertuples(index=False, name=None), key=str) == _brute(rows)
+    assert hashed == [len(text)] * 3
