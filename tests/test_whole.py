@@ -57,3 +57,33 @@ def test_concepts_above_twenty_documents_count(spark, tmp_path):
     found = entry.queries()["query_anchored"](spark, str(tmp_path)).collect()
     assert len(found) == 30 and entry.queries()["concept_overview"](spark, str(tmp_path)).first()["coverage"] == 0.1
     assert entry.queries()["concept_expansion"](spark, str(tmp_path)).count() == 30
+
+
+def test_expansion_counts_all_passages_of_a_concept(spark, tmp_path):
+    texts = ["shared words" if i < 300 else f"a{i} b{i}" for i in range(1600)]
+    texts[999] = texts[998] = "shared second"  # the last two of 302 passages by id
+    _documents(spark, tmp_path, texts)
+    spark.createDataFrame([(1, "a shared second one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["passage_id"]: (r["rank"], r["score"], r["n_reasons"]) for r in entry.queries()["concept_expansion"](spark, str(tmp_path)).collect()}
+    each = 0.42 + 0.12 * sum(1 / (60 + r) for r in (1, 2, 3))  # the first three rows seed "shared", two of them "second"
+    two = 0.42 + 0.12 * sum(1 / (60 + r) for r in (1, 2))
+    assert got["998"] == (1, round(each / math.sqrt(302) + two / math.sqrt(2) + 1 / 61, 6), 4) and got["999"][2] == 4
+    assert len(got) == 40 and entry.queries()["expansion_quality"](spark, str(tmp_path)).first()["added"] == 30
+
+
+def test_posting_sums_equal_rows(spark):
+    import random
+
+    from quarry.operators import expand
+
+    rng = random.Random(5)
+    held = {(f"p{rng.randrange(400)}", f"c{int(rng.expovariate(0.3))}") for _ in range(2000)}
+    df = {c: sum(1 for _, x in held if x == c) for _, c in held}
+    bags = spark.createDataFrame([(p, c, df[c]) for p, c in sorted(held)], "passage_id string, concept string, df int").repartition(3)
+    anchors = spark.createDataFrame(sorted({(f"q{rng.randrange(6)}", f"c{rng.randrange(20)}", rng.choice(["mesh", "cluster"]), 0.3) for _ in range(80)}), "question_id string, concept string, reason string, weight double")
+    base = spark.createDataFrame([(f"q{q}", f"p{rng.randrange(400)}", r) for q in range(5) for r in (1, 2, 3)], "question_id string, passage_id string, rank int")
+    for preserve in (True, False):
+        rows = expand.expanded(base, expand.posting_scores(anchors, bags, 400, 0.5), 7, preserve)
+        sums = expand.expanded(base, expand.posting_sums(base, anchors, bags, 400, 7, 0.5), 7, preserve)
+        told = lambda df: sorted((r["question_id"], r["rank"], r["passage_id"], r["n_reasons"], r["is_new"], round(r["score"], 9)) for r in df.collect())
+        assert told(rows) == told(sums) and len(told(rows)) == 35
