@@ -55,6 +55,47 @@ def lambdas(score: np.ndarray, label: np.ndarray, rank: np.ndarray, weight: np.n
     return g * weight, h * weight
 
 
+#: Pairs of rows whose pushes are worked out at once, of whole questions.
+PAIRS = 1 << 20
+
+
+def pushes(score: np.ndarray, label: np.ndarray, rank: np.ndarray, weight: np.ndarray, begin: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lambdas() of the wanted questions of a block, all their pairs at once; 0 in the others."""
+    g, h = np.zeros(len(score)), np.zeros(len(score))
+    if not len(begin):
+        return g, h
+    size = np.diff(np.append(begin, len(score)))
+    of = np.repeat(np.arange(len(begin)), size)
+    gain = np.exp2(label) - 1
+    at = np.arange(len(score)) - begin[of]
+    place = np.empty(len(score), np.int64)
+    place[np.lexsort((rank, -score, of))] = at
+    discount = 1 / np.log2(place + 2.0)
+    best = np.add.reduceat(gain[np.lexsort((-gain, of))] / np.log2(at + 2.0), begin)
+    upper = np.flatnonzero((gain > 0) & (wanted & (best > 0))[of])  # the higher rows of pairs
+    many = size[of[upper]]
+    ends = np.cumsum(many)
+    a = 0
+    while a < len(upper):
+        b = max(int(np.searchsorted(ends, ends[a] - many[a] + PAIRS, side="right")), a + 1)
+        if b < len(upper):  # back to where a question begins, or on to where this one ends
+            back = int(np.searchsorted(of[upper], of[upper[b]], side="left"))
+            b = back if back > a else int(np.searchsorted(of[upper], of[upper[a]], side="right"))
+        n = many[a:b]
+        i = np.repeat(upper[a:b], n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[of[i]]
+        kept = label[j] < label[i]
+        i, j = i[kept], j[kept]
+        swap = (gain[i] - gain[j]) * np.abs(discount[i] - discount[j]) / best[of[i]]
+        wrong = 1 / (1 + np.exp(score[i] - score[j]))
+        push, bend = swap * wrong, swap * wrong * (1 - wrong)
+        lo, hi = begin[of[upper[a]]], begin[of[upper[b - 1]]] + size[of[upper[b - 1]]]
+        g[lo:hi] += np.bincount(j - lo, push, hi - lo) - np.bincount(i - lo, push, hi - lo)
+        h[lo:hi] += np.bincount(j - lo, bend, hi - lo) + np.bincount(i - lo, bend, hi - lo)
+        a = b
+    return g * weight, h * weight
+
+
 def _whole(x: np.ndarray) -> np.ndarray:
     return np.rint(x * _UNIT)
 
@@ -110,14 +151,9 @@ class Block:
         """With a tree's values added, and gradients of the next turn; a question is in a turn by a hash."""
         out = Block(self.bins, self.label, self.rank, self.weight, self.begin, self.question)
         out.score = self.score if tree is None else self.score + np.array(tree.value)[tree.leaf(self.bins)]
-        out.g, out.h = np.zeros(len(self.label)), np.zeros(len(self.label))
-        ends = np.append(self.begin[1:], len(self.label))
-        chance = _unit(self.question, seed * 1_000_003 + turn)
-        out.in_ = np.repeat(chance < rows, ends - self.begin)
-        for a, b, c in zip(self.begin, ends, chance):
-            if c < rows:
-                g, h = lambdas(out.score[a:b], self.label[a:b], self.rank[a:b], self.weight[a:b])
-                out.g[a:b], out.h[a:b] = _whole(g), _whole(h)
+        taken = _unit(self.question, seed * 1_000_003 + turn) < rows
+        out.in_ = np.repeat(taken, np.diff(np.append(self.begin, len(self.label))))
+        out.g, out.h = (_whole(x) for x in pushes(out.score, self.label, self.rank, self.weight, self.begin, taken))
         return out
 
     def histogram(self, tree: Tree, slots: dict[int, int], features: np.ndarray) -> np.ndarray:
@@ -127,10 +163,14 @@ class Block:
         slot_of[list(slots)] = list(slots.values())
         slot = np.where(self.in_, slot_of[tree.leaf(self.bins)], -1)
         on = np.flatnonzero(slot >= 0)
-        at = ((slot[on, None] * len(features) + np.arange(len(features))) * (BINS + 1) + self.bins[on][:, features]).ravel()
-        # sums of whole numbers, far below 2**53: exact in doubles
-        sums = [np.bincount(at, np.repeat(x[on], len(features)), np.prod(shape)) for x in (self.g, self.h, np.ones(len(self.g)))]
-        return np.stack(sums, -1).astype(np.int64).reshape(*shape, 3)
+        out = np.empty((*shape, 3), np.int64)
+        start, g, h, cells = slot[on] * (BINS + 1), self.g[on], self.h[on], len(slots) * (BINS + 1)
+        for k, f in enumerate(features):  # one column at a time
+            at = start + self.bins[on, f]
+            # sums of whole numbers, far below 2**53: exact in doubles
+            for i, x in enumerate((g, h, None)):
+                out[:, k, :, i] = np.bincount(at, x, cells).reshape(len(slots), BINS + 1)
+        return out
 
 
 def _unit(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -208,21 +248,23 @@ class LambdaMART:
         def load(r) -> Block:
             block = Block.__new__(Block)
             block.__dict__.update(pickle.loads(r[0]))
+            block.bins = np.asfortranarray(block.bins)  # columns are read one by one
             return block
 
         packed = saved(self._blocks(rows), "blocks").rdd
         deep = 2 if packed.getNumPartitions() > 16 else 1  # few partitions are summed on the driver at once
         state = packed.map(load).map(lambda b: b.moved(None, 0, n, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+        prior = None
         for turn in range(self.n_trees):
             use = np.sort(np.argsort(_unit(np.arange(len(self.columns)), seed * 7 + turn))[: max(1, round(self.features * len(self.columns)))])
             tree = self.grow(lambda t, s: state.treeAggregate(0, lambda acc, b: acc + b.histogram(t, s, use), lambda a, b: a + b, deep), use)  # noqa: B023
             self.trees.append(tree)
+            if prior is not None:  # the tree's first sums have written the new state
+                prior.unpersist()
             if turn + 1 < self.n_trees:
                 prior, state = state, state.map(lambda b, t=tree, k=turn + 1: b.moved(t, k, n, seed)).persist(StorageLevel.MEMORY_AND_DISK)
                 if (turn + 1) % CUT == 0:
                     state.checkpoint()
-                state.count()
-                prior.unpersist()
         state.unpersist()
         return self
 

@@ -100,3 +100,21 @@ def test_better_than_pointwise_and_edges(spark, monkeypatch):
     assert LambdaMART(["a", "b", "c"], trees=2).fit(none).transform(none).first()["model_score"] == 0
     empty = LambdaMART(["a"], trees=2).fit(none.limit(0))
     assert empty.transform(none).first()["model_score"] == 0
+
+
+def test_pushes_of_a_block_are_the_lambdas_of_its_questions(monkeypatch):
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 30, 40)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n = int(sizes.sum())
+    score, label, rank, weight = rng.normal(size=n).round(1), rng.integers(0, 3, n) * (rng.random(n) < 0.4), np.concatenate([np.arange(k) for k in sizes]).astype(float), rng.random(n)
+    label = label.astype(float)
+    wanted = rng.random(len(begin)) < 0.8
+    for pairs in (1, 100, 1 << 20):  # however many pairs are taken at once
+        monkeypatch.setattr(lambdamart, "PAIRS", pairs)
+        g, h = lambdamart.pushes(score, label, rank, weight, begin, wanted)
+        for a, k, w in zip(begin, sizes, wanted):
+            one = lambdamart.lambdas(score[a : a + k], label[a : a + k], rank[a : a + k], weight[a : a + k]) if w else (0.0, 0.0)
+            assert np.allclose(g[a : a + k], one[0], atol=1e-12) and np.allclose(h[a : a + k], one[1], atol=1e-12)
+        first = g if pairs == 1 else first
+        assert (g == first).all()
